@@ -1,0 +1 @@
+"""No operators: every job in this package is a batch job (see README, "Scope")."""
