@@ -127,7 +127,7 @@ OBSERVATIONS = """observations AS (SELECT *, abs_time_s // 86400 AS mjd_day,
   abs_time_s % 86400 AS mjd_sec,
   fch1 AS f_start_mhz, fch1 + 187.5 + (obs_id % 3) * 0.25 AS f_stop_mhz FROM (
   SELECT printf('obs_%08d.h5', event_id) AS file, event_id AS obs_id,
-  epoch(date_trunc('second', ts))::BIGINT - 1704067200 + 60310 * 86400 AS abs_time_s,
+  epoch(date_trunc('second', ts))::BIGINT - 1704067200 + 60310::BIGINT * 86400 AS abs_time_s,
   event_type AS target, 'blc' || (user_id % 4) AS node, user_id,
   '000' || (user_id % 3) AS product, 1000.0::DOUBLE + 200.0 * (user_id % 7) AS fch1, value
   FROM events))"""
