@@ -9,6 +9,7 @@ from cadrift.operators import catalog, pools, scale
 from cadrift.plans import views as V
 from cadrift.plans.registry import query
 from cadrift.plans.search_queries import rnd
+from cadrift.session import cut
 
 PARSED = r"""pr AS (SELECT *, contains(name, '.rawspec.') AND ends_with(name, '.h5') AS raw,
    regexp_matches(name, '^(.*)\.([0-9]+)\.h5$') AS old FROM names),
@@ -48,12 +49,12 @@ LABELS = r"""lb AS (SELECT o_orderkey, path, split_part(path, '/', -1) AS n FROM
 
 
 def _labels(spark, d):
-    return names.parse_labelled_name(V.labelled_names(spark, d))
+    return cut(names.parse_labelled_name(V.labelled_names(spark, d)))
 
 
 @query("prj2_parse_labelled_name", f"WITH {V.LABELLED_NAMES}, {LABELS} SELECT * FROM labels_parsed")
 def _(spark, d):
-    return _labels(spark, d)
+    return names.parse_labelled_name(V.labelled_names(spark, d))
 
 
 @query("src3_quarantine", f"""WITH {V.NAMES}, {PARSED} SELECT parse_error IS NULL AS good,
@@ -232,7 +233,7 @@ def _relabelled(spark, d):
     ty = F.when(F.col("_r") % 2 == 1, "ON").otherwise("OFF")
     r = r.withColumn("obs_type", ty).withColumn(
         "path", F.regexp_replace("path", F.lit("_(ON|OFF)_"), F.concat(F.lit("_"), ty, F.lit("_"))))
-    return r.drop("_r").unionByName(p.filter("target IS NULL"))
+    return cut(r.drop("_r").unionByName(p.filter("target IS NULL")))
 
 
 @query("cat3_labelled_cadences", f"WITH {_LAB} SELECT target, mjd, product, files FROM lded")
