@@ -154,9 +154,11 @@ MODES = ("per_obs", "legacy_concat")
 def normalised_frames(frames: DataFrame, ntime: int, nchans: int, mode: str = "per_obs", n_obs: int = 6,
                       **opts) -> DataFrame:
     """Standardised model frames: each observation alone then stacked, or stacked first."""
+    frames = frames.filter(F.size("frame") == ntime * nchans)  # a malformed observation drops its window
     if mode == "per_obs":
         each = frames.withColumn("frame", preprocess("frame", ntime, nchans, **opts))
-        return stack_frames(each, ntime * n_obs, nchans)
+        whole = stack_frames(each, ntime * n_obs, nchans)
+        return whole.filter(F.size("frame") == ntime * n_obs * nchans)
     if mode == "legacy_concat":
         whole = stack_frames(frames, ntime * n_obs, nchans)
         whole = whole.filter(F.size("frame") == ntime * n_obs * nchans)

@@ -158,7 +158,8 @@ def _(spark, d):
     return kernels.stack_frames(kernels.obs_frames(kernels.assemble_windows(blocks(spark, d), 64)), 20, 128)
 
 
-_OBSF = f"""{BLOCKS}, {_WIN}, ow AS (SELECT cadence_idx, f_start, obs_idx, time_bin, unnest(range(128)) AS ch, unnest(power)::DOUBLE AS x FROM win),
+_OBSF = f"""{BLOCKS}, {_WIN}, ow AS (SELECT cadence_idx, f_start, obs_idx, time_bin, unnest(range(128)) AS ch, unnest(power)::DOUBLE AS x FROM win
+   SEMI JOIN (SELECT cadence_idx, f_start FROM win GROUP BY ALL HAVING count(*) = 24) USING (cadence_idx, f_start)),
   om AS (SELECT cadence_idx, f_start, obs_idx, ch, median(x) AS m FROM ow GROUP BY ALL),
   ofl AS (SELECT cadence_idx, f_start, obs_idx, max(m) * 1e-4::DOUBLE + 1e-10::DOUBLE AS f FROM om GROUP BY ALL)"""
 
