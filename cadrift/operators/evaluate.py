@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadrift.operators import scale, stats
+from cadrift.session import cut
 
 
 # ------------------------------------------------------------------ ranking maths
@@ -181,67 +182,56 @@ def stage_flags(trials: DataFrame, thr: DataFrame) -> DataFrame:
 LEVELS = 7
 
 
-def _pair_in_cells(a: DataFrame, b: DataFrame, cell: Column) -> DataFrame:
-    """Pairs i-th a with i-th b (by value) of every cell."""
-    def ranked(df, name):
-        d = df.withColumn("_c", cell)
-        big = scale.largest_group(d, ["_c"])
-        order = ["v", "id"]
-        r = scale.ordered_rank(d, ["_c"], order, F.lit(0), "_i", big) if big <= scale.HOT_GROUP_ROWS else \
-            scale.ordered_rank(scale.range_bucketed(d, order), ["_c"], order, F.col("_rb"), "_i")
-        return r.select("_c", "_i", F.col("id").alias(f"{name}_id"), F.col("v").alias(f"{name}_v"))
-    return ranked(a, "a").join(ranked(b, "b"), ["_c", "_i"])
-
-
-def _without(df: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    return df.join(pairs.select(F.col(f"{name}_id").alias("id")), "id", "left_anti")
-
-
 def caliper_match(a: DataFrame, b: DataFrame, caliper: float) -> DataFrame:
     """1:1 pairs of near-equal values within ``caliper``; no unmatched pair that close remains.
 
-    Pairs in cells of a fine grid first, then of ever coarser ones up to the caliper, which
-    approximates nearest-first matching with equi joins only. What is left in a coarsest
+    Pairs the i-th a with the i-th b in cells of a fine grid first, then of ever coarser ones
+    up to the caliper, which approximates nearest-first matching. What is left in a coarsest
     cell is of one side, so two more passes match neighbouring cells across their edges,
     nearest to the edge first, and stop where the distance exceeds the caliper: after that
-    nothing within the caliper is left. Order differs from a sequential greedy match.
+    nothing within the caliper is left. Order differs from a sequential greedy match. Each
+    pass ranks and meets on (cell, rank), a key that is never hot.
 
     a, b: (id, v). Returns a_id, a_v, b_id, b_v.
     """
-    from cadrift.session import cut
-    a, b = cut(a.select("id", F.col("v").cast("double"))), cut(b.select("id", F.col("v").cast("double")))
-    found = None
-
-    def take(pairs):
-        nonlocal a, b, found
-        p = cut(pairs.select("a_id", "a_v", "b_id", "b_v"))
-        a, b = cut(_without(a, p, "a")), cut(_without(b, p, "b"))
-        found = p if found is None else found.unionByName(p)
-
-    for level in range(LEVELS - 1, -1, -1):
-        take(_pair_in_cells(a, b, F.floor(F.col("v") / F.lit(caliper / 2 ** level))))
+    left = cut(a.select("id", F.col("v").cast("double").alias("v"), F.lit("a").alias("side"))
+               .unionByName(b.select("id", F.col("v").cast("double").alias("v"), F.lit("b").alias("side"))))
     cell = F.floor(F.col("v") / F.lit(caliper))
-    for parity in (0, 1):
-        take(_across_edges(a, b, cell, parity, caliper))
+    # cells only get finer and rows only leave, so this bounds every pass
+    largest = 2 * scale.largest_group(left.select("side", cell.alias("c")), ["side", "c"])
+    found = None
+    for step in range(LEVELS + 2):
+        if step < LEVELS:
+            d = left.select("*", F.floor(F.col("v") / F.lit(caliper / 2 ** (LEVELS - 1 - step))).alias("_c"),
+                            F.lit(False).alias("_low"), F.col("v").alias("_d"))
+        else:
+            low = F.pmod(F.col("_k") - (step - LEVELS), F.lit(2)) == 0
+            d = left.withColumn("_k", cell).select(
+                "id", "v", "side", F.when(low, F.col("_k")).otherwise(F.col("_k") - 1).alias("_c"),
+                low.alias("_low"), F.when(low, -F.col("v")).otherwise(F.col("v")).alias("_d"))
+        met = cut(_meet(d, largest, caliper, edges=step >= LEVELS))
+        pairs = met.filter("paired").select("a.id", "a.v", "b.id", "b.v").toDF("a_id", "a_v", "b_id", "b_v")
+        found = pairs if found is None else found.unionByName(pairs)
+        rest = F.explode(F.array_compact(F.array(
+            F.when(F.col("a").isNotNull(), F.struct("a.id", "a.v", F.lit("a").alias("side"))),
+            F.when(F.col("b").isNotNull(), F.struct("b.id", "b.v", F.lit("b").alias("side"))))))
+        left = met.filter("NOT paired").select(rest.alias("s")).select("s.*")
     return found
 
 
-def _across_edges(a, b, cell, parity, caliper):
-    """Matches leftovers of cells 2k + parity and the next one, outward from their edge."""
-    def ranked(df, name):
-        d = df.withColumn("_k", cell)
-        lower = F.pmod(F.col("_k") - parity, F.lit(2)) == 0
-        d = d.withColumn("_e", F.when(lower, F.col("_k")).otherwise(F.col("_k") - 1)).withColumn("_low", lower)
-        d = d.withColumn("_d", F.when(F.col("_low"), -F.col("v")).otherwise(F.col("v")))
-        key = ["_e", "_low"]
-        big = scale.largest_group(d, key)
-        order = ["_d", "id"]
-        r = scale.ordered_rank(d, key, order, F.lit(0), "_i", big) if big <= scale.HOT_GROUP_ROWS else \
-            scale.ordered_rank(scale.range_bucketed(d, order), key, order, F.col("_rb"), "_i")
-        return r.select("_e", F.col("_low").alias(f"_{name}low"), "_i", F.col("id").alias(f"{name}_id"),
-                        F.col("v").alias(f"{name}_v"))
-    p = ranked(a, "a").join(ranked(b, "b"), ["_e", "_i"])
-    return p.filter((F.col("_alow") != F.col("_blow")) & (F.abs(F.col("a_v") - F.col("b_v")) <= caliper))
+def _meet(d: DataFrame, largest: int, caliper: float, edges: bool) -> DataFrame:
+    """One row per (cell, rank) with the a and the b found there and whether they pair."""
+    key, order = ["_c", "side", "_low"], ["_d", "id"]
+    bucket = F.lit(0)
+    if largest > scale.HOT_GROUP_ROWS:
+        d, bucket = scale.range_bucketed(d, order), F.col("_rb")
+    ranked = scale.ordered_rank(d, key, order, bucket, "_i", largest)
+    g = ranked.groupBy("_c", "_i").agg(*[
+        F.max(F.when(F.col("side") == s, F.struct("id", "v", "_low"))).alias(s) for s in ("a", "b")])
+    ok = F.col("a").isNotNull() & F.col("b").isNotNull()
+    if edges:
+        ok = ok & (F.col("a._low") != F.col("b._low")) & (F.abs(F.col("a.v") - F.col("b.v")) <= caliper)
+    return g.select("a", "b", F.coalesce(ok, F.lit(False)).alias("paired"))
 
 
 CALIPERS = (0.10, 0.05, 0.03, 0.02, 0.01, 0.005)
@@ -299,7 +289,6 @@ def cv_logistic_auc(df: DataFrame, features: Sequence[str], label: str = "label"
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
-    from cadrift.session import cut
     fold = F.pmod(F.conv(F.substring(scale.seeded_hash(seed, *ids), 1, 8), 16, 10).cast("long"), F.lit(k))
     rows = cut(df.select(F.col(label).cast("double").alias("label"), *features, fold.cast("int").alias("fold")))
     parts = Pipeline(stages=[

@@ -33,6 +33,7 @@ class SiteParams:
     pulse_frac: tuple[float, float] = (0.1, 0.5)
     pulse_period_bins: float = 8.0
     pulse_duty: float = 0.33
+    pulse_jitter: float = 0.05
 
 
 def quiet_sites(scores: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -106,6 +107,8 @@ def sample_site_params(sites: DataFrame, kind: str, params: SiteParams = SitePar
         limit = band / whole
         drift = F.when(u[2] < s.zero_drift_prob, zero).otherwise(
             sign * F.least(F.greatest(mag, F.lit(s.min_drift)), F.lit(limit)))
+        if kind == "pulses":
+            drift = (2 * u[2] - 1) * s.pulse_jitter
         d = d.withColumn("drift_hz_s", drift).withColumn("excursion_hz", zero).withColumn("amplitude_hz", zero)
         reach = F.abs("drift_hz_s") * whole / s.df_hz
         lo = F.when(F.col("drift_hz_s") < 0, F.least(reach + 1, F.lit(s.fchans - 2.0))).otherwise(F.lit(1.0))
