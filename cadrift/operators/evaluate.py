@@ -179,7 +179,7 @@ def stage_flags(trials: DataFrame, thr: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ matched pairs
 
-LEVELS = 7
+LEVELS = 4  # grids of caliper / 64, / 16, / 4 and the caliper itself
 
 
 def caliper_match(a: DataFrame, b: DataFrame, caliper: float) -> DataFrame:
@@ -202,36 +202,41 @@ def caliper_match(a: DataFrame, b: DataFrame, caliper: float) -> DataFrame:
     found = None
     for step in range(LEVELS + 2):
         if step < LEVELS:
-            d = left.select("*", F.floor(F.col("v") / F.lit(caliper / 2 ** (LEVELS - 1 - step))).alias("_c"),
-                            F.lit(False).alias("_low"), F.col("v").alias("_d"))
+            d = left.select("*", F.floor(F.col("v") / F.lit(caliper / 4 ** (LEVELS - 1 - step))).alias("_c"),
+                            (F.col("side") == "a").alias("_slot"), F.col("v").alias("_d"))
         else:
             low = F.pmod(F.col("_k") - (step - LEVELS), F.lit(2)) == 0
             d = left.withColumn("_k", cell).select(
                 "id", "v", "side", F.when(low, F.col("_k")).otherwise(F.col("_k") - 1).alias("_c"),
-                low.alias("_low"), F.when(low, -F.col("v")).otherwise(F.col("v")).alias("_d"))
+                low.alias("_slot"), F.when(low, -F.col("v")).otherwise(F.col("v")).alias("_d"))
         met = cut(_meet(d, largest, caliper, edges=step >= LEVELS))
-        pairs = met.filter("paired").select("a.id", "a.v", "b.id", "b.v").toDF("a_id", "a_v", "b_id", "b_v")
+        is_a = F.col("x.side") == "a"
+        pairs = met.filter("paired").select(
+            F.when(is_a, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(is_a, F.col("y")).otherwise(F.col("x")).alias("b"))
+        pairs = pairs.select("a.id", "a.v", "b.id", "b.v").toDF("a_id", "a_v", "b_id", "b_v")
         found = pairs if found is None else found.unionByName(pairs)
-        rest = F.explode(F.array_compact(F.array(
-            F.when(F.col("a").isNotNull(), F.struct("a.id", "a.v", F.lit("a").alias("side"))),
-            F.when(F.col("b").isNotNull(), F.struct("b.id", "b.v", F.lit("b").alias("side"))))))
-        left = met.filter("NOT paired").select(rest.alias("s")).select("s.*")
+        left = met.filter("NOT paired").select(F.explode(F.array_compact(F.array("x", "y"))).alias("s")).select("s.*")
     return found
 
 
 def _meet(d: DataFrame, largest: int, caliper: float, edges: bool) -> DataFrame:
-    """One row per (cell, rank) with the a and the b found there and whether they pair."""
-    key, order = ["_c", "side", "_low"], ["_d", "id"]
+    """One row per (cell, rank) with the two rows that can meet there and whether they pair.
+
+    The slots are the sides inside a cell, and the lower and upper cell at an edge, where a
+    coarsest cell holds one side only.
+    """
+    key, order = ["_c", "side", "_slot"], ["_d", "id"]
     bucket = F.lit(0)
     if largest > scale.HOT_GROUP_ROWS:
         d, bucket = scale.range_bucketed(d, order), F.col("_rb")
     ranked = scale.ordered_rank(d, key, order, bucket, "_i", largest)
-    g = ranked.groupBy("_c", "_i").agg(*[
-        F.max(F.when(F.col("side") == s, F.struct("id", "v", "_low"))).alias(s) for s in ("a", "b")])
-    ok = F.col("a").isNotNull() & F.col("b").isNotNull()
+    row = F.struct("id", "v", "side")
+    g = ranked.groupBy("_c", "_i").agg(F.max(F.when(F.col("_slot"), row)).alias("x"),
+                                       F.max(F.when(~F.col("_slot"), row)).alias("y"))
+    ok = F.col("x.side") != F.col("y.side")
     if edges:
-        ok = ok & (F.col("a._low") != F.col("b._low")) & (F.abs(F.col("a.v") - F.col("b.v")) <= caliper)
-    return g.select("a", "b", F.coalesce(ok, F.lit(False)).alias("paired"))
+        ok = ok & (F.abs(F.col("x.v") - F.col("y.v")) <= caliper)
+    return g.select("x", "y", F.coalesce(ok, F.lit(False)).alias("paired"))
 
 
 CALIPERS = (0.10, 0.05, 0.03, 0.02, 0.01, 0.005)

@@ -164,7 +164,7 @@ def match_sql(caliper):
     rank = "SELECT id, v, floor(v / {w}::DOUBLE) AS c, row_number() OVER (PARTITION BY floor(v / {w}::DOUBLE) ORDER BY v, id) AS i FROM {s}{n}"
     out = []
     for n, level in enumerate(range(evaluate.LEVELS - 1, -1, -1)):
-        w = repr(caliper / 2 ** level)
+        w = repr(caliper / 4 ** level)
         out.append(f"""p{n} AS (SELECT a.id AS a_id, a.v AS a_v, b.id AS b_id, b.v AS b_v FROM ({rank.format(w=w, s="a", n=n)}) a JOIN ({rank.format(w=w, s="b", n=n)}) b USING (c, i)),
   a{n + 1} AS ({ab.format(s="a", n=n)}), b{n + 1} AS ({ab.format(s="b", n=n)})""")
     n = evaluate.LEVELS
