@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cadrift.functions.geometry import band_edge, freq_region
 from cadrift.functions.names import basename
 from cadrift.operators import scale
+from cadrift.session import cut
 
 GAP_S = 700
 DAY_S = 86_400
@@ -137,6 +138,7 @@ def chunk_cadences(df: DataFrame, keys: Sequence[str], n: int = CADENCE_FILES, t
 def cadence_table(rows: DataFrame, keys: Sequence[str], ts: str = "abs_time_s", tie: str = "file") -> DataFrame:
     """One row per chunk: roles, days and the files in time order (a chunk has six rows)."""
     k = [*keys, "chunk"]
+    rows = cut(rows.select(*k, ts, tie, "mjd_day", "target"))
     files = rows.groupBy(*k).agg(
         F.transform(F.sort_array(F.collect_list(F.struct(ts, tie))), lambda s: s[tie]).alias("files"),
         F.sort_array(F.collect_set("mjd_day")).alias("mjd_days"))
@@ -244,6 +246,7 @@ def sample_per_band(groups: DataFrame, session: Sequence[str], n_bands: int) ->
 def session_summary(sessions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Days, first and last second, span, file count, roles and pattern per session."""
     keys = [*by, "session_start"]
+    sessions = cut(sessions.select(*keys, "abs_time_s", "mjd_day", "target", "file"))
     t = sessions.groupBy(*keys).agg(
         F.array_join(F.sort_array(F.collect_set("mjd_day")), "/").alias("days"),
         F.pmod(F.min("abs_time_s"), F.lit(DAY_S)).alias("t_start"), F.pmod(F.max("abs_time_s"), F.lit(DAY_S)).alias("t_end"),

@@ -137,7 +137,8 @@ def sample_site_params(sites: DataFrame, kind: str, params: SiteParams = SitePar
     d = d.withColumn("period_s", period).withColumn("pulse_s", s.dt_s + u[5] * (longest - s.dt_s))
     if rate is None:
         rate = 2 * math.pi * F.col("amplitude_hz") / F.col("period_s") + F.abs("drift_hz_s")
-    start = F.when(hi > lo, F.floor(lo + u[6] * (hi - lo))).otherwise(F.lit(s.fchans // 2))
+    full = F.floor(F.when(F.col("drift_hz_s") < 0, lo).otherwise(hi)) if kind in ("linear", "pulses") else F.lit(s.fchans // 2)
+    start = F.when(hi > lo, F.floor(lo + u[6] * (hi - lo))).otherwise(full)
     width = rate * s.dt_s + s.width_lo_hz + (s.width_hi_hz - s.width_lo_hz) * u[7]
     if kind == "pulses":
         width = (s.pulse_frac[0] + (s.pulse_frac[1] - s.pulse_frac[0]) * u[7]) * band

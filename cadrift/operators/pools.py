@@ -139,8 +139,7 @@ def plan_snippets(df: DataFrame, order: str, avail: str, cap_per: int, cap_total
 
 def sample_per_group(df: DataFrame, keys: Sequence[str], ids: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """``n`` rows per group without replacement in seeded order."""
-    h = df.withColumn("_h", scale.seeded_hash(seed, *ids))
-    return scale.top_per_key(h, keys, ["_h", *ids], n, "_r").drop("_h", "_r")
+    return scale.seeded_sample(df, keys, ids, n, seed)
 
 
 def trial_grid(sites: DataFrame, morphologies: Sequence[str], snrs: Sequence[float], seed: int = 0) -> DataFrame:

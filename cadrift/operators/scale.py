@@ -137,11 +137,28 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     limit = HOT_GROUP_ROWS if limit is None else limit
     largest = largest_group(df, keys) if largest is None else largest
     if largest <= limit:
-        return df.groupBy(*keys).agg(*[
-            F.percentile(value, F.lit(float(p))).alias(n) for n, p in probs.items()])
+        g = sorted_values(df, keys, value)
+        return g.select(*keys, *[quantile_of(F.col("_s"), p).alias(n) for n, p in probs.items()])
     return _quantiles_by_narrowing(df, keys, value, probs, limit)
 
 
+def sorted_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Sorted array ``_s`` per key. Only for groups whose size was checked to fit one task."""
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_s"))
+
+
+def quantile_of(values: Column, p: float) -> Column:
+    """Linearly interpolated quantile of a sorted array; NULL when it is empty."""
+    h = (F.size(values) - 1) * F.lit(float(p))
+    lo = F.get(values, F.floor(h).cast("int"))
+    return lo + (F.get(values, F.ceil(h).cast("int")) - lo) * (h - F.floor(h))
+
+
+def mad_of(values: Column, median: Column) -> Column:
+    """Median absolute deviation of a sorted array."""
+    return quantile_of(F.sort_array(F.transform(values, lambda x: F.abs(x - median))), 0.5)
+
+
 def _quantiles_by_narrowing(df, keys, value, probs, limit):
     """Order statistics of groups too large for one task.
 
@@ -204,6 +221,9 @@ def robust_stats(df: DataFrame, keys: Sequence[str], value: str, *, scale: float
     """Median and scaled median absolute deviation per key."""
     keys = list(keys)
     largest = largest_group(df, keys) if largest is None else largest
+    if largest <= (HOT_GROUP_ROWS if limit is None else limit):
+        g = sorted_values(df, keys, value).withColumn(names[0], quantile_of(F.col("_s"), 0.5))
+        return g.select(*keys, names[0], (mad_of(F.col("_s"), F.col(names[0])) * F.lit(scale)).alias(names[1]))
     med = exact_quantiles(df, keys, value, {names[0]: 0.5}, limit, largest)
     dev = attach(df.select(*keys, value), med, keys).select(
         *keys, F.abs(F.col(value) - F.col(names[0])).alias("_d"))
@@ -221,9 +241,21 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
 
+# Catalyst limits rows per key before the shuffle up to this k.
+GROUP_LIMIT_K = 1000
+
+
+def seeded_sample(df: DataFrame, keys: Sequence[str], ids: Sequence[str], n: int, seed: int | str = 0) -> DataFrame:
+    """``n`` rows per key without replacement: the first in seeded md5 order."""
+    if n <= GROUP_LIMIT_K:
+        h = df.withColumn("_h", seeded_hash(seed, *ids))
+        return top_per_key(h, keys, ["_h", *ids], n, "_r").drop("_h", "_r")
+    return hash_rank(df, keys, seed, ids, "_r").filter(F.col("_r") <= n).drop("_r")
+
+
 def order_statistic(df: DataFrame, keys: Sequence[str], value: str, fraction: float,
                     least: int = 1, limit: int | None = None) -> DataFrame:
-    """Per key: sum of the k largest values with k = max(least, int(fraction * n)).
+    """Per key: sum of the k largest values with k = max(least, int(fraction * n)), and of all.
 
     Uses the exact k-th largest value as a cut, so nothing is sorted or ranked: rows above
     it are summed and the ties at the cut fill the remaining places.
@@ -235,7 +267,7 @@ def order_statistic(df: DataFrame, keys: Sequence[str], value: str, fraction: fl
     joined = attach(df.select(*keys, value), cutv, keys)
     above = F.col(value) > F.col("_kth")
     return joined.groupBy(*keys).agg(
-        F.max("_k").alias("k"), F.max("_n").alias("n"), F.sum(value).alias("total"),
+        F.max("_k").alias("n_taken"), F.max("_n").alias("n_values"), F.sum(value).alias("total"),
         (F.coalesce(F.sum(F.when(above, F.col(value))), F.lit(0.0))
          + (F.max("_k") - F.count_if(above)) * F.max("_kth")).alias("top_sum"))
 

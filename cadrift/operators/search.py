@@ -33,13 +33,15 @@ def threshold_values(scores: DataFrame, by: Sequence[str], far: float = FAR_QUAN
                      largest: int | None = None) -> DataFrame:
     by = list(by)
     largest = scale.largest_group(scores, by) if largest is None else largest
-    q = scale.exact_quantiles(scores, by, "score", {"median": 0.5, "far_thresh": far},
-                              largest=largest)
-    dev = scale.attach(scores.select(*by, "score"), q.select(*by, "median"), by).select(
-        *by, F.abs(F.col("score") - F.col("median")).alias("_d"))
-    mad = scale.exact_quantiles(dev, by, "_d", {"mad_sigma": 0.5}, largest=largest)
-    mad = mad.withColumn("mad_sigma", F.col("mad_sigma") * 1.4826)
-    both = q.join(mad, by) if by else scale.attach(q, mad, [])
+    if largest <= scale.HOT_GROUP_ROWS:
+        v = F.col("_s")
+        g = scale.sorted_values(scores, by, "score").withColumn("median", scale.quantile_of(v, 0.5))
+        both = g.select(*by, "median", (scale.mad_of(v, F.col("median")) * 1.4826).alias("mad_sigma"),
+                        scale.quantile_of(v, far).alias("far_thresh"))
+    else:
+        q = scale.exact_quantiles(scores, by, "score", {"far_thresh": far}, largest=largest)
+        st = scale.robust_stats(scores, by, "score", largest=largest)
+        both = q.join(st, by) if by else scale.attach(q, st, [])
     return both.select(
         *by, "median", "mad_sigma", (F.col("median") + 3 * F.col("mad_sigma")).alias("thresh_3"),
         (F.col("median") + 5 * F.col("mad_sigma")).alias("thresh_5"), "far_thresh")
@@ -86,11 +88,9 @@ def n_clusters(scores: DataFrame, keys: Sequence[str], above: Column, stride: in
 
 def background_probe(windows: DataFrame, maps: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """OFF-row cells of ``n`` seeded random windows per cadence, one row per cell."""
-    w = windows.select("cadence_idx", "f_start").withColumn(
-        "_h", scale.seeded_hash(seed, "cadence_idx", "f_start"))
-    picked = scale.top_per_key(w, ["cadence_idx"], ["_h", "f_start"], n)
-    return off_cells(maps.join(picked.select("cadence_idx", "f_start"),
-                               ["cadence_idx", "f_start"], "left_semi"))
+    win = ["cadence_idx", "f_start"]
+    picked = scale.seeded_sample(windows.select(*win), ["cadence_idx"], win, n, seed)
+    return off_cells(maps.join(picked, win, "left_semi"))
 
 
 def off_cells(maps: DataFrame) -> DataFrame:
@@ -312,11 +312,18 @@ def ceiling_with_fallback(thr: DataFrame, measured: DataFrame) -> DataFrame:
         .alias("ceiling_source"))
 
 
+def _above_new(scores: DataFrame, t: DataFrame) -> DataFrame:
+    """Windows above min(far, ceiling), written once: both cuts chain within these few."""
+    s = scores.select("cadence_idx", "f_start", "score").join(
+        t.select("cadence_idx", "far_thresh", "new_thresh"), "cadence_idx")
+    return cut(s.filter(F.col("score") > F.col("new_thresh")))
+
+
 def candidate_volume(scores: DataFrame, ceilings: DataFrame, stride: int,
                      largest: int | None = None) -> DataFrame:
     """Clusters per cadence at the far cut and at min(far, ceiling)."""
     t = ceilings.withColumn("new_thresh", F.least("far_thresh", "off_ceiling"))
-    s = scores.join(t.select("cadence_idx", "far_thresh", "new_thresh"), "cadence_idx")
+    s = _above_new(scores, t)
     now = n_clusters(s, ["cadence_idx"], F.col("score") > F.col("far_thresh"), stride, "n_clusters_now", largest)
     new = n_clusters(s, ["cadence_idx"], F.col("score") > F.col("new_thresh"), stride, "n_clusters_new", largest)
     out = t.join(now, "cadence_idx", "left").join(new, "cadence_idx", "left").fillna(
@@ -344,7 +351,7 @@ def review_load(scores: DataFrame, ceilings: DataFrame, saved: DataFrame, stride
     ``ceilings``: cadence_idx, far_thresh, off_ceiling, map_thresh.
     """
     t = ceilings.withColumn("new_thresh", F.least("far_thresh", "off_ceiling"))
-    s = scores.join(t.select("cadence_idx", "far_thresh", "new_thresh"), "cadence_idx")
+    s = _above_new(scores, t)
     key = ["cadence_idx"]
     old = n_clusters(s, key, F.col("score") > F.col("far_thresh"), stride, "n_old", largest)
     new = cluster_candidates(s, key, F.col("score") > F.col("new_thresh"), stride, fchans,

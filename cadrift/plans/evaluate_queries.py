@@ -329,7 +329,7 @@ _SITES = f"""st0 AS (SELECT DISTINCT l_suppkey AS cadence_idx FROM lineitem),
   st2 AS (SELECT *, CASE WHEN u2 < 0.05 THEN 0.0 ELSE (CASE WHEN u3 < 0.5 THEN -1 ELSE 1 END) * least(greatest(10.0::DOUBLE ** (log10(0.3::DOUBLE) + 0.5::DOUBLE * sqrt(-2 * ln(u0)) * cos(2 * {_PI} * u1)), 0.01::DOUBLE), band / whole) END AS drift FROM st1),
   st3 AS (SELECT *, abs(drift) * whole / {_DFHZ} AS reach FROM st2),
   st4 AS (SELECT *, CASE WHEN drift < 0 THEN least(reach + 1, 30.0) ELSE 1.0 END AS lo, CASE WHEN drift > 0 THEN greatest(31 - reach, 1.0) ELSE 30.0 END AS hi FROM st3),
-  sites AS (SELECT cadence_idx, snr, drift, least(greatest(CASE WHEN hi > lo THEN floor(lo + u6 * (hi - lo)) ELSE 16 END, 0), 31)::BIGINT AS start_ch, abs(drift) * {_DT} + 1.0 + 9.0 * u7 AS width FROM st4)"""
+  sites AS (SELECT cadence_idx, snr, drift, least(greatest(CASE WHEN hi > lo THEN floor(lo + u6 * (hi - lo)) WHEN drift < 0 THEN floor(lo) ELSE floor(hi) END, 0), 31)::BIGINT AS start_ch, abs(drift) * {_DT} + 1.0 + 9.0 * u7 AS width FROM st4)"""
 
 
 @query("inj3_sample_site_params", f"WITH {_SITES} SELECT cadence_idx, snr, round(drift, 6) AS drift_hz_s, start_ch, round(width, 6) AS width_hz FROM sites")
