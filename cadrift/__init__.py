@@ -1 +1,8 @@
 """Spark-native search for unusual signals in large tables of spectrogram measurements."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Tasks carry this package's functions with them, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
