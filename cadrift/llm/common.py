@@ -15,7 +15,8 @@ TOKENIZER = "byte_bpe_50k.json"
 #: White space at which texts are cut into pieces before they are encoded.
 PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Other characters that some regular expression engines take for white space.
-ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+ODD_SPACE = re.compile("[" + "".join(map(chr, [0xB, 0xC, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C),
+                                            0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,13 +39,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
-def rekeyed(docs: DataFrame, *more: str) -> DataFrame:
-    """``uid, doc_id, text`` and ``more``: a row number that holds for repeated and null ids too.
+def rekeyed(docs: DataFrame) -> DataFrame:
+    """``uid, doc_id, text`` of documents; ``uid`` names a row by its id and text.
 
-    ``uid`` is the place of the row in the scan, so it is the same whenever the same scan runs.
+    Rows that agree in both stand for one document and get the same answers, so a table can be
+    scanned again and joined on ``uid`` whatever its splits are. A null text is an empty one.
     """
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("string").alias("text"), *more)
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text)
+    return docs.select(F.unhex(F.md5(name.cast("binary"))).alias("uid"), doc_id.alias("doc_id"), text.alias("text"))
 
 
 def pieces(text: str) -> list[str]:

@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cadrift.llm import token_files
+from cadrift.llm import lines, sharding, token_files
 from cadrift.llm.common import table
 from cadrift.session import checkpoint_root
 
@@ -29,3 +30,26 @@ def op1_token_files(spark, d):
     path = f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, d, "documents"), path)
     return token_files.token_digest(spark, path)
+
+
+@query("op4_sharding")
+def op4_sharding(spark, d):
+    out = sharding.assign_shards(table(spark, d, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op8_line_dedup", f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split),
+keyed AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '{UPPER}', '{LOWER}') AS k FROM lines),
+shared AS (SELECT k, min(doc_id) AS first FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+marked AS (SELECT keyed.*, first IS NOT NULL AND first <> doc_id AS gone FROM keyed LEFT JOIN shared USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""")
+def op8_line_dedup(spark, d):
+    return lines.dedup_lines(table(spark, d, "documents"), digest=True).select("doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_sha256"))
