@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadrift.llm import lines, sharding, token_files
+from cadrift.llm import lines, sharding, simhash, token_files
 from cadrift.llm.common import table
 from cadrift.session import checkpoint_root
 
@@ -53,3 +53,8 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id""")
 def op8_line_dedup(spark, d):
     return lines.dedup_lines(table(spark, d, "documents"), digest=True).select("doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_sha256"))
+
+
+@query("op2_simhash")
+def op2_simhash(spark, d):
+    return simhash.near_duplicates(table(spark, d, "documents"))
