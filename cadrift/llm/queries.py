@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadrift.llm import lines, sharding, simhash, token_files
+from cadrift.llm import lines, quality, sharding, simhash, token_files
 from cadrift.llm.common import table
 from cadrift.session import checkpoint_root
 
@@ -58,3 +58,12 @@ def op8_line_dedup(spark, d):
 @query("op2_simhash")
 def op2_simhash(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+@query("op6_quality")
+def op6_quality(spark, d):
+    docs = table(spark, d, "documents")
+    weights = quality.train(docs, table(spark, d, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), weights)
+    return scored.select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
