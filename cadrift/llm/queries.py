@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadrift.llm import lines, quality, sharding, simhash, token_files
+from cadrift.llm import bpe, lines, quality, sharding, simhash, token_files
 from cadrift.llm.common import table
 from cadrift.session import checkpoint_root
 
@@ -67,3 +67,9 @@ def op6_quality(spark, d):
     scored = quality.score(docs.select("doc_id", "text"), weights)
     return scored.select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
                          F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op3_bpe")
+def op3_bpe(spark, d):
+    return bpe.encode(table(spark, d, "documents"), digest=True).select(
+        "doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
