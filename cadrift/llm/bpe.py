@@ -68,8 +68,8 @@ def merge_words(words: list[bytes], vocab: Vocabulary, width: int) -> list[list[
     sym = np.full((n, width + 2), -1, np.int64)  # a border on both sides: symbol i is at i + 1
     inside = np.arange(width) < size[:, None]
     sym[:, 1:-1][inside] = vocab.start[np.frombuffer(b"".join(words), np.uint8)]
-    after = np.tile(np.arange(1, width + 3), (n, 1))
-    before = np.tile(np.arange(-1, width + 1), (n, 1))
+    after = np.tile(np.arange(1, width + 3, dtype=np.int32), (n, 1))
+    before = np.tile(np.arange(-1, width + 1, dtype=np.int32), (n, 1))
     tree = np.full((n, 2 * width), NONE)
 
     def leaf(rank, at):  # rank first, then place
@@ -104,7 +104,7 @@ def merge_words(words: list[bytes], vocab: Vocabulary, width: int) -> list[list[
     return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def encode_words(words: list[bytes], vocab: Vocabulary, cells: int = 1 << 21) -> list[list[int]]:
+def encode_words(words: list[bytes], vocab: Vocabulary, cells: int = 1 << 16) -> list[list[int]]:
     """Ids of words of any lengths, batched by length; ``cells`` bounds a batch's leaves."""
     out: list[list[int]] = [[]] * len(words)
     by_width: dict[int, list[int]] = {}
@@ -121,14 +121,21 @@ def encode_words(words: list[bytes], vocab: Vocabulary, cells: int = 1 << 21) ->
 def piece_encoder(vocab: Vocabulary) -> PieceCache:
     special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True))) + ")") if vocab.special else None
 
+    def split(piece: str) -> list:
+        """Pre-tokens of a piece; special strings as their ids."""
+        if piece.isalpha() or piece[:1] == " " and piece[1:].isalpha():
+            return [piece]
+        if special is None or not special.search(piece):
+            return PRETOKEN.findall(piece)
+        cut = special.split(piece)
+        return [w for i, s in enumerate(cut) for w in ((vocab.special[s],) if i % 2 else PRETOKEN.findall(s))]
+
     def make(new: list[str]) -> list[tuple[int, ...]]:
-        parts: list[list] = []
-        for piece in new:
-            cut = special.split(piece) if special else [piece]
-            parts.append([(vocab.special[s], None) if i % 2 else (None, w) for i, s in enumerate(cut) for w in ((s,) if i % 2 else PRETOKEN.findall(s))])
-        words = {w: None for p in parts for _, w in p if w is not None}
+        parts = list(map(split, new))
+        words = list({w for p in parts for w in p if type(w) is str})
         ids = dict(zip(words, encode_words([w.encode("utf-8", "surrogatepass") for w in words], vocab)))
-        return [tuple(itertools.chain.from_iterable((one,) if w is None else ids[w] for one, w in p)) for p in parts]
+        ids.update({i: (i,) for i in vocab.special.values()})
+        return [ids[p[0]] if len(p) == 1 else tuple(itertools.chain.from_iterable(map(ids.__getitem__, p))) for p in parts]
 
     return PieceCache(make)
 

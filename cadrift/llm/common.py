@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -12,8 +11,9 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
 
-#: White space at which texts are cut into pieces before they are encoded.
-PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+#: Pieces that are encoded one by one: white space and a run of letters and digits, or white space
+#: and all that follows up to the next.
+PIECE = re.compile(r"[ \n\t\r]*+[^\W_]++|[ \n\t\r]*+[^ \n\t\r]++|[ \n\t\r]++")
 #: Other characters that some regular expression engines take for white space.
 ODD_SPACE = re.compile("[" + "".join(map(chr, [0xB, 0xC, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C),
                                             0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]")
@@ -51,9 +51,10 @@ def rekeyed(docs: DataFrame) -> DataFrame:
 
 
 def pieces(text: str) -> list[str]:
-    """Pieces that byte-level BPE encodes independently: white space, then what follows it.
+    """Pieces that byte-level BPE encodes independently.
 
-    A pre-token never has white space after other characters, so each run of white space starts
+    A pre-token never has white space after other characters, nor letters or digits before
+    anything else, so each run of white space starts one, and each run of letters and digits ends
     one. A text with rarer kinds of white space stays whole.
     """
     return [text] if ODD_SPACE.search(text) else PIECE.findall(text)
@@ -65,12 +66,12 @@ class PieceCache:
     def __init__(self, make, most: int = 250_000):
         self.make, self.most, self.seen = make, most, {}
 
-    def of(self, texts: list[str]) -> list[list]:
+    def of(self, texts: list[str]) -> list[Iterator]:
         cut = [pieces(t) for t in texts]
         if len(self.seen) > self.most:
             self.seen = {}
-        new = list(set(itertools.chain.from_iterable(cut)) - self.seen.keys())
+        new = list(set().union(*cut) - self.seen.keys())
         if new:
             self.seen.update(zip(new, self.make(new)))
         get = self.seen.__getitem__
-        return [list(map(get, c)) for c in cut]
+        return [map(get, c) for c in cut]

@@ -7,9 +7,9 @@ read in parallel and the place of a document in the whole stream needs one numbe
 
 from __future__ import annotations
 
-import itertools
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +24,23 @@ FILE_SCHEMA = "doc_id long, shard int, at long, n_tokens long, ids array<int>"
 
 
 def library_encoder(path: str) -> PieceCache:
-    """The tokenizers library, asked once for each piece that a task meets again and again."""
+    """Ids of pieces as 32-bit integers in bytes: the tokenizers library, asked once for each piece
+    that a task meets again and again."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return PieceCache(lambda new: [tuple(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False)])
+    return PieceCache(lambda new: [array("i", e.ids).tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)])
 
 
 def encode_partition(path: str, end_id: int):
     def run(batches):
-        shard, at, cache = TaskContext.get().partitionId(), 0, library_encoder(path)
+        shard, at, cache, end = TaskContext.get().partitionId(), 0, library_encoder(path), array("i", [end_id]).tobytes()
         for b in slices(batches):
             out = []
             for parts in cache.of([t or "" for t in b.column("text").to_pylist()]):
-                out.append(np.fromiter(itertools.chain(itertools.chain.from_iterable(parts), (end_id,)), np.int32))
+                out.append(np.frombuffer(b"".join(parts) + end, np.int32))
             n = np.fromiter(map(len, out), np.int64, len(out))
             ends = np.cumsum(n)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.concatenate(out)))
