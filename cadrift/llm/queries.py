@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadrift.llm import bpe, lines, quality, sharding, simhash, token_files
+from cadrift.llm import bpe, lines, ppm, quality, sharding, simhash, token_files
 from cadrift.llm.common import table
 from cadrift.session import checkpoint_root
 
@@ -73,3 +73,8 @@ def op6_quality(spark, d):
 def op3_bpe(spark, d):
     return bpe.encode(table(spark, d, "documents"), digest=True).select(
         "doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
+@query("op7_ppm")
+def op7_ppm(spark, d):
+    return ppm.score_texts(table(spark, d, "documents"))
