@@ -50,6 +50,17 @@ def rekeyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.unhex(F.md5(name.cast("binary"))).alias("uid"), doc_id.alias("doc_id"), text.alias("text"))
 
 
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+
+
+def blocks_of(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """``uid, doc_id, text, block``: documents dealt by hash into blocks of about ``block_bytes`` of
+    text, and the number of blocks. What a task keeps for a block is bounded by its text."""
+    blocks = max(1, -(-text_bytes(docs) // block_bytes))
+    return rekeyed(docs).withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int")), blocks
+
+
 def pieces(text: str) -> list[str]:
     """Pieces that byte-level BPE encodes independently.
 

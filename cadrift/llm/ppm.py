@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadrift.llm.common import rekeyed, slices
+from cadrift.llm.common import blocks_of, slices
 from cadrift.session import cut
 
 ORDER = 5
@@ -185,10 +185,8 @@ def score_texts(docs: DataFrame, block_bytes: int = 24 << 20) -> DataFrame:
     empty table gives no rows; other columns are ignored. ``block_bytes`` is the text of a block.
     """
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == HELD_OUT
-    named = rekeyed(docs)
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    dealt = (named.select(F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("block"), "doc_id", held.alias("held_out"), (~held).alias("train"), "text"))
+    named, blocks = blocks_of(docs, block_bytes)
+    dealt = named.select("block", "doc_id", held.alias("held_out"), (~held).alias("train"), "text")
     asked = (dealt.repartition(blocks, "block").select("block", "train", "text")
              .mapInArrow(gather, "gram long, word binary, n long, block int"))
     counted = cut(asked.groupBy("gram", "word").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadrift.llm import bpe, lines, ppm, quality, sharding, simhash, token_files
+from cadrift.llm import bpe, lines, ppm, quality, sharding, simhash, substrings, token_files
 from cadrift.llm.common import table
 from cadrift.session import checkpoint_root
 
@@ -78,3 +78,8 @@ def op3_bpe(spark, d):
 @query("op7_ppm")
 def op7_ppm(spark, d):
     return ppm.score_texts(table(spark, d, "documents"))
+
+
+@query("op5_substrings")
+def op5_substrings(spark, d):
+    return substrings.remove_repeats(table(spark, d, "documents"), digest=True).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
