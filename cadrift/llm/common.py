@@ -39,15 +39,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def row_key() -> F.Column:
+    """128-bit key of ``doc_id`` and ``text``; rows that agree in both have one key."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), text).cast("binary")))
+
+
 def rekeyed(docs: DataFrame) -> DataFrame:
     """``uid, doc_id, text`` of documents; ``uid`` names a row by its id and text.
 
     Rows that agree in both stand for one document and get the same answers, so a table can be
     scanned again and joined on ``uid`` whatever its splits are. A null text is an empty one.
     """
-    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text)
-    return docs.select(F.unhex(F.md5(name.cast("binary"))).alias("uid"), doc_id.alias("doc_id"), text.alias("text"))
+    return docs.select(row_key().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -86,3 +91,11 @@ class PieceCache:
             self.seen.update(zip(new, self.make(new)))
         get = self.seen.__getitem__
         return [map(get, c) for c in cut]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the like of it that no column of ``df`` has; column names ignore case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadrift.llm import bpe, lines, ppm, quality, sharding, simhash, substrings, token_files
+from cadrift.llm import bpe, decontaminate, lines, ppm, quality, sharding, simhash, substrings, token_files
 from cadrift.llm.common import table
 from cadrift.session import checkpoint_root
 
@@ -83,3 +83,8 @@ def op7_ppm(spark, d):
 @query("op5_substrings")
 def op5_substrings(spark, d):
     return substrings.remove_repeats(table(spark, d, "documents"), digest=True).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark, d):
+    return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
