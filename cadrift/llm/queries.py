@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadrift.llm import bpe, decontaminate, lines, ppm, quality, sharding, simhash, substrings, token_files
+from cadrift.llm import bpe, decontaminate, embeddings, lines, ppm, quality, sharding, simhash, substrings, token_files
 from cadrift.llm.common import table
 from cadrift.session import checkpoint_root
 
@@ -88,3 +88,8 @@ def op5_substrings(spark, d):
 @query("op10_decontaminate")
 def op10_decontaminate(spark, d):
     return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op9_embeddings")
+def op9_embeddings(spark, d):
+    return embeddings.near_vectors(table(spark, d, "embeddings"))
