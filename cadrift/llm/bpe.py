@@ -140,36 +140,36 @@ def piece_encoder(vocab: Vocabulary) -> PieceCache:
     return PieceCache(make)
 
 
-def encode_task(path: str, digest: bool):
+#: Columns that can be asked for, with their kinds in Arrow and SQL.
+COLUMNS = {"n_tokens": (pa.int64(), "long"), "ids": (pa.list_(pa.int32()), "array<int>"), "decoded": (pa.string(), "string"),
+           "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}
+
+
+def encode_task(path: str, columns: tuple[str, ...]):
     def run(batches):
         vocab = Vocabulary(path)
         cache = piece_encoder(vocab)
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        decode = lambda ids: b"".join(map(vocab.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        make = {"n_tokens": len, "ids": list, "decoded": decode, "decoded_sha256": lambda ids: sha(decode(ids).encode()),
+                "ids_sha256": lambda ids: sha(",".join(map(vocab.decimal.__getitem__, ids)).encode())}
         for b in slices(batches, 128):
-            cols = [[], [], []]
+            out = [[] for _ in columns]
             for parts in cache.of([t or "" for t in b.column("text").to_pylist()]):
                 ids = list(itertools.chain.from_iterable(parts))
-                decoded = b"".join(map(vocab.bytes.__getitem__, ids)).decode("utf-8", "replace")
-                if digest:
-                    line = ",".join(map(vocab.decimal.__getitem__, ids))
-                    row = (len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                else:
-                    row = (len(ids), ids, decoded)
-                for c, v in zip(cols, row):
-                    c.append(v)
-            kinds = (pa.int64(), pa.string() if digest else pa.list_(pa.int32()), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                                             names=["doc_id", "n_tokens", "ids", "decoded"])
+                for c, name in zip(out, columns):
+                    c.append(make[name](ids))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, COLUMNS[name][0]) for c, name in zip(out, columns))], names=["doc_id", *columns])
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, digest: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded`` of every row of ``docs(doc_id, text)``, in one narrow pass.
+def encode(docs: DataFrame, columns: tuple[str, ...] = ("n_tokens", "ids", "decoded"), tokenizer: str | None = None) -> DataFrame:
+    """``doc_id`` and ``columns`` of every row of ``docs(doc_id, text)``, in one narrow pass.
 
-    ``decoded`` is the text that the ids give back. With ``digest``, ``ids`` is the SHA-256 of the
-    decimal ids joined by commas and ``decoded`` that of the text. A null text is empty and has no
-    ids; special strings in a text get their own ids. Repeated rows and null ids are kept; other
-    columns are ignored.
+    ``decoded`` is the text that the ids give back; ``ids_sha256`` is of the decimal ids joined by
+    commas, ``decoded_sha256`` of that text. A null text is empty and has no ids; special strings
+    in a text get their own ids. Repeated rows and null ids are kept; other columns are ignored.
     """
-    schema = f"doc_id long, n_tokens long, ids {'string' if digest else 'array<int>'}, decoded string"
+    schema = ", ".join(["doc_id long", *(f"{c} {COLUMNS[c][1]}" for c in columns)])
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(encode_task(tokenizer or tokenizer_path(), digest), schema))
+            .mapInArrow(encode_task(tokenizer or tokenizer_path(), columns), schema))

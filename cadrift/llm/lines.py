@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadrift.llm.common import rekeyed, shuffle_parts, slices
+from cadrift.llm.common import free_name, rekeyed, row_key, shuffle_parts, slices
 from cadrift.session import cut
 
 NO_ID = -(1 << 63)  # a null id, before all others
@@ -115,37 +115,48 @@ def probe(lines: pa.Table, shard: pa.Table) -> pa.Table:
     return lines.select(["uid", "h", "g"]).take(pa.array(drop))
 
 
-def drop_lines(min_chars: int, digest: bool):
+def keep_lines(text: str, hits: list | None, min_chars: int) -> tuple[str, int, int]:
+    """Remaining text, lines before and lines dropped."""
+    lines = text.split("\n")
+    if not hits:
+        return text, len(lines), 0
+    gone = {(x["h"], x["g"]) for x in hits}
+    left = [x for x, k in zip(lines, line_hashes(lines, min_chars)) if k not in gone]
+    return "\n".join(left), len(lines), len(lines) - len(left)
+
+
+def report(min_chars: int, digest: bool):
     def run(batches):
         for b in slices(batches):
-            cols = [b.column(c).to_pylist() for c in ("doc_id", "text", "hits")]
-            n, dropped, kept = [], [], []
-            for _, t, hits in zip(*cols):
-                lines = t.split("\n")
-                gone = {(x["h"], x["g"]) for x in hits or ()}
-                left = [x for x, k in zip(lines, line_hashes(lines, min_chars)) if k not in gone] if gone else lines
-                n.append(len(lines)), dropped.append(len(lines) - len(left)), kept.append("\n".join(left))
-            if digest:
-                kept = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in kept]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string()), b.column("uid")],
-                                             names=["doc_id", "n_lines", "n_dropped", "kept", "uid"])
+            rows = [keep_lines(t, h, min_chars) for t, h in zip(b.column("text").to_pylist(), b.column("hits").to_pylist())]
+            kept = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() if digest else t for t, _, _ in rows]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(kept, pa.string())],
+                                             names=["doc_id", "n_lines", "n_dropped", "kept"])
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, shard_keys: int = 1 << 18, lane_rows: int = 1 << 20,
-                digest: bool = False) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, kept, uid`` of every row of ``docs(doc_id, text)``.
+def rewrite(min_chars: int, text_at: int, chars_at: int | None):
+    """Texts without the lines hit, and their length where a column holds it; the last column goes."""
+    def run(batches):
+        for b in slices(batches):
+            cols, hits = list(b.columns[:-1]), b.columns[-1].to_pylist()
+            old = cols[text_at].to_pylist()
+            new = [t if t is None else keep_lines(t, h, min_chars)[0] for t, h in zip(old, hits)]
+            cols[text_at] = pa.array(new, pa.string())
+            if chars_at is not None:
+                n = [c if t is None or t == o else len(t) for c, t, o in zip(cols[chars_at].to_pylist(), new, old)]
+                cols[chars_at] = pa.array(n, cols[chars_at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+    return run
 
-    Lines are split at newlines; a null or empty text is one empty line. A line goes where its
-    key, of ``min_chars`` code points at least, is in a document of smaller id. Rows of one id are
-    one document; null ids count as one document before all others. ``kept`` is the remaining
-    text, or its SHA-256 with ``digest``. Empty tables give no rows; other columns are ignored.
+
+def line_hits(docs: DataFrame, min_chars: int = 10, shard_keys: int = 1 << 18, lane_rows: int = 1 << 20) -> DataFrame:
+    """``uid, hits``: hashes of the lines that a document loses, for those that lose any.
 
     ``shard_keys`` bounds the keys of a shard, ``lane_rows`` the probes that reach one copy of it.
     """
     spark = docs.sparkSession
-    named = rekeyed(docs)
-    lines = cut(named.mapInArrow(emit_lines(min_chars), "uid binary, doc long, h long, g long"))
+    lines = cut(rekeyed(docs).mapInArrow(emit_lines(min_chars), "uid binary, doc long, h long, g long"))
     shared = cut(lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
                  .filter("first < last").drop("last"))
     shards = max(1, -(-shared.count() // shard_keys))
@@ -156,6 +167,27 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, shard_keys: int = 1 << 18,
     copies = arrays.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     hits = (lines.withColumn("shard", shard).withColumn("lane", F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).cast("int"))
             .groupBy("shard", "lane").cogroup(copies.groupBy("shard", "lane")).applyInArrow(probe, "uid binary, h long, g long"))
-    of_doc = hits.groupBy("uid").agg(F.collect_set(F.struct("h", "g")).alias("hits"))  # at most the lines of one document
-    return (named.join(of_doc, "uid", "left").select("uid", "doc_id", "text", "hits")
-            .mapInArrow(drop_lines(min_chars, digest), "doc_id long, n_lines long, n_dropped long, kept string, uid binary"))
+    return hits.groupBy("uid").agg(F.collect_set(F.struct("h", "g")).alias("hits"))  # at most the lines of one document
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 10, digest: bool = False, **sizes) -> DataFrame:
+    """``doc_id, n_lines, n_dropped, kept`` of every row of ``docs(doc_id, text)``.
+
+    Lines are split at newlines; a null or empty text is one empty line. A line goes where its
+    key, of ``min_chars`` code points at least, is in a document of smaller id. Rows of one id are
+    one document; null ids count as one document before all others. ``kept`` is the remaining
+    text, or its SHA-256 with ``digest``. Empty tables give no rows; other columns are ignored.
+    """
+    return (rekeyed(docs).join(line_hits(docs, min_chars, **sizes), "uid", "left").select("doc_id", "text", "hits")
+            .mapInArrow(report(min_chars, digest), "doc_id long, n_lines long, n_dropped long, kept string"))
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = 10, **sizes) -> DataFrame:
+    """``docs`` with the texts that ``dedup_lines`` keeps and, where there is a column ``n_chars``,
+    its values for texts that changed. Null texts stay null; all rows and columns stay."""
+    hits = line_hits(docs, min_chars, **sizes)
+    uid, name = free_name(docs, "uid"), free_name(docs, "hits")
+    lower = [c.lower() for c in docs.columns]
+    return (docs.withColumn(uid, row_key()).join(hits.select(F.col("uid").alias(uid), F.col("hits").alias(name)), uid, "left")
+            .select(*docs.columns, name)
+            .mapInArrow(rewrite(min_chars, lower.index("text"), lower.index("n_chars") if "n_chars" in lower else None), docs.schema))

@@ -71,8 +71,7 @@ def op6_quality(spark, d):
 
 @query("op3_bpe")
 def op3_bpe(spark, d):
-    return bpe.encode(table(spark, d, "documents"), digest=True).select(
-        "doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+    return bpe.encode(table(spark, d, "documents"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 @query("op7_ppm")

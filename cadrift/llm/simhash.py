@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadrift.llm.common import slices
+from cadrift.llm.common import free_name, rekeyed, row_key, slices
 from cadrift.llm.components import components
 from cadrift.session import cut
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the cyclic (23, 12) code
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit and width
+MARKED = "uid binary, doc_id long, f long"
 EMPTY = 0  # fingerprint of a text without words
 
 
@@ -50,7 +51,7 @@ def fingerprints(width: int):
     def run(batches):
         for b in slices(batches):
             f = [fingerprint(t, width) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(f, np.uint64).view(np.int64))], names=["doc_id", "f"])
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(np.array(f, np.uint64).view(np.int64))], names=["uid", "doc_id", "f"])
     return run
 
 
@@ -143,6 +144,13 @@ def fingerprint_links(distinct: DataFrame, bucket: int = 64) -> DataFrame:
     return near.unionByName(dense)
 
 
+def rooted(marked: DataFrame) -> DataFrame:
+    """``f, root``: the component of each distinct fingerprint of ``marked(f, ...)``."""
+    nodes = cut(marked.select("f").distinct())
+    roots = components(fingerprint_links(nodes)).select(F.col("a").alias("f"), F.col("b").alias("root"))
+    return nodes.join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs(doc_id, text)``.
 
@@ -152,11 +160,21 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     of their component that is not null, or null. An empty table gives no rows; other columns are
     ignored. Equal fingerprints are one node, so copies cost nothing beyond their own row.
     """
-    marked = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                 .mapInArrow(fingerprints(width), "doc_id long, f long"))
-    nodes = cut(marked.groupBy("f").agg(F.min("doc_id").alias("least")))
-    roots = components(fingerprint_links(nodes)).select(F.col("a").alias("f"), F.col("b").alias("root"))
-    rooted = nodes.join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return (marked.join(rooted.select("f", "root").join(ids, "root").select("f", "component_id"), "f")
+    marked = cut(rekeyed(docs).mapInArrow(fingerprints(width), MARKED))
+    least = marked.groupBy("f").agg(F.min("doc_id").alias("least"))
+    roots = cut(rooted(marked).join(least, "f"))
+    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return (marked.join(roots.select("f", "root").join(ids, "root").select("f", "component_id"), "f")
             .select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component: the smallest id that is
+    not null, of equal ids one row."""
+    marked = cut(rekeyed(docs).mapInArrow(fingerprints(width), MARKED))
+    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")
+    best = marked.groupBy("f").agg(F.min(first).alias("first"))
+    kept = best.join(rooted(marked), "f").groupBy("root").agg(F.min("first").alias("first"))
+    uid = free_name(docs, "uid")
+    return (docs.withColumn(uid, row_key()).join(kept.select(F.col("first.uid").alias(uid)), uid, "left_semi")
+            .dropDuplicates([uid]).select(*docs.columns))
