@@ -46,7 +46,7 @@ def features(text: str | None, known: Hashes, dims: int = DIMS, chunk: int = 1 <
 class Ftrl:
     """FTRL-proximal for logistic loss; the last weight is the bias."""
 
-    def __init__(self, dims: int = DIMS, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02):
+    def __init__(self, dims: int = DIMS, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.005, l2: float = 0.005):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(dims + 1), np.zeros(dims + 1)
 
@@ -87,7 +87,7 @@ def fold(doc_id) -> F.Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, epochs: int = 6, dims: int = DIMS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, epochs: int = 15, dims: int = DIMS) -> np.ndarray:
     """Weights from the labelled documents outside fold 0.
 
     ``max_rows`` bounds the sample: labelled ids are thinned by hash to about that many, all of

@@ -20,24 +20,45 @@ from pyspark.sql import functions as F
 from cadrift.llm.common import PieceCache, shuffle_parts, slices, tokenizer_path
 
 END_ID = 2
+SPACE = chr(0x120)  # stands for a space in byte-level vocabularies
 FILE_SCHEMA = "doc_id long, shard int, at long, n_tokens long, ids array<int>"
 
 
 def library_encoder(path: str) -> PieceCache:
     """Ids of pieces as 32-bit integers in bytes: the tokenizers library, asked once for each piece
-    that a task meets again and again."""
+    that a task meets again and again.
+
+    New words that are letters after a space are encoded as one text. Its pre-tokens are these
+    words, and the ids of each begin where a token begins with the space.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return PieceCache(lambda new: [array("i", e.ids).tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)])
+    vocab = tok.get_vocab()
+    leads = np.zeros(max(vocab.values()) + 1, bool)
+    leads[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
+
+    def make(new: list[str]) -> list[bytes]:
+        words = [p for p in new if p[:1] == " " and p[1:].isalpha()]
+        ids = np.array(tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        starts = np.flatnonzero(leads[ids]) if len(ids) else ids
+        if len(starts) != len(words):  # not a tokenizer of that kind
+            words = starts = []
+        raw, cuts = ids.tobytes(), [*(4 * np.array(starts, np.int64)).tolist(), 4 * len(ids)]
+        out = dict(zip(words, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:]))))
+        rest = [p for p in new if p not in out]
+        out.update(zip(rest, (array("i", e.ids).tobytes() for e in tok.encode_batch_fast(rest, add_special_tokens=False))))
+        return [out[p] for p in new]
+
+    return PieceCache(make, 600_000)
 
 
 def encode_partition(path: str, end_id: int):
     def run(batches):
         shard, at, cache, end = TaskContext.get().partitionId(), 0, library_encoder(path), array("i", [end_id]).tobytes()
-        for b in slices(batches):
+        for b in slices(batches, 1024):
             out = []
             for parts in cache.of([t or "" for t in b.column("text").to_pylist()]):
                 out.append(np.frombuffer(b"".join(parts) + end, np.int32))
