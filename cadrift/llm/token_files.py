@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadrift.llm.common import PieceCache, shuffle_parts, slices, tokenizer_path
+from cadrift.llm.common import PieceCache, slices, text_bytes, tokenizer_path
 
 END_ID = 2
 SPACE = chr(0x120)  # stands for a space in byte-level vocabularies
@@ -73,15 +73,15 @@ def encode_partition(path: str, end_id: int):
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID,
-                      files: int | None = None, stripe_bytes: int = 64 << 20, fpp: float = 0.01) -> None:
+                      files: int | None = None, file_bytes: int = 48 << 20, stripe_bytes: int = 64 << 20, fpp: float = 0.01) -> None:
     """Encode ``docs(doc_id, text)`` and write them to ``path`` in ascending doc_id order.
 
     A null or empty text is the end id alone. Null ids come first; rows with one id follow each
     other in the order of their text's hash, and each keeps its own entry. Other columns are
-    ignored. An empty table gives files without rows. ``files`` (default: the session's shuffle
-    partitions) is the number of ranges; ids that repeat can be split between files.
+    ignored. An empty table gives files without rows. ``files`` is the number of ranges, by default
+    one for each ``file_bytes`` of text; ids that repeat can be split between files.
     """
-    files = files or shuffle_parts(docs.sparkSession)
+    files = files or max(1, -(-text_bytes(docs) // file_bytes))
     placed = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
               .withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
               .repartitionByRange(files, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row"))
