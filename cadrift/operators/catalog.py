@@ -27,7 +27,7 @@ def gap_sessions(df: DataFrame, ts: str = "abs_time_s", gap: int = GAP_S, by: Se
     if largest <= scale.HOT_GROUP_ROWS:
         return scale.gap_chains(df, by, ts, gap, TIME_SPAN_S, "session_start", largest)
     times = df.select(*by, ts).distinct()
-    return df.join(scale.gap_chains(times, by, ts, gap, TIME_SPAN_S, "session_start"), [*by, ts])
+    return scale.meet(df, scale.gap_chains(times, by, ts, gap, TIME_SPAN_S, "session_start"), [*by, ts])
 
 
 def number_sessions(sessions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -76,12 +76,12 @@ def labelled_groups(parsed: DataFrame) -> DataFrame:
     """
     rows = parsed.filter("target IS NOT NULL")
     sizes = rows.groupBy(*_CAD).agg(F.count("*").alias("n_files"))
-    six = rows.join(sizes.filter(F.col("n_files") == CADENCE_FILES), _CAD, "left_semi")
+    six = scale.meet(rows, sizes.filter(F.col("n_files") == CADENCE_FILES), _CAD).drop("n_files")
     s = F.sort_array(F.collect_list(F.struct("secs", "path", "obs_type")))
     files = six.groupBy(*_CAD).agg(s.alias("_s")).select(
         *_CAD, F.transform("_s", lambda x: x["path"]).alias("files"),
         (F.transform("_s", lambda x: x["obs_type"]) == F.array(*[F.lit(p) for p in PATTERN])).alias("pattern_ok"))
-    return sizes.join(files, _CAD, "left")
+    return scale.meet(sizes, files, _CAD, "left")
 
 
 def dedupe_filesets(cads: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def chunk_cadences(df: DataFrame, keys: Sequence[str], n: int = CADENCE_FILES, t
     largest = scale.largest_group(df, keys) if largest is None else largest
     ranked = scale.ordered_rank(df, keys, [ts, tie], F.floor(F.col(ts) / DAY_S), "_pos", largest)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    pos = ranked.join(sizes, keys).withColumn("chunk", F.floor((F.col("_pos") - 1) / n))
+    pos = scale.meet(ranked, sizes, keys).withColumn("chunk", F.floor((F.col("_pos") - 1) / n))
     full = pos.filter(F.col("chunk") < F.floor(F.col("_n") / n))
     rows = full.withColumn("obs_idx", F.pmod(F.col("_pos") - 1, F.lit(n))).drop("_pos", "_n")
     left = sizes.select(*keys, F.pmod("_n", F.lit(n)).alias("n_leftover")).filter("n_leftover > 0")
@@ -142,7 +142,7 @@ def cadence_table(rows: DataFrame, keys: Sequence[str], ts: str = "abs_time_s",
     files = rows.groupBy(*k).agg(
         F.transform(F.sort_array(F.collect_list(F.struct(ts, tie))), lambda s: s[tie]).alias("files"),
         F.sort_array(F.collect_set("mjd_day")).alias("mjd_days"))
-    return infer_on_off(rows, k, ts=ts, tie=tie).join(files, k)
+    return scale.meet(infer_on_off(rows, k, ts=ts, tie=tie), files, k)
 
 
 def validate_shapes(headers: DataFrame, tchans: int, cadence: str = "cadence_idx") -> DataFrame:
@@ -251,14 +251,14 @@ def session_summary(sessions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("mjd_day")), "/").alias("days"),
         F.pmod(F.min("abs_time_s"), F.lit(DAY_S)).alias("t_start"), F.pmod(F.max("abs_time_s"), F.lit(DAY_S)).alias("t_end"),
         (F.max("abs_time_s") - F.min("abs_time_s")).alias("span_s"), F.count("*").alias("n_files"))
-    return t.join(infer_on_off(sessions, keys), keys)
+    return scale.meet(t, infer_on_off(sessions, keys), keys)
 
 
 def session_members(sessions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Every file with its session and role."""
     keys = [*by, "session_start"]
     on = infer_on_off(sessions, keys).select(*keys, "on_target")
-    return sessions.join(on, keys).select(
+    return scale.meet(sessions, on, keys).select(
         *keys, "file", "target", F.when(F.col("target").eqNullSafe(F.col("on_target")), "ON").otherwise("OFF").alias("role"))
 
 
@@ -269,7 +269,7 @@ def product_summary(cads: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_list("target")), ", ").alias("first_targets"))
     base = per.groupBy("product").agg(F.sum("c").alias("n_cadences"), F.count("*").alias("n_targets"),
                                       F.min("lo").alias("mjd_min"), F.max("hi").alias("mjd_max"))
-    return base.join(listed, "product")
+    return scale.meet(base, listed, ["product"])
 
 
 def band_members(df: DataFrame, tol: float = 1.0) -> DataFrame:

@@ -54,7 +54,7 @@ def scores_below(background: DataFrame, points: DataFrame, keys: Sequence[str],
     total = background.groupBy(*keys).agg(F.count(score).alias("n_background"))
     at_v = run.select(*keys, F.col("_v").alias("_at"), (F.col("_cum") - F.col("_c")).alias("n_below"),
                       F.col("_c").alias("n_equal"))
-    j = points.withColumn("_at", F.col(at).cast("double")).join(at_v, [*keys, "_at"]).drop("_at")
+    j = scale.meet(points.withColumn("_at", F.col(at).cast("double")), at_v, [*keys, "_at"]).drop("_at")
     out = scale.attach(j, total, keys, "left") if keys else scale.attach(j, total, [])
     return out.withColumn("n_background", F.coalesce("n_background", F.lit(0)))
 
@@ -121,10 +121,16 @@ def variance_verdict(detection: DataFrame, high_snr: float = 30.0) -> DataFrame:
 
 # ------------------------------------------------------------------ survival of trials
 
-def survival_cascade(trials: DataFrame, stages: Sequence[str], by: str = "morphology") -> DataFrame:
-    """Share (%) of trials passing each stage, per SNR, per ``by`` and pooled (NULL)."""
-    return trials.rollup("snr", by).agg(*[
-        (F.avg(F.col(s).cast("double")) * 100).alias(s) for s in stages]).filter("snr IS NOT NULL")
+def survival_cascade(trials: DataFrame, stages: Sequence[str], by: str = "morphology",
+                     pooled: str | None = None) -> DataFrame:
+    """Share (%) of trials passing each stage, per SNR, per ``by`` and pooled (NULL).
+
+    ``pooled`` names a column that tells the pooled rows from those of a NULL ``by``. Trials of a
+    NULL SNR are a group like others.
+    """
+    rows = trials.rollup("snr", by).agg(F.grouping_id().alias("_g"), *[
+        (F.avg(F.col(s).cast("double")) * 100).alias(s) for s in stages]).filter("_g <> 3")
+    return (rows.withColumn(pooled, F.col("_g") == 1) if pooled else rows).drop("_g")
 
 
 def cut_cost(trials: DataFrame, a: str, b: str, by: Sequence[str] = ("morphology", "snr")) -> DataFrame:
@@ -356,26 +362,31 @@ def attribution_table(scored: DataFrame, scores: Sequence[str]) -> DataFrame:
     return a.groupBy("setting", "case").pivot("name", list(scores)).agg(F.max("auc"))
 
 
-# Acceptance bars (name, metric, comparison, bound).
+# Acceptance bars (name, metric, comparison, bound); "abs<=" bounds the size.
 GATES = (
     ("B1", "matched_auc", ">=", 0.80),
+    ("B1b", "margin_over_probe", ">", 0.0),
     ("B2a", "tpr_snr12", ">=", 70.0),
     ("B2b", "tpr_snr10", ">=", 40.0),
     ("B3a", "tpr_snr5", ">", 0.0),
     ("B3b", "tpr_snr7", ">", 0.0),
-    ("B4", "train_val_gap", "<=", 0.03),
+    ("B4", "train_val_gap", "abs<=", 0.03),
     ("B5a", "energy_residual", "<=", 0.58),
     ("B5b", "margin_over_simple", ">=", 0.15),
 )
 
 
 def acceptance_gates(metrics: DataFrame, gates=GATES) -> DataFrame:
-    """Pass or fail of every gate whose metric is known (metrics: metric, value)."""
+    """Every gate with its value and whether it passes; both NULL where the metric was not measured.
+
+    ``metrics``: metric, value.
+    """
     g = metrics.sparkSession.createDataFrame([(n, m, c, float(b)) for n, m, c, b in gates],
                                              "gate string, metric string, comparison string, bound double")
     v, b, c = F.col("value"), F.col("bound"), F.col("comparison")
-    ok = F.when(c == ">=", v >= b).when(c == ">", v > b).when(c == "<=", v <= b).when(c == "<", v < b)
-    return metrics.join(g, "metric").select("gate", "metric", "value", "comparison", "bound", ok.alias("passed"))
+    ok = (F.when(c == ">=", v >= b).when(c == ">", v > b).when(c == "<=", v <= b).when(c == "<", v < b)
+          .when(c == "abs<=", F.abs(v) <= b))
+    return g.join(metrics, "metric", "left").select("gate", "metric", "value", "comparison", "bound", ok.alias("passed"))
 
 
 def one_class_report(calibration: DataFrame, injected: DataFrame, rfi: DataFrame) -> DataFrame:

@@ -92,16 +92,12 @@ class IsolationForest:
         self.nodes: pd.DataFrame | None = None
 
     def _subsamples(self, df: DataFrame, vec: str, ids: Sequence[str]) -> DataFrame:
-        """Seeded subsample per tree. A big table gives each kept row to one tree only."""
-        n = df.count()
-        want = 4 * self.trees * self.psi
-        rows = df.select(*ids, F.col(vec).alias("_v"))
-        if n <= want:
-            rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
-        else:
-            h = F.xxhash64(F.lit(self.seed), *ids)
-            rows = rows.filter(F.pmod(h, F.lit(1 << 20)) < F.lit(max(1, int(np.ceil((1 << 20) * want / n)))))
-            rows = rows.withColumn("tree", F.pmod(F.xxhash64(F.lit(self.seed + 1), *ids), F.lit(self.trees)).cast("int"))
+        """Seeded subsample per tree: every (row, tree) is thinned by hash to about four times
+        ``psi`` rows a tree, before anything moves, and the first ``psi`` of these stay."""
+        kept = max(1, int(np.ceil((1 << 40) * min(1.0, 4 * self.psi / max(df.count(), 1)))))
+        place = lambda t: F.pmod(F.xxhash64(F.lit(self.seed), t, *ids), F.lit(1 << 40))
+        trees = F.filter(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: place(t) < F.lit(kept))
+        rows = df.select(*ids, F.col(vec).alias("_v"), F.explode(trees).alias("tree"))
         rows = rows.withColumn("_h", scale.seeded_hash(self.seed, "tree", *ids))
         return scale.top_per_key(rows, ["tree"], ["_h", *ids], self.psi).select("tree", "_h", "_v")
 
@@ -156,16 +152,18 @@ class IsolationForest:
 # ------------------------------------------------------------------ mixture density
 
 class MixtureDensity:
-    """Negative log density under a Gaussian mixture; same interface as the forest."""
+    """Negative log density under a Gaussian mixture of the whole vector, or of its ``dims`` first
+    principal components; same interface as the forest."""
 
-    def __init__(self, k: int = 3, seed: int = 42, dims: int = 8):
+    def __init__(self, k: int = 3, seed: int = 42, dims: int | None = None):
         self.k, self.seed, self.dims = k, seed, dims
         self.parts = None
 
     def fit(self, df: DataFrame, vec: str = "vec") -> MixtureDensity:
         from pyspark.ml.clustering import GaussianMixture
         from pyspark.ml.functions import array_to_vector
-        self.proj = fit_pca(df, min(self.dims, df.select(F.size(vec)).first()[0]), vec)
+        size = df.select(F.size(vec)).first()[0]
+        self.proj = (np.zeros(size), np.eye(size)) if self.dims is None else fit_pca(df, min(self.dims, size), vec)
         z = project(df, self.proj, vec).select(array_to_vector("z").alias("features"))
         m = GaussianMixture(k=self.k, seed=self.seed, maxIter=30).fit(z)
         rows = m.gaussiansDF.collect()  # k rows

@@ -55,7 +55,7 @@ def stratified_split(df: DataFrame, strata: Sequence[str], id_col: str, fracs: S
     ranked = scale.hash_rank(df, strata, seed, [id_col], "_r", largest=scale.largest_group(df, strata))
     pool = (F.when(F.col("_r") <= F.col("_t"), "train")
             .when(F.col("_r") <= F.col("_t") + F.col("_h"), "heldout").otherwise("val"))
-    return ranked.join(plan, strata).select(*df.columns, pool.alias("pool"))
+    return scale.meet(ranked, plan, strata).select(*df.columns, pool.alias("pool"))
 
 
 def _repair_pass(df: DataFrame, required: str, target: str, id_col: str, seed: int) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ aggregate while groups are small and narrow the search interval by sketches beyo
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,21 +21,34 @@ HOT_GROUP_ROWS = 2_000_000
 GRID = 128
 
 
+def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL meets NULL; columns of ``left``, then the rest of ``right``."""
+    keys = list(keys)
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Add the columns of a per-key table; without keys, of a one-row table."""
+    """Add the columns of a per-key table, NULL keys included; without keys, of a one-row table."""
     if keys:
-        return df.join(stats, list(keys), how)
+        return meet(df, stats, keys, how)
     packed = stats.select(F.struct(*[F.col(c) for c in stats.columns])).scalar()
     return df.withColumn("_s", packed).select(*df.columns, "_s.*")
 
 
+def group_key(keys: Sequence[str], *more: str) -> Column:
+    """The keys as one value that is never NULL itself, so windows, sums and joins on it keep NULL keys."""
+    return F.struct(*[F.col(k) for k in (*keys, *more)]) if keys or more else F.struct(F.lit(0).alias("_none"))
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column,
                 values: dict[str, Column | str], largest: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` per key in the order of ``order``.
 
     A plain window while the ``largest`` group is known to fit one task. Otherwise sums run
-    per bucket and are stitched: ``bucket`` must not decrease along ``order`` and bounds
-    what one task sorts.
+    per bucket and are stitched: ``bucket`` must not decrease along ``order`` (NULL first) and
+    bounds what one task sorts. NULL keys and NULL positions are kept in both.
     """
     keys = list(keys)
     if largest is not None and largest <= HOT_GROUP_ROWS:
@@ -44,14 +58,16 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Col
     b = df.withColumn("_b", bucket)
     for name, v in values.items():
         b = b.withColumn(f"_v_{name}", F.col(v) if isinstance(v, str) else v)
-    local = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(
+    b = b.withColumn("_g", group_key(keys, "_b"))
+    local = Window.partitionBy("_g").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = b.groupBy(*keys, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    offsets = totals.select(*keys, "_b", *[
+    before = Window.partitionBy("_k").orderBy("_g._b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = b.groupBy("_g").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values]).withColumn(
+        "_k", F.struct(*[F.col("_g").getField(k).alias(k) for k in keys] or [F.lit(0).alias("_none")]))
+    offsets = totals.select("_g", *[
         F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values])
     rows = b.select("*", *[F.sum(f"_v_{n}").over(local).alias(f"_l_{n}") for n in values])
-    joined = rows.join(offsets, [*keys, "_b"])
+    joined = rows.join(offsets, "_g")
     return joined.select(*df.columns, *[
         (F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in values])
 
@@ -98,25 +114,26 @@ def gap_chains(df: DataFrame, keys: Sequence[str], pos: str, gap, span: int,
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return (df.withColumn("_start", start)
                 .withColumn(name, F.max("_start").over(upto)).drop("_start"))
-    b = df.withColumn("_b", F.floor(F.col(pos) / F.lit(span)))
-    local = Window.partitionBy(*keys, "_b").orderBy(pos)
-    over_buckets = Window.partitionBy(*keys).orderBy("_b")
-    edges = (b.groupBy(*keys, "_b").agg(F.max(pos).alias("_last"))
-             .select(*keys, "_b", F.lag("_last").over(over_buckets).alias("_prev_last")))
+    b = df.withColumn("_b", F.floor(F.col(pos) / F.lit(span))).withColumn("_g", group_key(keys, "_b"))
+    key = F.struct(*[F.col("_g").getField(k).alias(k) for k in keys] or [F.lit(0).alias("_none")])
+    local = Window.partitionBy("_g").orderBy(pos)
+    over_buckets = Window.partitionBy("_k").orderBy("_g._b")
+    edges = (b.groupBy("_g").agg(F.max(pos).alias("_last")).withColumn("_k", key)
+             .select("_g", F.lag("_last").over(over_buckets).alias("_prev_last")))
     flagged = (
-        b.withColumn("_lag", F.lag(pos).over(local)).join(edges, [*keys, "_b"])
+        b.withColumn("_lag", F.lag(pos).over(local)).join(edges, "_g")
         .withColumn("_prev", F.coalesce("_lag", "_prev_last"))
         .withColumn("_start", F.when(F.col("_prev").isNull()
                                      | (F.col(pos) - F.col("_prev") > gap), F.col(pos)))
     )
     carried = (
-        flagged.groupBy(*keys, "_b").agg(F.max("_start").alias("_ls"))
-        .select(*keys, "_b", F.max("_ls").over(
+        flagged.groupBy("_g").agg(F.max("_start").alias("_ls")).withColumn("_k", key)
+        .select("_g", F.max("_ls").over(
             over_buckets.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     )
     seen = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (flagged.withColumn("_in", F.max("_start").over(seen))
-            .join(carried, [*keys, "_b"])
+            .join(carried, "_g")
             .select(*df.columns, F.coalesce("_in", "_carry").alias(name)))
 
 
@@ -165,35 +182,40 @@ def _quantiles_by_narrowing(df, keys, value, probs, limit):
     For each (key, probability) hold an interval known to contain both neighbours of the
     wanted position and the number of rows below it. A sketch of the rows inside gives a
     tighter interval; one counting pass makes it exact. Ends when the distinct values
-    inside fit one task.
+    inside fit one task, or when a pass leaves as many rows as it found. NaN is the largest
+    value. Groups without a value keep their row, with NULL.
     """
-    g = [*keys, "_p"]
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
-    n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    g = ["_k", "_p"]
+    keyed = df.select(group_key(keys).alias("_k"), F.col(value).cast("double").alias("_x"))
+    rows = keyed.filter(F.col("_x").isNotNull())
+    n = rows.groupBy("_k").agg(F.count("*").alias("_n"))
     wanted = F.array(*[F.struct(F.lit(name).alias("_p"), F.lit(float(p)).alias("_q"))
                        for name, p in probs.items()])
-    target = n.select(*keys, "_n", F.explode(wanted).alias("_w")).select(
-        *keys, "_w._p", ((F.col("_n") - 1) * F.col("_w._q")).alias("_h"))
+    target = n.select("_k", "_n", F.explode(wanted).alias("_w")).select(
+        "_k", "_w._p", ((F.col("_n") - 1) * F.col("_w._q")).alias("_h"))
     target = cut(target.select(
         *g, "_h", F.floor("_h").alias("_r0"), F.ceil("_h").alias("_r1")))
-    pick = target.select(*g)
-    inside = (rows.join(pick, keys) if keys else
-              rows.withColumn("_p", F.explode(F.array(*[F.lit(p) for p in probs]))))
+    inside = rows.withColumn("_p", F.explode(F.array(*[F.lit(p) for p in probs])))
     grid = [i / GRID for i in range(GRID + 1)]
+    before = None
     while True:
         counted = inside.groupBy(*g, "_x").agg(F.count("*").alias("_c"))
-        if largest_group(counted, g) <= limit:
+        now, held = counted.groupBy(*g).agg(F.count("*").alias("_d"), F.sum("_c").alias("_m")).agg(
+            F.max("_d"), F.sum("_m")).first()
+        if (now or 0) <= limit or held == before:
             break
+        before = held
+        finite = F.when(~F.isnan("_x"), F.col("_x"))
         sketch = inside.groupBy(*g).agg(
-            F.count("*").alias("_m"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-            F.percentile_approx("_x", grid, 10_000).alias("_a"))
-        first = F.floor(F.col("_r0") / F.col("_m") * GRID) - 1
-        last = F.ceil(F.col("_r1") / F.col("_m") * GRID) + 1
+            F.count(finite).alias("_m"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
+            F.percentile_approx(finite, grid, 10_000).alias("_a"))
+        first = F.floor(F.try_divide(F.col("_r0"), F.col("_m")) * GRID) - 1
+        last = F.ceil(F.try_divide(F.col("_r1"), F.col("_m")) * GRID) + 1
         box = sketch.join(target, g).select(
             *g,
-            F.when(first < 1, F.col("_min")).otherwise(
+            F.when((first < 1) | (first > GRID) | first.isNull(), F.col("_min")).otherwise(
                 F.get("_a", F.greatest(first, F.lit(0)).cast("int"))).alias("_lo"),
-            F.when(last >= GRID, F.col("_max")).otherwise(
+            F.when((last >= GRID) | last.isNull(), F.col("_max")).otherwise(
                 F.get("_a", F.least(last, F.lit(GRID)).cast("int"))).alias("_hi"))
         box = cut(box)
         boxed = inside.join(box, g)
@@ -211,8 +233,10 @@ def _quantiles_by_narrowing(df, keys, value, probs, limit):
                 F.min(F.when(F.col("_cum") > F.col("_r1"), F.col("_x"))).alias("_z")))
     frac = F.col("_h") - F.floor("_h")
     solved = hit.select(*g, (F.col("_a") + (F.col("_z") - F.col("_a")) * frac).alias("_v"))
-    return solved.groupBy(*keys).agg(*[
+    known = solved.groupBy("_k").agg(*[
         F.max(F.when(F.col("_p") == name, F.col("_v"))).alias(name) for name in probs])
+    every = keyed.select("_k").distinct() if keys else df.sparkSession.range(1).select(group_key([]).alias("_k"))
+    return every.join(known, "_k", "left").select(*[F.col("_k").getField(k).alias(k) for k in keys], *probs)
 
 
 def robust_stats(df: DataFrame, keys: Sequence[str], value: str, *, scale: float = 1.4826,
@@ -229,9 +253,7 @@ def robust_stats(df: DataFrame, keys: Sequence[str], value: str, *, scale: float
         *keys, F.abs(F.col(value) - F.col(names[0])).alias("_d"))
     mad = exact_quantiles(dev, keys, "_d", {names[1]: 0.5}, limit, largest)
     mad = mad.withColumn(names[1], F.col(names[1]) * F.lit(scale))
-    if keys:
-        return med.join(mad, keys)
-    return attach(med, mad, [])
+    return attach(med, mad, keys)
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,

@@ -26,7 +26,7 @@ def thresholds(scores: DataFrame, by: Sequence[str], far: float = FAR_QUANTILE)
         F.count("*").alias("n"),
         *[F.count_if(F.col("score") > F.col(t)).alias(n) for t, n in (
             ("thresh_3", "n_3s"), ("thresh_5", "n_5s"), ("far_thresh", "n_far"))])
-    return base.join(above, by) if by else scale.attach(base, above, [])
+    return scale.attach(base, above, by)
 
 
 def threshold_values(scores: DataFrame, by: Sequence[str], far: float = FAR_QUANTILE,
@@ -41,7 +41,7 @@ def threshold_values(scores: DataFrame, by: Sequence[str], far: float = FAR_QUAN
     else:
         q = scale.exact_quantiles(scores, by, "score", {"far_thresh": far}, largest=largest)
         st = scale.robust_stats(scores, by, "score", largest=largest)
-        both = q.join(st, by) if by else scale.attach(q, st, [])
+        both = scale.attach(q, st, by)
     return both.select(
         *by, "median", "mad_sigma", (F.col("median") + 3 * F.col("mad_sigma")).alias("thresh_3"),
         (F.col("median") + 5 * F.col("mad_sigma")).alias("thresh_5"), "far_thresh")

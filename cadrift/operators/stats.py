@@ -17,62 +17,55 @@ def off_noise_ceiling(pool: DataFrame, keys: Sequence[str], value: str, quantile
 
     The survivors of a round are those within ``width`` of ``center``, so the state carried
     between rounds is one small row per key, never a mask. A round that finds no spread, or
-    keeps as many values as before, ends a key without taking effect.
+    keeps as many values as before, ends a key without taking effect. NULL and NaN are not
+    counted; a key without other values has a NULL ceiling.
     """
     keys = list(keys)
     own = keys or ["_g"]
     pool = pool if keys else pool.withColumn("_g", F.lit(0))
-    pool = cut(pool.select(*own, F.col(value).cast("double").alias("_x")))
+    x = F.col(value).cast("double")
+    pool = cut(pool.select(*own, F.when(~F.isnan(x), x).alias("_x")))
     largest = scale.largest_group(pool, own)
     if largest <= (scale.HOT_GROUP_ROWS if limit is None else limit):
         return _ceiling_of_small_groups(pool, own, quantile, iters, clip).drop("_g")
     state = cut(pool.groupBy(*own).agg(
-        F.count("*").alias("n_pool"), F.count("*").alias("kept"), F.lit(0.0).alias("center"),
-        F.lit(float("inf")).alias("width"), F.lit(False).alias("done")))
+        F.count("_x").alias("n_pool"), F.count("_x").alias("kept"), F.lit(0.0).alias("center"),
+        F.lit(float("inf")).alias("width"), (F.count("_x") == 0).alias("done")))
 
     def inside(s: DataFrame) -> DataFrame:
-        return pool.join(s, own).filter(F.abs(F.col("_x") - F.col("center")) <= F.col("width"))
+        return scale.meet(pool, s, own).filter(F.abs(F.col("_x") - F.col("center")) <= F.col("width"))
 
     for _ in range(iters):
         live = state.filter(~F.col("done")).select(*own, "center", "width")
         core = cut(scale.robust_stats(inside(live), own, "_x", limit=limit, largest=largest))
         fits = F.abs(F.col("_x") - F.col("median")) <= clip * F.col("mad_sigma")
-        again = pool.join(core, own).groupBy(*own).agg(F.count_if(fits).alias("_m"))
+        again = scale.meet(pool, core, own).groupBy(*own).agg(F.count_if(fits).alias("_m"))
         stop = F.col("done") | (F.col("mad_sigma") == 0) | (F.col("_m") == F.col("kept"))
 
         def upd(new: Column, old: str) -> Column:
             return F.when(stop, F.col(old)).otherwise(new).alias(old)
 
-        state = cut(state.join(core, own, "left").join(again, own, "left").select(
+        state = cut(scale.meet(scale.meet(state, core, own, "left"), again, own, "left").select(
             *own, "n_pool", upd(F.col("_m"), "kept"), upd(F.col("median"), "center"),
             upd(clip * F.col("mad_sigma"), "width"), stop.alias("done")))
         if state.filter(~F.col("done")).isEmpty():
             break
     top = scale.exact_quantiles(inside(state.select(*own, "center", "width")), own, "_x",
                                 {"ceiling": quantile}, limit, largest)
-    return state.select(*own, "n_pool", F.col("kept").alias("n_core")).join(top, own).drop("_g")
+    return scale.meet(state.select(*own, "n_pool", F.col("kept").alias("n_core")), top, own, "left").drop("_g")
 
 
 def _ceiling_of_small_groups(pool: DataFrame, own, quantile: float, iters: int, clip: float) -> DataFrame:
-    """The same rule for groups checked to fit one task, vectorised per group."""
-    import numpy as np
-    import pandas as pd
-
-    def per_group(key, pdf):
-        x = pdf["_x"].to_numpy()
-        core = x
-        for _ in range(iters):
-            mid = np.median(core)
-            spread = 1.4826 * np.median(np.abs(core - mid))
-            kept = x[np.abs(x - mid) <= clip * spread]
-            if spread == 0 or kept.size == core.size:
-                break
-            core = kept
-        return pd.DataFrame([(*key, x.size, core.size, float(np.quantile(core, quantile)))])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.select(*own).schema)
-    return pool.groupBy(*own).applyInPandas(
-        per_group, f"{fields}, n_pool long, n_core long, ceiling double")
+    """The same rule on one sorted array per group, for groups checked to fit one task."""
+    g = scale.sorted_values(pool, own, "_x").withColumn("_core", F.col("_s")).withColumn("_done", F.lit(False))
+    for _ in range(iters):
+        g = g.withColumn("_mid", scale.quantile_of(F.col("_core"), 0.5))
+        g = g.withColumn("_w", scale.mad_of(F.col("_core"), F.col("_mid")) * 1.4826)
+        g = g.withColumn("_kept", F.filter("_s", lambda v: F.abs(v - F.col("_mid")) <= clip * F.col("_w")))
+        stop = F.col("_done") | (F.size("_core") == 0) | (F.col("_w") == 0) | (F.size("_kept") == F.size("_core"))
+        g = g.withColumn("_done", stop).withColumn("_core", F.when(F.col("_done"), F.col("_core")).otherwise(F.col("_kept")))
+    return g.select(*own, F.size("_s").cast("long").alias("n_pool"), F.size("_core").cast("long").alias("n_core"),
+                    scale.quantile_of(F.col("_core"), quantile).alias("ceiling"))
 
 
 def _long_moments(px: DataFrame, by: str, frame: str, value: str) -> DataFrame:
@@ -309,12 +302,12 @@ def component_budget(cells: DataFrame, w: Sequence[float]) -> DataFrame:
                     (F.col("c") / F.greatest("a", F.lit(1e-12))).alias("ss_over_st1"))
 
 
-def category_energy(frames: DataFrame, first: int = 50) -> DataFrame:
-    """Energy in, energy of the reconstruction, ratio and peaks per class, first rows of each.
+def category_energy(frames: DataFrame, first: int | None = None) -> DataFrame:
+    """Energy in, energy of the reconstruction, ratio and peaks per class; of its ``first`` frames if given.
 
     Columns in: frame, class, e_in, e_rec, peak_in, peak_rec.
     """
-    f = scale.top_per_key(frames, ["class"], ["frame"], first)
+    f = scale.top_per_key(frames, ["class"], ["frame"], first) if first else frames
     return f.groupBy("class").agg(
         F.count("*").alias("n"), F.avg("e_in").alias("e_in"), F.avg("e_rec").alias("e_rec"),
         F.avg(F.col("e_rec") / F.greatest("e_in", F.lit(1e-10))).alias("ratio"),

@@ -283,8 +283,9 @@ def _(spark, d):
 
 @query("eval18_acceptance_gates", f"""WITH {_OP}, {auc_sql("op", "", name="a3")}, m AS (SELECT 'matched_auc' AS metric, (SELECT auc FROM a3) AS value UNION ALL SELECT 'tpr_snr12', (SELECT max(tpr) FROM tp)
    UNION ALL SELECT 'margin_over_simple', (SELECT max(a1.auc - a2.auc) FROM a1 JOIN a2 USING (snr)) UNION ALL SELECT 'train_val_gap', (SELECT max(auc) - min(auc) FROM a1)),
-  g AS (SELECT * FROM (VALUES ('B1', 'matched_auc', '>=', 0.80::DOUBLE), ('B2a', 'tpr_snr12', '>=', 70.0::DOUBLE), ('B4', 'train_val_gap', '<=', 0.03::DOUBLE), ('B5b', 'margin_over_simple', '>=', 0.15::DOUBLE)) t(gate, metric, comparison, bound))
-  SELECT gate, metric, round(value, 6) AS value, comparison, bound, CASE WHEN comparison = '>=' THEN value >= bound ELSE value <= bound END AS passed FROM m JOIN g USING (metric)""")
+  g AS (SELECT * FROM (VALUES ('B1', 'matched_auc', '>=', 0.80::DOUBLE), ('B1b', 'margin_over_probe', '>', 0.0::DOUBLE), ('B2a', 'tpr_snr12', '>=', 70.0::DOUBLE), ('B2b', 'tpr_snr10', '>=', 40.0::DOUBLE),
+   ('B3a', 'tpr_snr5', '>', 0.0::DOUBLE), ('B3b', 'tpr_snr7', '>', 0.0::DOUBLE), ('B4', 'train_val_gap', 'abs<=', 0.03::DOUBLE), ('B5a', 'energy_residual', '<=', 0.58::DOUBLE), ('B5b', 'margin_over_simple', '>=', 0.15::DOUBLE)) t(gate, metric, comparison, bound))
+  SELECT gate, metric, round(value, 6) AS value, comparison, bound, CASE comparison WHEN '>=' THEN value >= bound WHEN '>' THEN value > bound WHEN 'abs<=' THEN abs(value) <= bound ELSE value <= bound END AS passed FROM g LEFT JOIN m USING (metric)""")
 def _(spark, d):
     s = V.labelled(spark, d).select(F.col("quality").alias("snr"), "label", "score", F.pmod("doc_id", F.lit(97)).cast("double").alias("energy"))
     o = evaluate.operational_auc(s)

@@ -352,7 +352,7 @@ def _(spark, d):
   q AS (SELECT quantile_cont(hot_frac, 0.25) AS a, quantile_cont(hot_frac, 0.75) AS b FROM fr),
   c AS (SELECT *, CASE WHEN hot_frac <= a THEN 'quiet' WHEN hot_frac >= b THEN 'rfi' ELSE 'middle' END AS class FROM fr, q)
   SELECT class, count(*) AS n, round(avg(e_in), 6) AS e_in, round(avg(e_rec), 6) AS e_rec, round(avg(e_rec / greatest(e_in, 1e-10)), 6) AS ratio, max(peak_in) AS peak_in, round(max(peak_rec), 6) AS peak_rec
-  FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY class ORDER BY frame) <= 50) GROUP BY 1""")
+  FROM c GROUP BY 1""")
 def _(spark, d):
     px = _px(spark, d)
     mean = px.groupBy("frame").agg(F.avg("x").alias("xhat"))

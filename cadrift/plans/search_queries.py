@@ -368,12 +368,10 @@ _OLDCUT = "(SELECT s.* FROM scores s JOIN cf USING (cadence_idx) WHERE score > f
   SELECT cadence_idx, ceiling_source, round(far_thresh, 6) AS far_thresh, round(off_ceiling, 6) AS off_ceiling,
    round(far_thresh / off_ceiling, 6) AS far_over_ceiling, coalesce(o.n, 0) AS n_clusters_now,
    coalesce(w.n, 0) AS n_clusters_new, round(coalesce(w.n, 0) / greatest(coalesce(o.n, 0), 1), 6) AS cluster_multiplier
-  FROM cf LEFT JOIN o USING (cadence_idx) LEFT JOIN w USING (cadence_idx)
-  ORDER BY n_clusters_new DESC, cadence_idx LIMIT 12""")
+  FROM cf LEFT JOIN o USING (cadence_idx) LEFT JOIN w USING (cadence_idx)""")
 def _(spark, d):
     v = search.candidate_volume(V.scores(spark, d), _fallback(spark, d), V.STRIDE, V.largest_cadence(spark, d))
-    top = v.orderBy(F.col("n_clusters_new").desc(), "cadence_idx").limit(12)
-    return rnd(top, "far_thresh", "off_ceiling", "far_over_ceiling", "cluster_multiplier")
+    return rnd(v, "far_thresh", "off_ceiling", "far_over_ceiling", "cluster_multiplier")
 
 
 _MAPCL = chains_sql("cl", "(SELECT s.* FROM map_scores s JOIN thr USING (cadence_idx) WHERE score > far_thresh)", "true")

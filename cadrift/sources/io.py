@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadrift import schemas
 from cadrift.functions.geometry import band_geometry
-from cadrift.functions.names import basename, parse_rawspec_name
+from cadrift.functions.names import PRODUCT_PATTERN, basename, parse_rawspec_name
 from cadrift.operators import scale
 
 
@@ -18,7 +18,7 @@ def scan_observations(spark: SparkSession, root: str, product: str | None = None
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "*.{h5,hdf5}").load(root).select("path", "length"))
     if product:
-        files = files.filter(F.col("path").contains(f".{product}.h5"))
+        files = files.filter(F.regexp_extract(basename(F.col("path")), PRODUCT_PATTERN, 1) == product)
     return files
 
 
