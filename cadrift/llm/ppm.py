@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadrift.llm.common import blocks_of, slices
+from cadrift.llm.common import blocks_of, shuffle_parts, slices
 from cadrift.session import cut
 
 ORDER = 5
 END = b" "  # the end token among words; no word is a space
 HELD_OUT = 1
+TEXT_BITS = 62 - 8 * (ORDER + 1)  # numbers of texts that are scored together
 
 
 def words_of(text: str) -> list[bytes]:
@@ -63,17 +64,24 @@ def log_chance(gram: int, nodes: list[dict | None]) -> float:
     return out - math.log10(256 - len(seen))
 
 
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of sorted ones, and the sums of their counts."""
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    at = np.flatnonzero(first)
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
 class Gathered:
     """Distinct byte strings and words of a block with their counts in training texts."""
 
     def __init__(self):
-        self.raw, self.size = [], 0
-        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.raw, self.size, self.folded = [], 0, []
         self.words: Counter = Counter()
 
     def add(self, words: list[bytes], train: bool) -> None:
         g = grams(words)
-        self.raw.append((g, train))
+        self.raw.append(g << 1 | int(train))
         self.size += len(g)
         if train:
             self.words.update(words)
@@ -86,19 +94,24 @@ class Gathered:
             self.fold()
 
     def fold(self) -> None:
-        all_ = np.concatenate([self.keys, *(g for g, _ in self.raw)])
-        n = np.concatenate([self.counts, *(np.full(len(g), int(t)) for g, t in self.raw)])
-        self.keys, at = np.unique(all_, return_inverse=True)
-        self.counts = np.bincount(at, n, len(self.keys)).astype(np.int64)
-        self.raw, self.size = [], 0
+        if self.size:
+            both = np.sort(np.concatenate(self.raw))
+            self.folded.append(summed(both >> 1, both & 1))
+            self.raw, self.size = [], 0
+
+    def __len__(self) -> int:
+        return sum(len(k) for k, _ in self.folded) + len(self.words)
 
     def rows(self, block: int):
         self.fold()
+        keys, counts = (np.concatenate(c) for c in zip(*self.folded)) if self.folded else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(keys, kind="stable")  # sorted runs are merged
+        keys, counts = summed(keys[order], counts[order])
         words = list(self.words)
-        n = len(self.keys) + len(words)
-        gram = pa.concat_arrays([pa.array(self.keys), pa.nulls(len(words), pa.int64())])
-        word = pa.concat_arrays([pa.nulls(len(self.keys), pa.binary()), pa.array(words, pa.binary())])
-        count = np.concatenate([self.counts, np.fromiter(self.words.values(), np.int64, len(words))])
+        n = len(keys) + len(words)
+        gram = pa.concat_arrays([pa.array(keys), pa.nulls(len(words), pa.int64())])
+        word = pa.concat_arrays([pa.nulls(len(keys), pa.binary()), pa.array(words, pa.binary())])
+        count = np.concatenate([counts, np.fromiter(self.words.values(), np.int64, len(words))])
         out = pa.RecordBatch.from_arrays([gram, word, pa.array(count), pa.array(np.full(n, block, np.int32))], names=["gram", "word", "n", "block"])
         return slices([out], 1 << 16)
 
@@ -109,7 +122,7 @@ def gather(batches):
     for b in slices(batches):
         for block, train, text in zip(*(b.column(c).to_pylist() for c in ("block", "train", "text"))):
             held.setdefault(block, Gathered()).add(words_of(text), train)
-        if sum(len(h.keys) + len(h.words) for h in held.values()) > 3_000_000:
+        if sum(map(len, held.values())) > 4_000_000:
             for block, h in held.items():
                 yield from h.rows(block)
             held = {}
@@ -160,14 +173,30 @@ def score_block(total: int, kinds: int):
         order = np.argsort(key)
         key, chance = key[order], chance[order]
         count = dict(zip(word.filter(pa.array(~is_gram)).to_pylist(), value.to_numpy()[~is_gram].tolist()))
-        out = []
+        out, scores, waiting, size = [], [], [], 0
+
+        def add_up() -> None:
+            """Scores of the texts waiting. Their strings are sorted together, text numbers in the
+            low bits, so that one pass over the sorted answers finds them."""
+            both = np.sort(np.concatenate(waiting))
+            found = chance[np.searchsorted(key, both >> TEXT_BITS)]
+            scores.extend(np.bincount(both & (1 << TEXT_BITS) - 1, found, len(waiting)).tolist())
+            waiting.clear()
+
         for doc_id, held_out, text in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
             words = words_of(text)
             c = np.fromiter(map(count.__getitem__, [*words, END]), np.float64)
             base = float(np.log10((c + 0.5) / (total + 0.5 * (kinds + 1))).sum())
             g = grams(words)
-            score = float(sum(chance[np.searchsorted(key, g[i:i + (1 << 18)])].sum() for i in range(0, len(g), 1 << 18)))
-            out.append((doc_id, held_out, len(c), int((c > 0).sum()), total, base, score))
+            waiting.append(g << TEXT_BITS | len(waiting))
+            size += len(g)
+            if size > 1 << 20 or len(waiting) == 1 << TEXT_BITS:
+                add_up()
+                size = 0
+            out.append((doc_id, held_out, len(c), int((c > 0).sum()), total, base))
+        if waiting:
+            add_up()
+        out = [(*r, s) for r, s in zip(out, scores)]
         cols = list(zip(*out)) if out else [()] * 7
         kinds_ = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -175,7 +204,7 @@ def score_block(total: int, kinds: int):
     return run
 
 
-def score_texts(docs: DataFrame, block_bytes: int = 24 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of
     ``docs(doc_id, text)``.
 
@@ -189,6 +218,7 @@ def score_texts(docs: DataFrame, block_bytes: int = 24 << 20) -> DataFrame:
     dealt = named.select("block", "doc_id", held.alias("held_out"), (~held).alias("train"), "text")
     asked = (dealt.repartition(blocks, "block").select("block", "train", "text")
              .mapInArrow(gather, "gram long, word binary, n long, block int"))
+    asked = asked.repartition(shuffle_parts(docs.sparkSession), "gram", "word")  # a block sends a key once: nothing to combine before
     counted = cut(asked.groupBy("gram", "word").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")))
     of_words = counted.filter("word IS NOT NULL")
     sums = of_words.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first()
