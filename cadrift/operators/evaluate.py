@@ -189,60 +189,66 @@ LEVELS = 4  # grids of caliper / 64, / 16, / 4 and the caliper itself
 
 
 def caliper_match(a: DataFrame, b: DataFrame, caliper: float) -> DataFrame:
-    """1:1 pairs of near-equal values within ``caliper``; no unmatched pair that close remains.
+    """1:1 pairs (a_id, a_v, b_id, b_v) within ``caliper``; see ``caliper_pairs``."""
+    return caliper_pairs(a, b, [caliper]).drop("caliper")
+
+
+def caliper_pairs(a: DataFrame, b: DataFrame, calipers: Sequence[float]) -> DataFrame:
+    """For every caliper, 1:1 pairs of near-equal values; no unmatched pair that close remains.
 
     Pairs the i-th a with the i-th b in cells of a fine grid first, then of ever coarser ones
     up to the caliper, which approximates nearest-first matching. What is left in a coarsest
     cell is of one side, so two more passes match neighbouring cells across their edges,
     nearest to the edge first, and stop where the distance exceeds the caliper: after that
     nothing within the caliper is left. Order differs from a sequential greedy match. Each
-    pass ranks and meets on (cell, rank), a key that is never hot.
+    pass ranks and meets on (caliper, cell, rank), a key that is never hot; all calipers go
+    through the same six passes.
 
-    a, b: (id, v). Returns a_id, a_v, b_id, b_v.
+    a, b: (id, v). Returns caliper, a_id, a_v, b_id, b_v.
     """
-    left = cut(a.select("id", F.col("v").cast("double").alias("v"), F.lit("a").alias("side"))
-               .unionByName(b.select("id", F.col("v").cast("double").alias("v"), F.lit("b").alias("side"))))
-    cell = F.floor(F.col("v") / F.lit(caliper))
+    sides = [d.select("id", F.col("v").cast("double").alias("v"), F.lit(n).alias("side")) for d, n in ((a, "a"), (b, "b"))]
+    left = cut(sides[0].unionByName(sides[1]).withColumn("caliper", F.explode(F.array(*[F.lit(float(c)) for c in calipers]))))
+    cell = F.floor(F.col("v") / F.col("caliper"))
     # cells only get finer and rows only leave, so this bounds every pass
-    largest = 2 * scale.largest_group(left.select("side", cell.alias("c")), ["side", "c"])
+    largest = 2 * scale.largest_group(left.select("caliper", "side", cell.alias("c")), ["caliper", "side", "c"])
     found = None
     for step in range(LEVELS + 2):
         if step < LEVELS:
-            d = left.select("*", F.floor(F.col("v") / F.lit(caliper / 4 ** (LEVELS - 1 - step))).alias("_c"),
+            d = left.select("*", F.floor(F.col("v") / (F.col("caliper") / 4 ** (LEVELS - 1 - step))).alias("_c"),
                             (F.col("side") == "a").alias("_slot"), F.col("v").alias("_d"))
         else:
             low = F.pmod(F.col("_k") - (step - LEVELS), F.lit(2)) == 0
             d = left.withColumn("_k", cell).select(
-                "id", "v", "side", F.when(low, F.col("_k")).otherwise(F.col("_k") - 1).alias("_c"),
+                "caliper", "id", "v", "side", F.when(low, F.col("_k")).otherwise(F.col("_k") - 1).alias("_c"),
                 low.alias("_slot"), F.when(low, -F.col("v")).otherwise(F.col("v")).alias("_d"))
-        met = cut(_meet(d, largest, caliper, edges=step >= LEVELS))
+        met = cut(_meet(d, largest, edges=step >= LEVELS))
         is_a = F.col("x.side") == "a"
         pairs = met.filter("paired").select(
-            F.when(is_a, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(is_a, F.col("y")).otherwise(F.col("x")).alias("b"))
-        pairs = pairs.select("a.id", "a.v", "b.id", "b.v").toDF("a_id", "a_v", "b_id", "b_v")
+            "caliper", F.when(is_a, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(is_a, F.col("y")).otherwise(F.col("x")).alias("b"))
+        pairs = pairs.select("caliper", "a.id", "a.v", "b.id", "b.v").toDF("caliper", "a_id", "a_v", "b_id", "b_v")
         found = pairs if found is None else found.unionByName(pairs)
-        left = met.filter("NOT paired").select(F.explode(F.array_compact(F.array("x", "y"))).alias("s")).select("s.*")
+        left = met.filter("NOT paired").select("caliper", F.explode(F.array_compact(F.array("x", "y"))).alias("s")).select("caliper", "s.*")
     return found
 
 
-def _meet(d: DataFrame, largest: int, caliper: float, edges: bool) -> DataFrame:
-    """One row per (cell, rank) with the two rows that can meet there and whether they pair.
+def _meet(d: DataFrame, largest: int, edges: bool) -> DataFrame:
+    """One row per (caliper, cell, rank) with the two rows that can meet there and whether they pair.
 
     The slots are the sides inside a cell, and the lower and upper cell at an edge, where a
     coarsest cell holds one side only.
     """
-    key, order = ["_c", "side", "_slot"], ["_d", "id"]
+    key, order = ["caliper", "_c", "side", "_slot"], ["_d", "id"]
     bucket = F.lit(0)
     if largest > scale.HOT_GROUP_ROWS:
         d, bucket = scale.range_bucketed(d, order), F.col("_rb")
     ranked = scale.ordered_rank(d, key, order, bucket, "_i", largest)
     row = F.struct("id", "v", "side")
-    g = ranked.groupBy("_c", "_i").agg(F.max(F.when(F.col("_slot"), row)).alias("x"),
-                                       F.max(F.when(~F.col("_slot"), row)).alias("y"))
+    g = ranked.groupBy("caliper", "_c", "_i").agg(F.max(F.when(F.col("_slot"), row)).alias("x"),
+                                                  F.max(F.when(~F.col("_slot"), row)).alias("y"))
     ok = F.col("x.side") != F.col("y.side")
     if edges:
-        ok = ok & (F.abs(F.col("x.v") - F.col("y.v")) <= caliper)
-    return g.select("x", "y", F.coalesce(ok, F.lit(False)).alias("paired"))
+        ok = ok & (F.abs(F.col("x.v") - F.col("y.v")) <= F.col("caliper"))
+    return g.select("caliper", "x", "y", F.coalesce(ok, F.lit(False)).alias("paired"))
 
 
 CALIPERS = (0.10, 0.05, 0.03, 0.02, 0.01, 0.005)
@@ -254,20 +260,23 @@ def adaptive_caliper(a: DataFrame, b: DataFrame, calipers: Sequence[float] = CAL
 
     If none gets the orientation-free AUC down to ``neutral``, the one with the smallest AUC.
     """
-    best = (None, None, None)
-    for c in calipers:
-        pairs = caliper_match(a, b, c)
-        if pairs.count() < min_pairs:
+    pairs = cut(caliper_pairs(a, b, calipers))
+    long = pairs.select("caliper", F.explode(F.array(
+        F.struct(F.lit(0).alias("label"), F.col("a_v").alias("v")),
+        F.struct(F.lit(1).alias("label"), F.col("b_v").alias("v")))).alias("s")).select("caliper", "s.*")
+    auc = {r.caliper: r for r in roc_auc(long, ["caliper"], "label", "v", free=True).collect()}  # a row per caliper
+    best = (None, None)
+    for c in map(float, calipers):
+        r = auc.get(c)
+        if r is None or r.n_pos < min_pairs:
             continue
-        long = pairs.select(F.explode(F.array(
-            F.struct(F.lit(0).alias("label"), F.col("a_v").alias("v")),
-            F.struct(F.lit(1).alias("label"), F.col("b_v").alias("v")))).alias("s")).select("s.*")
-        auc = roc_auc(long, [], "label", "v", free=True).first()["auc"]
-        if auc <= neutral:
-            return c, pairs, auc
-        if best[2] is None or auc < best[2]:
-            best = (c, pairs, auc)
-    return best
+        if best[1] is None or r.auc < best[1]:
+            best = (c, r.auc)
+        if r.auc <= neutral:
+            best = (c, r.auc)
+            break
+    chosen = None if best[0] is None else pairs.filter(F.col("caliper") == best[0]).drop("caliper")
+    return best[0], chosen, best[1]
 
 
 def matched_auc(rows: DataFrame, features: Sequence[str], energy: str = "energy", **opts) -> DataFrame:

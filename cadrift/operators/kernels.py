@@ -12,15 +12,23 @@ from pyspark.sql import functions as F
 FRAMES_PER_STEP = 64
 
 
-def fit_baseline(m: np.ndarray, degree: int, rounds: int = 3, clip: float = 3.0) -> np.ndarray:
+def fit_baseline(m: np.ndarray, degree: int, rounds: int = 3, clip: float = 3.0, u: np.ndarray | None = None) -> np.ndarray:
     """Clipped polynomial baselines of many channel-median curves at once: (B, F) -> (B, F).
 
     All curves share the abscissa, so each round is one batched weighted least squares in a
     Chebyshev basis. A curve stops when its residual has no spread or too few channels stay;
     the curve fitted before that is kept. Kept channels are chosen anew among all channels.
+    ``u`` gives the abscissa if it is not even. NaN takes no part; a curve with too few other
+    values comes back as NaN.
     """
-    basis = np.polynomial.chebyshev.chebvander(np.linspace(-1.0, 1.0, m.shape[1]), degree)
-    keep = np.ones(m.shape)
+    basis = np.polynomial.chebyshev.chebvander(np.linspace(-1.0, 1.0, m.shape[1]) if u is None else u, degree)
+    known = ~np.isnan(m)
+    if (known.sum(axis=1) < degree + 1).any():
+        out, enough = np.full(m.shape, np.nan), known.sum(axis=1) >= degree + 1
+        if enough.any():
+            out[enough] = fit_baseline(m[enough], degree, rounds, clip, u)
+        return out
+    m, keep = np.where(known, m, 0.0), known.astype(float)
     curve = _weighted_fit(basis, m, keep)
     live = np.ones(len(m), bool)
     for _ in range(rounds):
@@ -28,7 +36,7 @@ def fit_baseline(m: np.ndarray, degree: int, rounds: int = 3, clip: float = 3.0)
         n = keep.sum(axis=1)
         mean = (res * keep).sum(axis=1) / n
         sigma = np.sqrt((((res - mean[:, None]) ** 2) * keep).sum(axis=1) / n)
-        inside = np.abs(res) <= clip * sigma[:, None]
+        inside = known & (np.abs(res) <= clip * sigma[:, None])
         live &= (sigma > 0) & (inside.sum(axis=1) >= degree + 1)
         if not live.any():
             break

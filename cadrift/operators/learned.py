@@ -232,21 +232,13 @@ def fit_ridge(df: DataFrame, x: str, y: str, alpha: float = 1.0):
     if p > 4096:
         raise ValueError(f"{p} inputs: the normal equations are too large for one machine")
 
-    def partial(batches):
-        acc = np.zeros((p, p + q))
-        for b in batches:
-            a = (np.stack(b[x].to_numpy()) - xm) / xs
-            a = np.hstack([a, np.ones((len(a), 1))])
-            t = (np.stack(b[y].to_numpy()) - ym) / ys
-            acc += a.T @ np.hstack([a, t])
-        yield pd.DataFrame({"row": range(p), "vals": acc.tolist()})
-
-    part = df.select(x, y).mapInPandas(partial, "row int, vals array<double>")
-    summed = part.select("row", F.posexplode("vals").alias("col", "v")).groupBy("row", "col").agg(
-        F.sum("v").alias("v")).collect()  # p * (p + q) numbers
-    m = np.zeros((p, p + q))
-    for r in summed:
-        m[r["row"], r["col"]] = r["v"]
+    def add(b):
+        a = (np.stack(b[x].to_numpy()) - xm) / xs
+        a = np.hstack([a, np.ones((len(a), 1))])
+        t = (np.stack(b[y].to_numpy()) - ym) / ys
+        return a.T @ np.hstack([a, t])
+
+    m = stats.summed_matrix(df, [x, y], (p, p + q), add)
     w = np.linalg.solve(m[:, :p] + alpha * np.eye(p), m[:, p:])
     return xm, xs, ym, ys, w
 

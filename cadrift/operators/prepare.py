@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadrift.operators import scale
-from cadrift.session import cut
+from cadrift.operators import kernels, scale
 
 # Fixed value: dispersion constant in MHz^2 pc^-1 cm^3 s.
 DISPERSION = 4.148808e3
@@ -55,55 +54,31 @@ def bandpass_median(px: DataFrame, frame: str = "frame") -> DataFrame:
     return divide_by_baseline(px, channel_medians(px, frame).withColumnRenamed("m", "b"), frame)
 
 
-def _solve(degree: int):
-    k = degree + 1
-
-    @F.pandas_udf("array<double>")
-    def run(moments: pd.Series) -> pd.Series:
-        m = np.stack(moments.to_numpy())
-        a = m[:, [[i + j for j in range(k)] for i in range(k)]]
-        b = m[:, 2 * degree + 1:]
-        return pd.Series(list(np.linalg.solve(a, b[..., None])[..., 0]))
-    return run
-
-
-def _horner(coef: Column, x: Column, degree: int) -> Column:
-    y = F.get(coef, F.lit(degree))
-    for i in range(degree - 1, -1, -1):
-        y = y * x + F.get(coef, F.lit(i))
-    return y
-
-
 def polynomial_baseline(curves: DataFrame, nchans: int | Column, degree: int = 3, rounds: int = 3,
                         clip: float = 3.0, frame: str = "frame") -> DataFrame:
     """Clipped polynomial baseline of long channel medians (frame, ch, m) as column ``b``.
 
-    Each round sums powers of the abscissa per frame and solves one small system per frame.
+    A frame's medians meet in one row and all rounds run there, many frames at once. NULL medians
+    take no part; frames with fewer than ``degree + 1`` others have no baseline and no rows.
     """
     n = nchans if isinstance(nchans, Column) else F.lit(nchans)
-    rows = cut(curves.select(frame, "ch", "m", (F.lit(-1.0) + 2.0 * F.col("ch") / (n - 1)).alias("u"))
-               .withColumn("keep", F.lit(True)))
-    fitted = None
-    for step in range(rounds + 1):
-        p = [F.sum(F.when(F.col("keep"), F.pow("u", F.lit(i)))) for i in range(2 * degree + 1)]
-        q = [F.sum(F.when(F.col("keep"), F.pow("u", F.lit(i)) * F.col("m"))) for i in range(degree + 1)]
-        new = rows.groupBy(frame).agg(F.array(*p, *q).alias("_mom"), F.count_if("keep").alias("_n"))
-        new = new.filter(F.col("_n") >= degree + 1).select(frame, _solve(degree)("_mom").alias("coef"))
-        if fitted is None:
-            fitted = cut(new.withColumn("live", F.lit(True)))
-        else:
-            fitted = cut(fitted.join(new.withColumnRenamed("coef", "_c2"), frame, "left").select(
-                frame, F.when(F.col("live") & F.col("_c2").isNotNull(), F.col("_c2")).otherwise(F.col("coef")).alias("coef"),
-                (F.col("live") & F.col("_c2").isNotNull()).alias("live")))
-        if step == rounds:
-            break
-        res = rows.join(fitted, frame).withColumn("_r", F.col("m") - _horner(F.col("coef"), F.col("u"), degree))
-        sg = res.groupBy(frame).agg(F.stddev_pop(F.when(F.col("keep"), F.col("_r"))).alias("_sg"))
-        fitted = cut(fitted.join(sg, frame).select(frame, "coef", (F.col("live") & (F.col("_sg") > 0)).alias("live")))
-        rows = cut(res.join(sg, frame).select(
-            frame, "ch", "m", "u", F.when(F.col("live") & (F.col("_sg") > 0), F.abs("_r") <= clip * F.col("_sg"))
-            .otherwise(F.col("keep")).alias("keep")))
-    return rows.join(fitted, frame).select(frame, "ch", "m", _horner(F.col("coef"), F.col("u"), degree).alias("b"))
+    u = F.lit(-1.0) + 2.0 * F.col("ch") / (n - 1)
+    g = curves.groupBy(frame).agg(F.array_sort(F.collect_list(F.struct("ch", F.col("m").cast("double").alias("m"), u.alias("u")))).alias("_c"))
+
+    @F.pandas_udf("array<double>")
+    def fit(us: pd.Series, ms: pd.Series) -> pd.Series:
+        out, alike = [None] * len(us), {}
+        for i, x in enumerate(us):
+            alike.setdefault(np.asarray(x, float).tobytes(), []).append(i)
+        for x, rows in alike.items():
+            m = np.array([[np.nan if v is None else v for v in ms.iloc[i]] for i in rows], float)
+            for i, b in zip(rows, kernels.fit_baseline(m, degree, rounds, clip, np.frombuffer(x))):
+                out[i] = None if np.isnan(b).any() else b
+        return pd.Series(out)
+
+    fitted = g.withColumn("_b", fit(F.transform("_c", lambda c: c["u"]), F.transform("_c", lambda c: c["m"]))).filter("_b IS NOT NULL")
+    return fitted.select(frame, F.explode(F.arrays_zip("_c", "_b")).alias("_z")).select(
+        frame, "_z._c.ch", "_z._c.m", F.col("_z._b").alias("b"))
 
 
 def patch_index(px: DataFrame, ph: int, pw: int, nw: int) -> DataFrame:

@@ -190,9 +190,17 @@ def row_breakdown(maps: DataFrame, thr: Column) -> DataFrame:
 
 def nearest_windows(saved: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
     """Per wanted window of a cadence, the ``k`` saved windows nearest in f_start."""
-    j = saved.select("cadence_idx", "f_start").distinct().join(
-        wanted.select("cadence_idx", F.col("f_start").alias("wanted")), "cadence_idx")
-    return scale.top_per_key(j, ["cadence_idx", "wanted"],
+    key, span = ["cadence_idx"], F.floor(F.col("f_start") / CHAIN_SPAN_WINDOWS)
+    have = saved.select("cadence_idx", "f_start").distinct()
+    both = have.withColumn("_is", F.lit(1)).unionByName(wanted.select("cadence_idx", "f_start").distinct().withColumn("_is", F.lit(0)))
+    largest = scale.largest_group(both, key)
+    placed = scale.running_sum(both, key, ["f_start", F.col("_is").desc()], span, {"_at": "_is"}, largest)
+    ranked = placed.filter("_is = 1").select("cadence_idx", "f_start", F.col("_at").alias("_rank"))
+    # the k before and the k after hold the k nearest
+    asked = placed.filter("_is = 0").select("cadence_idx", F.col("f_start").alias("wanted"), F.explode(
+        F.sequence(F.col("_at") - (k - 1), F.col("_at") + k)).alias("_rank"))
+    near = scale.meet(asked, ranked, ["cadence_idx", "_rank"]).select("cadence_idx", "f_start", "wanted")
+    return scale.top_per_key(near, ["cadence_idx", "wanted"],
                              [F.abs(F.col("f_start") - F.col("wanted")), "f_start"], k)
 
 

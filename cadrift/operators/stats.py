@@ -314,38 +314,54 @@ def category_energy(frames: DataFrame, first: int | None = None) -> DataFrame:
         F.max("peak_in").alias("peak_in"), F.max("peak_rec").alias("peak_rec"))
 
 
+def summed_matrix(df: DataFrame, columns: Sequence[str], shape: tuple[int, int], add):
+    """Sum over all rows of the matrices ``add(batch)``; only this small matrix reaches the driver.
+
+    Partitions are read one after the other by as many tasks as there are cores, each sends one
+    part, and rows of parts are summed as arrays.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def partial(batches):
+        acc = np.zeros(shape)
+        for b in batches:
+            if len(b):
+                acc += add(b)
+        yield pd.DataFrame({"row": range(shape[0]), "vals": acc.tolist()})
+
+    def total(key, rows):
+        return pd.DataFrame({"row": [key[0]], "vals": [np.stack(rows["vals"].to_numpy()).sum(axis=0)]})
+
+    schema = "row int, vals array<double>"
+    parts = df.select(*columns).coalesce(df.sparkSession.sparkContext.defaultParallelism).mapInPandas(partial, schema)
+    out = np.zeros(shape)
+    for r in parts.groupBy("row").applyInPandas(total, schema).collect():
+        out[r["row"]] = r["vals"]
+    return out
+
+
 def covariance(df: DataFrame, vec: str = "vec"):
     """(n, mean, covariance with n - 1) of the vectors; the D x D matrix lives on the driver.
 
-    Partial sums per Arrow batch, then one small sum per dimension pair: the data stays put.
+    Sums are of differences from the mean, which a first pass gives, so large means cost no digits.
     """
     import numpy as np
-    dim = df.select(F.size(vec).alias("d")).first()["d"]
+    first = packed_moments(df, vec).first()
+    mean = np.array(first["mu"] or [], float)
+    dim = len(mean)
     if dim > 4096:
         raise ValueError(f"{dim} dimensions: the covariance matrix is too large for one machine")
 
-    def partial(batches):
-        acc, s, n = np.zeros((dim, dim)), np.zeros(dim), 0
-        for b in batches:
-            x = np.stack(b[vec].to_numpy())
-            acc += x.T @ x
-            s += x.sum(axis=0)
-            n += len(x)
-        import pandas as pd
-        yield pd.DataFrame({"row": range(dim + 1),
-                            "vals": [*acc.tolist(), s.tolist()],
-                            "n": [0] * dim + [n]})
-
-    part = df.select(vec).mapInPandas(partial, "row int, vals array<double>, n long")
-    summed = part.select("row", "n", F.posexplode("vals").alias("col", "v")).groupBy("row", "col").agg(
-        F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
-    m = np.zeros((dim + 1, dim))
-    n = 0
-    for r in summed:
-        m[r["row"], r["col"]] = r["v"]
-        n = max(n, r["n"])
-    mean = m[dim] / n
-    return n, mean, (m[:dim] - n * np.outer(mean, mean)) / max(n - 1, 1)
+    def add(b):
+        x = np.stack(b[vec].to_numpy()) - mean
+        x = np.hstack([x, np.ones((len(x), 1))])
+        return x.T @ x
+
+    m = summed_matrix(df, [vec], (dim + 1, dim + 1), add)
+    n = int(round(m[dim, dim]))
+    off = m[dim, :dim] / max(n, 1)
+    return n, mean + off, (m[:dim, :dim] - n * np.outer(off, off)) / max(n - 1, 1)
 
 
 def participation_rank(cov) -> float:

@@ -135,3 +135,14 @@ def test_caliper_match_properties(spark, seed, kind):
     left_b = np.delete(b, p["b_id"].to_numpy(int))
     if len(left_a) and len(left_b):  # maximal: nothing within the caliper is left on both sides
         assert np.abs(left_a[:, None] - left_b[None, :]).min() > caliper
+
+
+@pytest.mark.parametrize("name,most", [("prj16_bandpass_polynomial", 8), ("join7_adaptive_caliper", 40)])
+def test_few_jobs_before_a_query_runs(spark, sf_dir, name, most):
+    group = f"jobs-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        entry.queries()[name](spark, sf_dir)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= most
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
