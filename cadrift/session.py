@@ -39,12 +39,30 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` under the checkpoint folder and read it back.
 
     A written table survives lost executors, prunes columns when it is read again and has
-    a known size, so Catalyst decides by size whether a later join may broadcast it.
+    a known size, so Catalyst decides by size whether a later join may broadcast it. It stays
+    until ``drop_cuts`` is told that its readers are done.
     """
     path = f"{checkpoint_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cuts() -> list[str]:
+    """Tables that ``cut`` has written in this process and that are not dropped, oldest first."""
+    return list(_CUTS)
+
+
+def drop_cuts(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete written tables, by default all; nothing may read them afterwards."""
+    for path in cuts() if paths is None else paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _CUTS.remove(path)
