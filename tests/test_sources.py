@@ -13,7 +13,7 @@ def test_scan_observations(spark, tmp_path):
         p.write_text("x")
     found = {r["path"].rsplit("/", 1)[-1] for r in io.scan_observations(spark, str(tmp_path)).collect()}
     assert found == {"x.0000.h5", "y.0001.h5", "z.0000.hdf5"}
-    assert io.scan_observations(spark, str(tmp_path), "0000").count() == 1
+    assert io.scan_observations(spark, str(tmp_path), "0000").count() == 2  # both endings
 
 
 def test_manifest_order_and_comments(spark, tmp_path):
