@@ -164,7 +164,12 @@ class MixtureDensity:
         from pyspark.ml.functions import array_to_vector
         size = df.select(F.size(vec)).first()[0]
         self.proj = (np.zeros(size), np.eye(size)) if self.dims is None else fit_pca(df, min(self.dims, size), vec)
-        z = project(df, self.proj, vec).select(array_to_vector("z").alias("features"))
+        z = project(df, self.proj, vec)
+        if self.k == 1:  # no iteration to run
+            n, mean, cov = stats.covariance(z, "z")
+            self.parts = [(1.0, mean, cov * (n - 1) / n)]
+            return self
+        z = z.select(array_to_vector("z").alias("features"))
         m = GaussianMixture(k=self.k, seed=self.seed, maxIter=30).fit(z)
         rows = m.gaussiansDF.collect()  # k rows
         self.parts = [(w, r["mean"].toArray(), r["cov"].toArray()) for w, r in zip(m.weights, rows)]

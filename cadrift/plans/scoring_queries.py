@@ -121,33 +121,32 @@ _MEM = f"""{_E}, pr AS (SELECT label AS slot, d, avg(x) * 8 AS p FROM e GROUP BY
   mem AS (SELECT vec_id, slot::BIGINT AS slot, s / (sum(s) OVER (PARTITION BY vec_id) + 1e-12::DOUBLE) AS weight FROM sh)"""
 
 
-def _weights(spark, d):
-    """Addressing weights of every vector over ten prototypes (eight times the label means)."""
+def _memory(spark, d):
+    """Memory of ten given prototypes (eight times the label means) over eight times the vectors."""
     v = V.vectors(spark, d)
     mean = (v.select("label", F.posexplode("vec").alias("d", "x")).groupBy("label", "d").agg((F.avg("x") * 8).alias("p"))
             .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "p"))).alias("p")))  # 64 entries per label
-    packed = mean.agg(F.collect_list(F.struct(
-        F.col("label").cast("long").alias("slot"), F.transform("p", lambda r: r["p"]).alias("p"))).alias("protos"))
-    pairs = scale.attach(v, packed, []).select("id", "label", "vec", F.explode("protos").alias("s")).select(
-        "id", "label", "s.slot", "s.p", (scoring.dot("vec", F.col("s.p")) * 8).alias("sim"))
-    return v, scoring.softmax_recall(pairs, "id", 10)
+    rows = mean.select("label", F.transform("p", lambda r: r["p"]).alias("p")).orderBy("label").collect()  # ten prototypes
+    slots = np.array([r.p for r in rows])
+    m = learned.prototype_memory(v.withColumn("vec", F.transform("vec", lambda x: x * 8)), slots, 0.1)
+    return m.withColumn("slots", F.array(*[F.lit(r.label).cast("long") for r in rows]))
+
+
+def _weights(spark, d):
+    """One row per vector and slot."""
+    return _memory(spark, d).select("id", "label", F.explode(F.arrays_zip("slots", "weights")).alias("s")).select(
+        "id", "label", F.col("s.slots").alias("slot"), F.col("s.weights").alias("weight"))
 
 
 @query("scr15_prototype_memory", f"WITH {_MEM} SELECT vec_id, slot, round(weight, 6) AS weight FROM mem")
 def _(spark, d):
-    return rnd(_weights(spark, d)[1].select(F.col("id").alias("vec_id"), "slot", "weight"), "weight")
+    return rnd(_weights(spark, d).select(F.col("id").alias("vec_id"), "slot", "weight"), "weight")
 
 
 @query("scr16_memory_residual", f"""WITH {_MEM}, rc AS (SELECT vec_id, d, sum(weight * p) AS xh FROM mem JOIN pr USING (slot) GROUP BY 1, 2)
   SELECT vec_id, round(avg((x * 8 - xh) ** 2), 6) AS residual FROM e JOIN rc USING (vec_id, d) GROUP BY 1""")
 def _(spark, d):
-    v, w = _weights(spark, d)
-    cells = w.select("id", F.posexplode("p").alias("d", "pv"), "weight")
-    rec = cells.groupBy("id", "d").agg(F.sum(F.col("pv") * F.col("weight")).alias("xh"))
-    x = v.select("id", F.posexplode("vec").alias("d", "x"))
-    r = x.join(rec, ["id", "d"]).groupBy(F.col("id").alias("vec_id")).agg(
-        F.avg(F.pow(F.col("x") * 8 - F.col("xh"), F.lit(2))).alias("residual"))
-    return rnd(r, "residual")
+    return rnd(_memory(spark, d).select(F.col("id").alias("vec_id"), "residual"), "residual")
 
 
 @query("scr16_kmeans_memory")
@@ -161,7 +160,7 @@ def _(spark, d):
 @query("scr17_slot_usage", f"""WITH {_MEM}, w AS (SELECT vec_id, first(slot ORDER BY weight DESC, slot) AS slot FROM mem GROUP BY 1)
   SELECT label::BIGINT AS label, slot, count(*) AS n_wins FROM w JOIN embeddings USING (vec_id) GROUP BY 1, 2""")
 def _(spark, d):
-    u = scoring.slot_usage(_weights(spark, d)[1], "id", ["label"])
+    u = scoring.slot_usage(_weights(spark, d), "id", ["label"])
     return u.withColumn("label", F.col("label").cast("long"))
 
 
@@ -178,6 +177,52 @@ def _(spark, d):
     return rnd(learned.pca_residual(v, learned.fit_pca(v, 8)).select("id", "residual"), "residual")
 
 
+# The same scorers on the first dimensions, where the fit has a closed form.
+
+_TWO = "e2 AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
+
+
+def _two(spark, d):
+    return V.vectors(spark, d).withColumn("vec", F.slice("vec", 1, 2))
+
+
+@query("scr12_mahalanobis_2d", f"""WITH {_TWO}, m AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c FROM e2 WHERE label < 5),
+  f AS (SELECT avg(((x - mx) ** 2 + (y - my) ** 2) ** 2) AS fourth FROM e2, m WHERE label < 5),
+  g AS (SELECT *, (a + c) / 2 AS mu, (a - (a + c) / 2) ** 2 + 2 * b * b + (c - (a + c) / 2) ** 2 AS spread, (fourth - (a * a + 2 * b * b + c * c)) / n AS error FROM m, f),
+  s AS (SELECT *, CASE WHEN spread = 0 THEN 0 ELSE least(error, spread) / spread END AS s FROM g),
+  h AS (SELECT mx, my, (1 - s) * a + s * mu AS a, (1 - s) * b AS b, (1 - s) * c + s * mu AS c FROM s)
+  SELECT vec_id AS id, round(sqrt(greatest((c * (x - mx) ** 2 - 2 * b * (x - mx) * (y - my) + a * (y - my) ** 2) / (a * c - b * b), 0)), 6) AS distance FROM e2, h""")
+def _(spark, d):
+    v = _two(spark, d)
+    return rnd(learned.mahalanobis(v, learned.fit_mahalanobis(v.filter("label < 5"))).select("id", "distance"), "distance")
+
+
+@query("scr14_single_gaussian_2d", f"""WITH {_TWO}, m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) + 1e-9::DOUBLE AS a, covar_pop(x, y) AS b, var_pop(y) + 1e-9::DOUBLE AS c FROM e2)
+  SELECT vec_id AS id, round(ln(2 * pi()) + 0.5::DOUBLE * ln(a * c - b * b) + 0.5::DOUBLE * (c * (x - mx) ** 2 - 2 * b * (x - mx) * (y - my) + a * (y - my) ** 2) / (a * c - b * b), 6) AS score FROM e2, m""")
+def _(spark, d):
+    v = _two(spark, d)
+    return rnd(learned.MixtureDensity(1).fit(v).score(v).select("id", "score"), "score")
+
+
+@query("scr18_ridge_one_input", f"""WITH {_TWO}, m AS (SELECT avg(x) AS mx, avg(y) AS my, stddev_pop(x) + 1e-6::DOUBLE AS sx, stddev_pop(y) + 1e-6::DOUBLE AS sy FROM e2),
+  z AS (SELECT vec_id, (x - mx) / sx AS u, (y - my) / sy AS t FROM e2, m),
+  n AS (SELECT sum(u * u) + 1 AS a, sum(u) AS b, count(*) + 1.0::DOUBLE AS c, sum(u * t) AS p, sum(t) AS q FROM z),
+  w AS (SELECT (c * p - b * q) / (a * c - b * b) AS w, (a * q - b * p) / (a * c - b * b) AS k FROM n)
+  SELECT vec_id AS id, round((t - u * w - k) ** 2, 6) AS residual FROM z, w""")
+def _(spark, d):
+    v = V.vectors(spark, d).select("id", F.slice("vec", 1, 1).alias("x"), F.slice("vec", 2, 1).alias("y"))
+    return rnd(learned.ridge_residual(v, learned.fit_ridge(v, "x", "y", 1.0), "x", "y").select("id", "residual"), "residual")
+
+
+@query("scr19_pca_residual_2d", f"""WITH {_TWO}, m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM e2),
+  l AS (SELECT *, ((a + c) + sqrt((a - c) ** 2 + 4 * b * b)) / 2 AS l FROM m),
+  v AS (SELECT mx, my, b / sqrt(b * b + (l - a) ** 2) AS vx, (l - a) / sqrt(b * b + (l - a) ** 2) AS vy FROM l)
+  SELECT vec_id AS id, round(((x - mx) ** 2 + (y - my) ** 2 - ((x - mx) * vx + (y - my) * vy) ** 2) / 2, 6) AS residual FROM e2, v""")
+def _(spark, d):
+    v = _two(spark, d)
+    return rnd(learned.pca_residual(v, learned.fit_pca(v, 1)).select("id", "residual"), "residual")
+
+
 @query("scr20_off_context_score", f"""WITH {V.CELLS}, p AS (SELECT cadence_idx, f_start, col, avg(v) AS p FROM cells WHERE obs_idx % 2 = 1 GROUP BY 1, 2, 3)
   SELECT cadence_idx, f_start, round(avg((v - p) ** 2), 6) AS score FROM cells JOIN p USING (cadence_idx, f_start, col) WHERE obs_idx % 2 = 0 GROUP BY 1, 2""")
 def _(spark, d):
