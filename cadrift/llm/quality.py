@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cadrift.llm.common import slices
 
@@ -109,15 +110,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, epochs: in
     return np.frombuffer(bytes(fitted.weights), np.float32) if fitted else np.zeros(dims + 1, np.float32)
 
 
-def score_task(weights: np.ndarray):
+def score_task(weights: np.ndarray, text_at: int, name: str):
     def run(batches):
         known, w = Hashes(), weights.astype(np.float64)
         for b in slices(batches):
             s = []
-            for t in b.column("text").to_pylist():
+            for t in b.column(text_at).to_pylist():
                 index, value = features(t, known, len(w) - 1)
                 s.append(float(sigmoid(w[index] @ value + w[-1])))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "quality_score__"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
     return run
 
 
@@ -126,8 +127,8 @@ def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFram
 
     Reads the column ``text`` only; null and empty texts get the prior. One narrow pass.
     """
-    if name in docs.columns:
+    if name.lower() in (c.lower() for c in docs.columns):
         raise ValueError(f"column {name} is taken")
-    from pyspark.sql.types import DoubleType, StructType
-    schema = StructType([*docs.schema.fields, StructType().add("quality_score__", DoubleType()).fields[0]])
-    return docs.mapInArrow(score_task(weights), schema).withColumnRenamed("quality_score__", name)
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    at = [c.lower() for c in docs.columns].index("text")
+    return docs.mapInArrow(score_task(weights, at, name), schema)

@@ -25,6 +25,7 @@ from cadrift.llm.common import blocks_of, slices
 from cadrift.session import checkpoint_root, cut
 
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 class WordHashes(dict):
@@ -46,17 +47,28 @@ def hashed(words: list[bytes], known: WordHashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd ``base`` and of its inverse, modulo 2^64."""
+    if n > len(POWERS.get(int(base), ((),))[0]):
+        both = np.full((2, max(4096, 2 * n)), base)
+        both[1] = pow(int(base), -1, 1 << 64)
+        both[:, 0] = 1
+        POWERS[int(base)] = tuple(np.cumprod(both, axis=1, dtype=np.uint64))
+    return POWERS[int(base)]
+
+
 def runs(h: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
-    """Hash of each run of ``width`` words."""
+    """Hash of each run of ``width`` words: a polynomial in ``base``, from differences of running sums."""
     n = len(h) - width + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    if n > 0:
-        for k in range(width):
-            out *= base
-            out += h[k:k + n]
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = powers(base, len(h))
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * down[:len(h)], out=sums[1:])
+    out = (sums[width:] - sums[:-width]) * up[width - 1:width - 1 + n]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
     return out
 
 
@@ -149,8 +161,8 @@ def covered(h: np.ndarray, width: int, first: np.ndarray, second: np.ndarray) ->
     at = found(first, one)
     start = np.flatnonzero((at >= 0) & (second[at] == two)) if len(first) else np.zeros(0, np.int64)
     change = np.zeros(len(h) + 1, np.int64)
-    np.add.at(change, start, 1)
-    np.add.at(change, start + width, -1)
+    change[start] += 1
+    change[start + width] -= 1
     return np.cumsum(change[:-1]) > 0
 
 
