@@ -49,6 +49,14 @@ def simhash(rows):
     return [(i, f"{x:016x}", c) for (i, _), x, c in zip(rows, f.tolist(), least_ids([i for i, _ in rows], root))]
 
 
+def near_copies(rows, width=5):
+    """Smallest id of each row's group."""
+    w = [(t or "").encode().lower().split() for _, t in rows]
+    s = [{b" ".join(x[i:i + width]) for i in range(max(1, len(x) - width + 1))} if x else set() for x in w]
+    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    return least_ids([i for i, _ in rows], roots(len(s), lambda i: [j for j in range(i) if near(s[i], s[j])]))
+
+
 def substrings(rows, width=35):
     all_words = [words(t) for _, t in rows]
     count = Counter(tuple(w[k:k + width]) for w in all_words for k in range(len(w) - width + 1))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cadrift.llm import (bpe, common, components, decontaminate, embeddings, lines, ppm, quality, queries, sharding, simhash,
+from cadrift.llm import (bpe, common, components, decontaminate, embeddings, lines, near_copies, ppm, quality, queries, sharding, simhash,
                          substrings, token_files)
 from tests.harness import compare
 from tests.llm import brute
@@ -129,6 +129,38 @@ def test_fingerprint_links_connect_exactly_what_is_near(spark, bucket):
     assert [root.get(int(x), int(x)) for x in f] == [int(f[w]) for w in want]
 
 
+def similar(groups=12, copies=9, common=0):
+    """Texts with copies that differ in some words; all hold the same ``common`` words as well."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage, rows = [word() for _ in range(common)], []
+    for _ in range(groups):
+        base = [word() for _ in range(r.randint(90, 160))]
+        for k in range(copies):
+            w = list(base)
+            for at in r.sample(range(len(w)), k * len(w) // 160):
+                w[at] = word()
+            rows.append((len(rows), " ".join(w[:40] + passage + w[40:])))
+    return rows + [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, "a b c"), (len(rows) + 3, "A  b c"), (len(rows) + 4, "a b c d")]
+
+
+@pytest.mark.parametrize("common", [0, 30])
+def test_pipeline_drops_near_copies(spark, sf_dir, common):
+    rows = similar(common=common)
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sf_dir)
+    want = brute.near_copies(rows)
+    assert len(set(want)) < len(set(c for _, _, c in brute.simhash(rows)))
+    assert sorted(i for i, _ in pairs(out)) == sorted(set(want))
+
+
+def test_near_copies_of_a_dense_group(spark):
+    rows = similar(groups=1, copies=6) + [(100 + i, t) for i, t in similar(groups=1, copies=4)]
+    base = rows[0][1].split()
+    rows += [(1000 + k, " ".join(base[:k % len(base)] + [f"w{k}"] + base[k % len(base) + 1:])) for k in range(300)]
+    out = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), bucket=8)
+    assert sorted(i for i, _ in pairs(out)) == sorted(set(brute.near_copies(rows)))
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(9, 9), (None, 3)]
