@@ -1,8 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents that share a run of ``seed`` words with a benchmark item are candidates for it. For each
-such pair the longest common runs of unmarked words are marked again and again, longest first,
-found by rolling hashes; an item whose words are covered to ``threshold`` by tiles, in whatever
+Every tile is made of runs of ``least`` words that document and item share, so the words of the item
+in such runs bound what tiles can cover; a document is a candidate for the items whose bound reaches
+``threshold``. For each such pair the longest common runs of unmarked words are marked again and
+again, longest first, found by rolling hashes; an item whose words are covered to ``threshold`` by tiles, in whatever
 order, contaminates the document.
 """
 
@@ -72,28 +73,36 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int = 3) -> list[tuple[int, i
 
 
 class Items:
-    """Benchmark items: word hashes, and seeds with the items that have them."""
+    """Benchmark items of ``fewest`` words or more: word hashes, and seeds (runs of ``least`` words)
+    with the places that have them, counted through all items."""
 
-    def __init__(self, rows: list[tuple[int, str]], seed: int):
+    def __init__(self, rows: list[tuple[int, str]], least: int, fewest: int):
         known = WordHashes()
-        self.ids = [r[0] for r in rows]
-        self.words = [word_hashes(r[1], known) for r in rows]
-        keys = [np.unique(runs(w, seed, BASES[0])) for w in self.words]
-        self.seed, at = seed, np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        both = [(r[0], w) for r in rows if len(w := word_hashes(r[1], known)) >= max(fewest, least)]
+        self.ids, self.words, self.least = [x[0] for x in both], [x[1] for x in both], least
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        keys = np.concatenate([np.zeros(0, np.uint64), *(runs(w, least, BASES[0]) for w in self.words)])
+        place = np.concatenate([np.zeros(0, np.int64), *(a + np.arange(n - least + 1) for a, n in zip(self.start, self.size))])
         order = np.argsort(keys, kind="stable")
-        self.keys, self.at = keys[order], at[order]
-
-    def candidates(self, doc: np.ndarray) -> list[int]:
-        mine = np.unique(runs(doc, self.seed, BASES[0]))
-        mine = mine[found(self.keys, mine) >= 0]
+        self.keys, self.place = keys[order], place[order]
+
+    def candidates(self, doc: np.ndarray, threshold: float) -> list[int]:
+        """Items that shared seeds cover to ``threshold``."""
+        mine = runs(doc, self.least, BASES[0])
+        mine = np.unique(mine[found(self.keys, mine) >= 0])
+        if not len(mine):
+            return []
         lo, hi = np.searchsorted(self.keys, mine), np.searchsorted(self.keys, mine, "right")
-        return sorted({int(x) for a, b in zip(lo, hi) for x in self.at[a:b]})
+        at = np.concatenate([self.place[a:b] for a, b in zip(lo, hi)])
+        words = np.unique(at[:, None] + np.arange(self.least))
+        item, covered = np.unique(np.searchsorted(self.start, words, "right") - 1, return_counts=True)
+        return item[covered / self.size[item] >= threshold].tolist()
 
     def best(self, doc: np.ndarray, least: int, threshold: float) -> tuple[int | None, float | None]:
         """Id and coverage of the item that is covered most; the smallest id among equals."""
         out = (None, None)
-        for k in self.candidates(doc):
+        for k in self.candidates(doc, threshold):
             share = sum(n for _, _, n in tile(doc, self.words[k], least)) / len(self.words[k])
             if share >= threshold and (out[1] is None or (-share, self.ids[k]) < (-out[1], out[0])):
                 out = (self.ids[k], share)
@@ -109,13 +118,26 @@ def mark_task(items: Items, least: int, threshold: float, text_at: int, names: l
     return run
 
 
-def seed_task(seed: int, name: str):
+def seed_task(least: int):
+    """``uid, h`` of the distinct seeds of documents."""
     def run(batches):
         known = WordHashes()
         for b in slices(batches):
-            keys = [np.unique(runs(word_hashes(t, known), seed, BASES[0])).view(np.int64) for t in b.column("text").to_pylist()]
+            keys = [np.unique(runs(word_hashes(t, known), least, BASES[0])).view(np.int64) for t in b.column("text").to_pylist()]
             n = np.fromiter(map(len, keys), np.int64, len(keys))
-            yield pa.RecordBatch.from_arrays([b.column(name).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate(keys))], names=[name, "h"])
+            yield pa.RecordBatch.from_arrays([b.column("uid").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate(keys))], names=["uid", "h"])
+    return run
+
+
+def place_task(least: int, fewest: int):
+    """``item_id, size, at, h`` of all seeds of items, with the number of words and the seed's place."""
+    def run(batches):
+        for b in slices(batches):
+            for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
+                held = Items([(i, t)], least, fewest)
+                n = len(held.keys)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array(held.size.repeat(n), pa.int64()), pa.array(held.place), pa.array(held.keys.view(np.int64))],
+                                                 names=["item_id", "size", "at", "h"])
     return run
 
 
@@ -132,12 +154,12 @@ def pair_task(least: int, threshold: float):
     return run
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, seed: int = 5, least: int = 3, threshold: float = 0.8,
+def mark(docs: DataFrame, benchmark: DataFrame, fewest: int = 5, least: int = 3, threshold: float = 0.8,
          most_words: int = 4_000_000) -> tuple[DataFrame, str, str]:
     """``docs`` with the id of the item that a document covers most and its coverage, both null
     where no item is covered to ``threshold``; and the names of these two columns.
 
-    Words are lower-cased runs of letters and digits. Items of fewer than ``seed`` words, null and
+    Words are lower-cased runs of letters and digits. Items of fewer than ``fewest`` words, null and
     empty ones match nothing; of items with equal words the smallest id counts; null item ids are
     ignored. Null and empty texts are clean. Repeated rows are kept.
 
@@ -151,14 +173,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, seed: int = 5, least: int = 3, t
     schema = StructType([*docs.schema.fields, StructField(id_name, LongType()), StructField(share_name, DoubleType())])
     size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     if size <= most_words:
-        held = Items([(r.item_id, r.text) for r in items.collect()], seed)
+        held = Items([(r.item_id, r.text) for r in items.collect()], least, fewest)
         at = [c.lower() for c in docs.columns].index("text")
         return docs.mapInArrow(mark_task(held, least, threshold, at, schema.names), schema), id_name, share_name
     named = rekeyed(docs)
     items = cut(items.groupBy("text").agg(F.min("item_id").alias("item_id")))
-    pairs = (named.select("uid", "text").mapInArrow(seed_task(seed, "uid"), "uid binary, h long")
-             .join(items.select("item_id", "text").mapInArrow(seed_task(seed, "item_id"), "item_id long, h long"), "h")
-             .select("uid", "item_id").distinct())
+    words = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda x: F.sequence(x, x + F.lit(least - 1))))))
+    pairs = (named.select("uid", "text").mapInArrow(seed_task(least), "uid binary, h long")
+             .join(items.select("item_id", "text").mapInArrow(place_task(least, fewest), "item_id long, size long, at long, h long"), "h")
+             .groupBy("uid", "item_id", "size").agg(words.alias("covered"))
+             .filter(F.col("covered") / F.col("size") >= threshold).select("uid", "item_id").distinct())
     shares = (named.select("uid", "text").distinct().join(pairs, "uid").join(items.withColumnRenamed("text", "item"), "item_id")
               .select("uid", "text", "item_id", "item").mapInArrow(pair_task(least, threshold), "uid binary, item_id long, share double"))
     best = shares.groupBy("uid").agg(F.min(F.struct((-F.col("share")).alias("s"), "item_id")).alias("b"))

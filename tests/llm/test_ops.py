@@ -327,6 +327,29 @@ def test_decontaminate(spark, edge, nothing, most_words):
     assert decontaminate.clean(edge, items.limit(0), most_words=most_words).count() == edge.count()
 
 
+@pytest.mark.parametrize("most_words", [0, 4_000_000])
+def test_decontaminate_without_shared_runs_of_five(spark, most_words):
+    r = random.Random(6)
+    items = [(k, [f"i{k}w{n}" for n in range(r.randint(15, 40))]) for k in range(6)] + [(6, [f"i0w{n}" for n in range(4, 24)])]
+    docs = []
+    for _, w in items:
+        for length in (2, 3, 4):
+            cut = [w[n:n + length] for n in range(0, len(w), length)]
+            r.shuffle(cut)
+            docs.append(["x", *sum(cut, []), "y"])
+        for every in (4, 5):
+            docs.append([x if n % every != every - 1 else f"z{n}" for n, x in enumerate(w)])
+    want = []
+    for i, d in enumerate(docs):
+        share = {k: sum(n for _, _, n in brute.tiles(d, w, 3)) / len(w) for k, w in items}
+        best = min(share, key=lambda k: (-share[k], k))
+        if share[best] >= 0.8:
+            want.append((i, best, share[best]))
+    assert len(want) > len(items)
+    tables = [spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{name} long, text string") for name, rows in (("doc_id", enumerate(docs)), ("item_id", items))]
+    assert rows_of(decontaminate.contaminated(*tables, most_words=most_words)) == sorted(want, key=str)
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline_stages(spark, sf_dir, documents):
