@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadrift.llm import bpe, decontaminate, embeddings, lines, ppm, quality, sharding, simhash, substrings, token_files
+from cadrift.llm import bpe, collocations, decontaminate, embeddings, lines, ppm, quality, sharding, simhash, substrings, token_files
 from cadrift.llm.common import table
 from cadrift.session import checkpoint_root
 
@@ -92,3 +92,31 @@ def op10_decontaminate(spark, d):
 @query("op9_embeddings")
 def op9_embeddings(spark, d):
     return embeddings.near_vectors(table(spark, d, "embeddings"))
+
+
+@query("op13_collocations", f"""
+WITH pieces AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(parts) AS piece, unnest(range(len(parts))) AS pos
+                FROM (SELECT row_number() OVER () AS doc_id, lang,
+                             regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]') AS parts FROM documents)),
+listed AS (SELECT doc_id, pos, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+words AS (SELECT doc_id, pos, lang, unnest(w) AS w1, unnest(range(len(w))) AS i FROM listed),
+runs AS (SELECT lang, w1, lead(w1, 1) OVER piece AS w2, lead(w1, 2) OVER piece AS w3 FROM words WINDOW piece AS (PARTITION BY doc_id, pos ORDER BY i)),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+f1 AS (SELECT lang, w1, count(*) AS n FROM runs GROUP BY ALL HAVING count(*) >= 10),
+f2 AS (SELECT lang, w1, w2, count(*) AS n FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS n FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (SELECT c.lang, w1, w2, NULL AS w3, c.n AS a, 1 AS k, x.n AS l, y.n AS r
+         FROM f2 c JOIN f1 x USING (lang, w1) JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2
+         UNION ALL SELECT c.lang, c.w1, c.w2, c.w3, c.n, 1, x.n, y.n
+         FROM f3 c JOIN f1 x USING (lang, w1) JOIN f2 y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+         UNION ALL SELECT c.lang, c.w1, c.w2, c.w3, c.n, 2, x.n, y.n
+         FROM f3 c JOIN f2 x USING (lang, w1, w2) JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w3),
+scored AS (SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w1, w2, w3 ORDER BY score, k) = 1),
+around AS (SELECT lang, w1, w2, max(n) AS fl FROM (SELECT lang, w1, w2, n FROM f3 UNION ALL SELECT lang, w2, w3, n FROM f3) GROUP BY lang, w1, w2),
+kept AS (SELECT best.*, concat_ws(' ', w1, w2, w3) AS phrase FROM best LEFT JOIN around USING (lang, w1, w2)
+         WHERE w3 IS NOT NULL OR fl IS NULL OR 100 * fl < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""")
+def op13_collocations(spark, d):
+    return collocations.collocations(table(spark, d, "documents"))
