@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadrift.llm import bpe, collocations, decontaminate, embeddings, lines, ppm, quality, sharding, simhash, substrings, token_files
+from cadrift.llm import bpe, collocations, decontaminate, divergence, embeddings, lines, ppm, quality, sharding, simhash, substrings, token_files
 from cadrift.llm.common import table
 from cadrift.session import checkpoint_root
 
@@ -94,6 +94,32 @@ def op9_embeddings(spark, d):
     return embeddings.near_vectors(table(spark, d, "embeddings"))
 
 
+@query("op11_divergence", f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+listed AS (SELECT doc, lang, source, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM d),
+by_doc AS (SELECT doc, lang, source, w AS term, count(*) AS n FROM (SELECT doc, lang, source, unnest(w) AS w FROM listed) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM by_doc GROUP BY lang, term HAVING count(*) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counted AS (SELECT lang, source, term, CAST(sum(by_doc.n) AS HUGEINT) AS n FROM by_doc SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+size AS (SELECT g.lang, g.source, coalesce(t.total, 0) AS total, coalesce(k.v, 0) AS v, coalesce(k.total, 0) AS all_total FROM groups g
+         LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counted GROUP BY ALL) t USING (lang, source)
+         LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang) k USING (lang)),
+shares AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+                  1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // CAST(s.total + s.v AS HUGEINT) AS p,
+                  1 + CAST(1000000000 AS HUGEINT) * (k.n + 1) // CAST(s.all_total + s.v AS HUGEINT) AS q
+           FROM size s JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+          FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+          UNION ALL SELECT a.lang, a.source, b.source, 0 FROM size a JOIN size b ON b.lang = a.lang AND b.source <> a.source WHERE a.v = 0),
+terms AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+           UNION ALL SELECT * FROM (SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank
+                                    FROM terms) WHERE rank <= 200)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked""")
+def op11_divergence(spark, d):
+    return divergence.source_divergence(table(spark, d, "documents"))
+
+
 @query("op13_collocations", f"""
 WITH pieces AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(parts) AS piece, unnest(range(len(parts))) AS pos
                 FROM (SELECT row_number() OVER () AS doc_id, lang,
