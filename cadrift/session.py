@@ -42,15 +42,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 _CUTS: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` under the checkpoint folder and read it back.
+def cut(df: DataFrame, **options) -> DataFrame:
+    """Write ``df`` under the checkpoint folder, with options of the writer, and read it back.
 
     A written table survives lost executors, prunes columns when it is read again and has
     a known size, so Catalyst decides by size whether a later join may broadcast it. It stays
     until ``drop_cuts`` is told that its readers are done.
     """
     path = f"{checkpoint_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _CUTS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
