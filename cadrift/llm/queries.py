@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadrift.llm import bpe, collocations, decontaminate, divergence, embeddings, lines, ppm, quality, sharding, simhash, substrings, token_files
+from cadrift.llm import bpe, collocations, decontaminate, divergence, embeddings, lines, pii, ppm, quality, sharding, simhash, substrings, token_files
 from cadrift.llm.common import table
 from cadrift.session import checkpoint_root
 
@@ -120,6 +120,11 @@ def op11_divergence(spark, d):
     return divergence.source_divergence(table(spark, d, "documents"))
 
 
+@query("op12_personal_data")
+def op12_personal_data(spark, d):
+    return pii.find_personal_data(table(spark, d, "documents"))
+
+
 @query("op13_collocations", f"""
 WITH pieces AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(parts) AS piece, unnest(range(len(parts))) AS pos
                 FROM (SELECT row_number() OVER () AS doc_id, lang,
