@@ -25,6 +25,9 @@ from cadrift.session import cut
 PIECE = re.compile(rb"[^.,;:!?\x0A-\x0D]+")
 WORD = re.compile(rb"[^\x20\x09]+")
 SHARD = "lang string, n long, words binary, counts binary, ahead binary, back binary"
+#: A row of the index holds megabytes, so row groups close after a few of them.
+SMALL_GROUPS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 2,
+                "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 2}
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -213,12 +216,12 @@ def phrase_task(shared, max_words: int):
     return run
 
 
-def phrase_counts(docs: DataFrame, max_words: int = 3, least: int = 10, shard_words: int = 1 << 19, most_bits: int = 28) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, max_words: int = 3, least: int = 10, shard_words: int = 1 << 18, most_bits: int = 28) -> tuple[DataFrame, DataFrame]:
     """``lang, words, phrase, n`` of the phrases of up to ``max_words`` words that occur ``least`` times in
     their language, and ``lang, n`` with all word occurrences."""
     spark = docs.sparkSession
     text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    shards = cut(text.mapInArrow(build_task(shard_words, max_words - 1), SHARD))
+    shards = cut(text.mapInArrow(build_task(shard_words, max_words - 1), SHARD), **SMALL_GROUPS)
     words = (shards.select("lang", "words", "counts").mapInArrow(word_task(), "lang string, phrase binary, n long")
              .groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
     words = cut(words)
