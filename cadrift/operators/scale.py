@@ -1,8 +1,8 @@
 """Building blocks that stay exact when one key holds a large share of all rows.
 
 Ranks, running totals and gap chains are computed per (key, bucket) and stitched with a
-table of bucket totals, so no task ever sees a whole key. Exact quantiles use the built-in
-aggregate while groups are small and narrow the search interval by sketches beyond that.
+table of bucket totals, so no task ever sees a whole key. Exact quantiles are one sorted array
+of a bounded length, or radix selection, which counts digits of the values and moves no rows.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from cadrift.session import cut
 
-# Largest group whose exact percentile state (a value -> count map) one task may hold.
+# Largest group that one window may order.
 HOT_GROUP_ROWS = 2_000_000
-# Grid of the sketch that narrows a quantile's interval; each pass keeps ~3/GRID of a group.
-GRID = 128
+# Values in an array, and counters of one cell in a round of radix selection.
+CELL = 1 << 16
 
 
 def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -148,15 +148,16 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
                     limit: int | None = None, largest: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key, one column per entry of ``probs``.
 
-    ``largest`` passes on a group size already known to the caller.
+    NULL is not counted, NaN is the largest value; a group without values has NULL. ``largest``
+    passes on a group size already known to the caller.
     """
     keys = list(keys)
-    limit = HOT_GROUP_ROWS if limit is None else limit
+    limit = CELL if limit is None else limit
     largest = largest_group(df, keys) if largest is None else largest
     if largest <= limit:
         g = sorted_values(df, keys, value)
         return g.select(*keys, *[quantile_of(F.col("_s"), p).alias(n) for n, p in probs.items()])
-    return _quantiles_by_narrowing(df, keys, value, probs, limit)
+    return _quantiles_by_digits(df, keys, value, probs, limit)
 
 
 def sorted_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -176,65 +177,73 @@ def mad_of(values: Column, median: Column) -> Column:
     return quantile_of(F.sort_array(F.transform(values, lambda x: F.abs(x - median))), 0.5)
 
 
-def _quantiles_by_narrowing(df, keys, value, probs, limit):
-    """Order statistics of groups too large for one task.
+def ordered_bits(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Add the 64-bit integer that orders as the double ``value`` does: its bits, negated below zero.
 
-    For each (key, probability) hold an interval known to contain both neighbours of the
-    wanted position and the number of rows below it. A sketch of the rows inside gives a
-    tighter interval; one counting pass makes it exact. Ends when the distinct values
-    inside fit one task, or when a pass leaves as many rows as it found. NaN is the largest
-    value. Groups without a value keep their row, with NULL.
+    The exponent comes from a logarithm that is put right by comparison with powers of two; scaling
+    by powers of two is exact. Both zeros are 0, NaN is the largest integer, NULL stays NULL.
     """
-    g = ["_k", "_p"]
-    keyed = df.select(group_key(keys).alias("_k"), F.col(value).cast("double").alias("_x"))
-    rows = keyed.filter(F.col("_x").isNotNull())
-    n = rows.groupBy("_k").agg(F.count("*").alias("_n"))
-    wanted = F.array(*[F.struct(F.lit(name).alias("_p"), F.lit(float(p)).alias("_q"))
-                       for name, p in probs.items()])
-    target = n.select("_k", "_n", F.explode(wanted).alias("_w")).select(
-        "_k", "_w._p", ((F.col("_n") - 1) * F.col("_w._q")).alias("_h"))
-    target = cut(target.select(
-        *g, "_h", F.floor("_h").alias("_r0"), F.ceil("_h").alias("_r1")))
-    inside = rows.withColumn("_p", F.explode(F.array(*[F.lit(p) for p in probs])))
-    grid = [i / GRID for i in range(GRID + 1)]
-    before = None
-    while True:
-        counted = inside.groupBy(*g, "_x").agg(F.count("*").alias("_c"))
-        now, held = counted.groupBy(*g).agg(F.count("*").alias("_d"), F.sum("_c").alias("_m")).agg(
-            F.max("_d"), F.sum("_m")).first()
-        if (now or 0) <= limit or held == before:
+    t = "(52 - _e)"
+    return (rows.withColumn("_x", F.col(value).cast("double"))
+            .withColumn("_a", F.expr("IF(abs(_x) < double('Infinity'), abs(_x), NULL)"))
+            .withColumn("_e", F.expr("CAST(floor(log2(_a)) AS INT)"))
+            .withColumn("_e", F.expr("_e + IF(pow(2D, _e + 1) <= _a, 1, 0) - IF(pow(2D, _e) > _a, 1, 0)"))
+            .withColumn("_e", F.expr("greatest(coalesce(_e, -1022), -1022)"))
+            .withColumn(name, F.expr(f"""CASE WHEN isnan(_x) THEN {2**63 - 1}L WHEN _a IS NULL THEN {2047 << 52}L * CAST(signum(_x) AS BIGINT)
+                ELSE CAST(signum(_x) AS BIGINT) * ((_e + 1022) * {1 << 52}L + CAST(_a * pow(2D, {t} div 2) * pow(2D, {t} - {t} div 2) AS BIGINT)) END"""))
+            .withColumn(name, F.when(F.col("_x").isNotNull(), F.col(name))).drop("_x", "_a", "_e"))
+
+
+def double_of(bits: str) -> Column:
+    """The double of an integer of ``ordered_bits``."""
+    m, t = f"abs({bits})", f"(CAST(shiftright(abs({bits}), 52) AS INT) - 1075)"
+    f = f"({m} & {(1 << 52) - 1}L)"
+    return F.expr(f"""CASE WHEN {bits} = {2**63 - 1}L THEN double('NaN') WHEN {m} = {2047 << 52}L THEN double('Infinity') * signum({bits})
+        WHEN shiftright({m}, 52) = 0 THEN signum({bits}) * {f} * pow(2D, -1074)
+        ELSE signum({bits}) * ({f} + {1 << 52}L) * pow(2D, {t} div 2) * pow(2D, {t} - {t} div 2) END""")
+
+
+def values_at_ranks(rows: DataFrame, ranks: DataFrame, cell: int = CELL) -> DataFrame:
+    """``_k, _r, _v``: the value at 0-based rank ``_r`` among a key's integers ``_o``, by radix selection.
+
+    A round counts the next 16 bits of the values in each wanted cell, with map-side combination,
+    and narrows every (key, rank) to one digit. A cell of at most ``cell`` values is told apart by all
+    its remaining bits at once, so a cell never has more counters than that or than there are
+    digits. State is one row per key and rank; rows are scanned, never moved. Four rounds at most.
+    """
+    state = ranks.select("_k", "_r", F.lit(0).cast("long").alias("_cell"), F.lit(64).alias("_s"), F.col("_r").alias("_rest"), "_n")
+    for least in (48, 32, 16, 0):
+        to = F.when(F.col("_n") <= cell, 0).otherwise(least).alias("_to")
+        wanted = state.filter("_s > 0")
+        cells = wanted.select("_k", "_cell", "_s", to).distinct()
+        here = rows if least == 48 else rows.withColumn("_cell", F.shiftright("_o", least + 16))
+        joined = here.join(cells.drop("_cell") if least == 48 else cells, "_k" if least == 48 else ["_k", "_cell"])
+        if least == 48:
+            joined = joined.withColumn("_cell", F.lit(0).cast("long"))
+        counted = joined.groupBy("_k", "_cell", "_to", F.expr("shiftright(_o, _to)").alias("_d")).agg(F.count("*").alias("_c"))
+        upto = Window.partitionBy("_k", "_cell").orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = counted.withColumn("_cum", F.sum("_c").over(upto))
+        found = (wanted.drop("_n").join(summed, ["_k", "_cell"]).filter((F.col("_rest") < F.col("_cum")) & (F.col("_rest") >= F.col("_cum") - F.col("_c")))
+                 .select("_k", "_r", F.col("_d").alias("_cell"), F.col("_to").alias("_s"), (F.col("_rest") - F.col("_cum") + F.col("_c")).alias("_rest"), F.col("_c").alias("_n")))
+        state = cut(found if least == 48 else found.unionByName(state.filter("_s = 0")))
+        if state.filter("_s > 0").isEmpty():
             break
-        before = held
-        finite = F.when(~F.isnan("_x"), F.col("_x"))
-        sketch = inside.groupBy(*g).agg(
-            F.count(finite).alias("_m"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-            F.percentile_approx(finite, grid, 10_000).alias("_a"))
-        first = F.floor(F.try_divide(F.col("_r0"), F.col("_m")) * GRID) - 1
-        last = F.ceil(F.try_divide(F.col("_r1"), F.col("_m")) * GRID) + 1
-        box = sketch.join(target, g).select(
-            *g,
-            F.when((first < 1) | (first > GRID) | first.isNull(), F.col("_min")).otherwise(
-                F.get("_a", F.greatest(first, F.lit(0)).cast("int"))).alias("_lo"),
-            F.when((last >= GRID) | last.isNull(), F.col("_max")).otherwise(
-                F.get("_a", F.least(last, F.lit(GRID)).cast("int"))).alias("_hi"))
-        box = cut(box)
-        boxed = inside.join(box, g)
-        below = boxed.groupBy(*g).agg(F.count_if(F.col("_x") < F.col("_lo")).alias("_less"))
-        target = cut(target.join(below, g).select(
-            *g, "_h", (F.col("_r0") - F.col("_less")).alias("_r0"),
-            (F.col("_r1") - F.col("_less")).alias("_r1")))
-        inside = cut(boxed.filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
-                     .select(*g, "_x"))
-    upto = Window.partitionBy(*g).orderBy("_x").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    hit = (counted.withColumn("_cum", F.sum("_c").over(upto)).join(target, g)
-           .groupBy(*g, "_h")
-           .agg(F.min(F.when(F.col("_cum") > F.col("_r0"), F.col("_x"))).alias("_a"),
-                F.min(F.when(F.col("_cum") > F.col("_r1"), F.col("_x"))).alias("_z")))
-    frac = F.col("_h") - F.floor("_h")
-    solved = hit.select(*g, (F.col("_a") + (F.col("_z") - F.col("_a")) * frac).alias("_v"))
-    known = solved.groupBy("_k").agg(*[
-        F.max(F.when(F.col("_p") == name, F.col("_v"))).alias(name) for name in probs])
+    return state.select("_k", "_r", double_of("_cell").alias("_v"))
+
+
+def _quantiles_by_digits(df, keys, value, probs, cell):
+    """Quantiles of groups of any size; groups without a value keep their row, with NULL."""
+    keyed = cut(ordered_bits(df.select(group_key(keys).alias("_k"), F.col(value).alias("_y")), "_y", "_o").select("_k", "_o"))
+    rows = keyed.filter("_o IS NOT NULL")
+    wanted = F.array(*[F.struct(F.lit(name).alias("_p"), F.lit(float(p)).alias("_q")) for name, p in probs.items()])
+    target = (rows.groupBy("_k").agg(F.count("*").alias("_n")).select("_k", "_n", F.explode(wanted).alias("_w"))
+              .select("_k", "_n", "_w._p", ((F.col("_n") - 1) * F.col("_w._q")).alias("_h")))
+    target = cut(target.withColumn("_r0", F.floor("_h")).withColumn("_r1", F.ceil("_h")))
+    ranks = target.select("_k", "_n", F.explode(F.array("_r0", "_r1")).alias("_r")).distinct()
+    at = values_at_ranks(rows, ranks, cell).groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))  # two a probability
+    lo, hi = F.col("_at")[F.col("_r0")], F.col("_at")[F.col("_r1")]
+    solved = target.join(at, "_k").withColumn("_v", lo + (hi - lo) * (F.col("_h") - F.col("_r0")))
+    known = solved.groupBy("_k").agg(*[F.max(F.when(F.col("_p") == name, F.col("_v"))).alias(name) for name in probs])
     every = keyed.select("_k").distinct() if keys else df.sparkSession.range(1).select(group_key([]).alias("_k"))
     return every.join(known, "_k", "left").select(*[F.col("_k").getField(k).alias(k) for k in keys], *probs)
 
@@ -245,7 +254,7 @@ def robust_stats(df: DataFrame, keys: Sequence[str], value: str, *, scale: float
     """Median and scaled median absolute deviation per key."""
     keys = list(keys)
     largest = largest_group(df, keys) if largest is None else largest
-    if largest <= (HOT_GROUP_ROWS if limit is None else limit):
+    if largest <= (CELL if limit is None else limit):
         g = sorted_values(df, keys, value).withColumn(names[0], quantile_of(F.col("_s"), 0.5))
         return g.select(*keys, names[0], (mad_of(F.col("_s"), F.col(names[0])) * F.lit(scale)).alias(names[1]))
     med = exact_quantiles(df, keys, value, {names[0]: 0.5}, limit, largest)
@@ -296,16 +305,18 @@ def order_statistic(df: DataFrame, keys: Sequence[str], value: str, fraction: fl
 
 def kth_largest(df, keys, value, sizes, limit=None):
     """Per key the ``_k``-th largest value (``sizes`` holds keys, _n, _k)."""
-    counted = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    limit = HOT_GROUP_ROWS if limit is None else limit
-    if largest_group(counted, keys) <= limit:
+    limit = CELL if limit is None else limit
+    top = [F.max("_n").alias("_n"), F.max("_k").alias("_k")]
+    if largest_group(df, keys) <= limit:
+        counted = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
         w = Window.partitionBy(*keys).orderBy(F.col(value).desc()).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         ranked = counted.withColumn("_cum", F.sum("_c").over(w))
-    else:
-        ranged = range_bucketed(counted, [F.col(value).desc()])
-        ranked = running_sum(ranged, keys, [F.col(value).desc()], F.col("_rb"),
-                             {"_cum": "_c"})
-    return (attach(ranked, sizes, keys).groupBy(*keys)
-            .agg(F.max("_n").alias("_n"), F.max("_k").alias("_k"),
-                 F.max(F.when(F.col("_cum") >= F.col("_k"), F.col(value))).alias("_kth")))
+        return (attach(ranked, sizes, keys).groupBy(*keys)
+                .agg(*top, F.max(F.when(F.col("_cum") >= F.col("_k"), F.col(value))).alias("_kth")))
+    rows = cut(ordered_bits(df.select(group_key(keys).alias("_g"), F.col(value).alias("_y")), "_y", "_o")
+               .filter("_o IS NOT NULL").select(F.col("_g").alias("_k"), "_o"))
+    every = cut(sizes.select(group_key(keys).alias("_g"), "_n", F.col("_k").alias("_want")))
+    ranks = every.filter("_n > 0").select(F.col("_g").alias("_k"), "_n", F.greatest(F.col("_n") - F.col("_want"), F.lit(0)).cast("long").alias("_r"))
+    at = values_at_ranks(rows, ranks, limit).select(F.col("_k").alias("_g"), F.col("_v").alias("_kth"))
+    return every.join(at, "_g", "left").select(*[F.col("_g").getField(k).alias(k) for k in keys], "_n", F.col("_want").alias("_k"), "_kth")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,51 +23,67 @@ def off_noise_ceiling(pool: DataFrame, keys: Sequence[str], value: str, quantile
     counted; a key without other values has a NULL ceiling.
     """
     keys = list(keys)
-    own = keys or ["_g"]
-    pool = pool if keys else pool.withColumn("_g", F.lit(0))
     x = F.col(value).cast("double")
-    pool = cut(pool.select(*own, F.when(~F.isnan(x), x).alias("_x")))
-    largest = scale.largest_group(pool, own)
-    if largest <= (scale.HOT_GROUP_ROWS if limit is None else limit):
-        return _ceiling_of_small_groups(pool, own, quantile, iters, clip).drop("_g")
+    pool = cut(pool.select(scale.group_key(keys).alias("_k"), F.when(~F.isnan(x), x).alias("_x")))
+    largest = scale.largest_group(pool, ["_k"])
+    named = [F.col("_k").getField(k).alias(k) for k in keys]
+    if largest <= (scale.HOT_GROUP_ROWS if limit is None else limit):  # 16 MB of doubles at most
+        key = pool.schema["_k"].dataType.simpleString()
+        out = pool.groupBy("_k").applyInArrow(_ceiling_kernel(quantile, iters, clip), f"_k {key}, n_pool long, n_core long, ceiling double")
+        return out.select(*named, "n_pool", "n_core", "ceiling")
+    own = ["_k"]
     state = cut(pool.groupBy(*own).agg(
         F.count("_x").alias("n_pool"), F.count("_x").alias("kept"), F.lit(0.0).alias("center"),
         F.lit(float("inf")).alias("width"), (F.count("_x") == 0).alias("done")))
 
     def inside(s: DataFrame) -> DataFrame:
-        return scale.meet(pool, s, own).filter(F.abs(F.col("_x") - F.col("center")) <= F.col("width"))
+        return pool.join(s, own).filter(F.abs(F.col("_x") - F.col("center")) <= F.col("width"))
 
     for _ in range(iters):
         live = state.filter(~F.col("done")).select(*own, "center", "width")
         core = cut(scale.robust_stats(inside(live), own, "_x", limit=limit, largest=largest))
         fits = F.abs(F.col("_x") - F.col("median")) <= clip * F.col("mad_sigma")
-        again = scale.meet(pool, core, own).groupBy(*own).agg(F.count_if(fits).alias("_m"))
+        again = pool.join(core, own).groupBy(*own).agg(F.count_if(fits).alias("_m"))
         stop = F.col("done") | (F.col("mad_sigma") == 0) | (F.col("_m") == F.col("kept"))
 
         def upd(new: Column, old: str) -> Column:
             return F.when(stop, F.col(old)).otherwise(new).alias(old)
 
-        state = cut(scale.meet(scale.meet(state, core, own, "left"), again, own, "left").select(
+        state = cut(state.join(core, own, "left").join(again, own, "left").select(
             *own, "n_pool", upd(F.col("_m"), "kept"), upd(F.col("median"), "center"),
             upd(clip * F.col("mad_sigma"), "width"), stop.alias("done")))
         if state.filter(~F.col("done")).isEmpty():
             break
     top = scale.exact_quantiles(inside(state.select(*own, "center", "width")), own, "_x",
                                 {"ceiling": quantile}, limit, largest)
-    return scale.meet(state.select(*own, "n_pool", F.col("kept").alias("n_core")), top, own, "left").drop("_g")
-
-
-def _ceiling_of_small_groups(pool: DataFrame, own, quantile: float, iters: int, clip: float) -> DataFrame:
-    """The same rule on one sorted array per group, for groups checked to fit one task."""
-    g = scale.sorted_values(pool, own, "_x").withColumn("_core", F.col("_s")).withColumn("_done", F.lit(False))
-    for _ in range(iters):
-        g = g.withColumn("_mid", scale.quantile_of(F.col("_core"), 0.5))
-        g = g.withColumn("_w", scale.mad_of(F.col("_core"), F.col("_mid")) * 1.4826)
-        g = g.withColumn("_kept", F.filter("_s", lambda v: F.abs(v - F.col("_mid")) <= clip * F.col("_w")))
-        stop = F.col("_done") | (F.size("_core") == 0) | (F.col("_w") == 0) | (F.size("_kept") == F.size("_core"))
-        g = g.withColumn("_done", stop).withColumn("_core", F.when(F.col("_done"), F.col("_core")).otherwise(F.col("_kept")))
-    return g.select(*own, F.size("_s").cast("long").alias("n_pool"), F.size("_core").cast("long").alias("n_core"),
-                    scale.quantile_of(F.col("_core"), quantile).alias("ceiling"))
+    return state.select(*own, "n_pool", F.col("kept").alias("n_core")).join(top, own, "left").select(*named, "n_pool", "n_core", "ceiling")
+
+
+def _ceiling_kernel(quantile: float, iters: int, clip: float):
+    """The same rule on the values of one group, sorted once: survivors are a slice of them."""
+    def middle(v: np.ndarray) -> float:
+        return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+
+    def run(group: pa.Table) -> pa.Table:
+        x = group.column("_x").combine_chunks().drop_null().to_numpy()
+        x = np.sort(x)
+        core = x
+        for _ in range(iters):
+            if not len(core):
+                break
+            mid = middle(core)
+            width = middle(np.sort(np.abs(core - mid))) * 1.4826
+            kept = x[np.abs(x - mid) <= clip * width]
+            if width == 0 or len(kept) == len(core):
+                break
+            core = kept
+        top = None
+        if len(core):
+            h = (len(core) - 1) * quantile
+            lo = int(h)
+            top = float(core[lo] + (core[min(lo + 1, len(core) - 1)] - core[lo]) * (h - lo))
+        return pa.table({"_k": group.column("_k").slice(0, 1), "n_pool": [len(x)], "n_core": [len(core)], "ceiling": pa.array([top], pa.float64())})
+    return run
 
 
 def _long_moments(px: DataFrame, by: str, frame: str, value: str) -> DataFrame:
