@@ -11,6 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of each row of 64-bit values."""
+    with np.errstate(over="ignore"):
+        x = np.zeros(len(h), np.uint64)
+        for k in range(h.shape[1]):
+            x = (x ^ h[:, k]) * np.uint64(MIX[0])
+            x = (x ^ x >> np.uint64(29)) * np.uint64(MIX[1])
+            x ^= x >> np.uint64(32)
+    return x
 
 
 class Bits:
@@ -19,10 +31,6 @@ class Bits:
     def __init__(self, words: np.ndarray, size: int):
         self.words, self.size = words, size
 
-    def has(self, h: int) -> bool:
-        at = (h & (2**64 - 1)) >> 64 - self.size
-        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
-
     def have(self, h: np.ndarray) -> np.ndarray:
         at = h.view(np.uint64) >> np.uint64(64 - self.size)
         return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)

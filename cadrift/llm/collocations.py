@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadrift.llm.bits import SEED, Bits, bits_of
+from cadrift.llm.bits import SEED, Bits, bits_of, mixed
 from cadrift.llm.common import slices
 from cadrift.session import cut
 
@@ -28,7 +28,9 @@ SHARD = "lang string, n long, words binary, counts binary, ahead binary, back bi
 #: A row of the index holds megabytes, so row groups close after a few of them.
 SMALL_GROUPS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 2,
                 "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 2}
-MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+HASH_BITS = np.uint64((1 << 64) - (1 << 24))
+HELD = 1 << 20
 
 
 def depth_order(s: np.ndarray, kinds: int, depth: int) -> np.ndarray:
@@ -122,17 +124,6 @@ class Index:
         return of, symbol, np.searchsorted(places, symbol * self.n + low[of]), other[of] + less, count
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """64-bit hashes of phrases from those of their words, a column each."""
-    with np.errstate(over="ignore"):
-        x = np.zeros(len(h), np.uint64)
-        for k in range(h.shape[1]):
-            x = (x ^ h[:, k]) * np.uint64(MIX[0])
-            x = (x ^ x >> np.uint64(29)) * np.uint64(MIX[1])
-            x ^= x >> np.uint64(32)
-    return x
-
-
 def phrases(index: Index, lang: str, frequent: list[Bits], max_words: int):
     """Word-id rows and counts of the phrases of each length from two words on, longest last.
 
@@ -188,26 +179,41 @@ def word_task():
 
 
 def hash_task(shared, length: int):
-    """Hashes of the phrases of one length, with counts."""
+    """Hashes of the phrases of one length, with counts, sorted. Few bits and a sorted order make
+    the rows short on their way; phrases that fall together are told apart by the last pass."""
     def run(batches):
         frequent = [Bits(*x) for x in shared.value]
+        keys, counts = [], []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            u, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return u, np.bincount(at, np.concatenate(counts), len(u)).astype(np.int64)
+
         for lang, index in shards_of(batches):
             for ids, size, h in phrases(index, lang, frequent, length):
                 pass
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(h[ids]).view(np.int64)), pa.array(size)], names=["h", "n"])
+            keys.append(mixed(h[ids]) & HASH_BITS)
+            counts.append(size)
+            if sum(map(len, keys)) > HELD:
+                keys, counts = map(list, zip(summed()))
+                if len(keys[0]) > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], names=["h", "n"])
+                    keys, counts = [], []
+        if keys:
+            u, n = summed()
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["h", "n"])
     return run
 
 
 def phrase_task(shared, max_words: int):
-    """Phrases that pass themselves, or of the greatest length, with their words."""
+    """Phrases that pass, with their words and counts."""
     def run(batches):
         frequent = [Bits(*x) for x in shared.value]
         for lang, index in shards_of(batches):
             words = pa.array(index.words, pa.binary())
             for length, (ids, size, h) in enumerate(phrases(index, lang, frequent, max_words), 2):
-                if length < max_words:
-                    keep = frequent[length - 1].have(mixed(h[ids]))
-                    ids, size = ids[keep], size[keep]
+                keep = frequent[length - 1].have(mixed(h[ids]))
+                ids, size = ids[keep], size[keep]
                 for i in range(0, len(ids), 1 << 16):
                     part = ids[i:i + (1 << 16)]
                     text = pc.binary_join_element_wise(*(words.take(pa.array(part[:, k])) for k in range(length)), b" ")
@@ -228,7 +234,7 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, least: int = 10, shard_wo
     frequent = [bits_of(words, F.xxhash64("lang", "phrase"), words.count(), most_bits)]
     index = shards.select("lang", "words", "counts", "ahead", "back")
     shared = lambda: spark.sparkContext.broadcast([(b.words, b.size) for b in frequent])
-    for length in range(2, max_words):
+    for length in range(2, max_words + 1):
         hashed = index.mapInArrow(hash_task(shared(), length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
         hashed = cut(hashed.filter(F.col("n") >= least).select("h"))
         frequent = [*frequent, bits_of(hashed, F.col("h"), hashed.count(), most_bits)]
