@@ -9,22 +9,26 @@ go on below surviving prefixes, is written and is all that the next level reads.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadrift.llm.bits import SEED, Bits, bits_of
+from cadrift.llm.bits import SEED, Bits, bits_of, mixed
 from cadrift.llm.common import slices
 from cadrift.session import cut, cuts, drop_cuts
 
-TERM = re.compile(rb"[A-Za-z\x80-\xFF]+")  # in UTF-8: all but \x00-\x40, \x5B-\x60 and \x7B-\x7F
-COUNTED = "lang string, source string, prefix binary, whole boolean, docs long, n long"
-LEFT = "lang string, source string, terms binary, counts binary"
-HELD = 200_000
+COUNTED = "lang string, source string, prefix binary, whole boolean, h long, docs long, n long"
+PORTION = 2 << 20
+HELD = 1 << 18
+
+#: Lower-cased bytes of terms; 0 for all that stands between them (\x00-\x40, \x5B-\x60, \x7B-\x7F).
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 32
+LOWER[:0x41] = LOWER[0x5B:0x61] = LOWER[0x7B:0x80] = 0
+#: Masks that leave the first 0 to 8 bytes of a big-endian word.
+FIRST = np.array([0] + [(1 << 64) - (1 << 64 - 8 * k) for k in range(1, 9)], np.uint64)
 
 
 def whole(column: str) -> Column:
@@ -32,100 +36,161 @@ def whole(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).alias(column)
 
 
-def terms_of_texts(batches):
-    """Language, source and term counts of each document."""
-    for b in slices(batches):
-        for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            yield lang, source, Counter(TERM.findall(text.lower()))
+class Terms:
+    """Terms of some documents, by their places in the texts joined."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_binary())
+        self.at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[self.at[0]:self.at[-1]]
+        self.at = self.at - self.at[0]
+        self.low = LOWER[data]
+        inside, first = self.low > 0, self.at[:-1][self.at[:-1] < len(data)]
+        before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        before[1:], after[:-1] = inside[:-1], inside[1:]
+        before[first] = False
+        after[first[first > 0] - 1] = False
+        self.start = np.flatnonzero(inside & ~before)
+        self.size = np.flatnonzero(inside & ~after) + 1 - self.start
+        self.doc = np.searchsorted(self.at, self.start, side="right") - 1
+
+    def take(self, keep: np.ndarray) -> None:
+        self.start, self.size, self.doc = self.start[keep], self.size[keep], self.doc[keep]
+
+    def words(self, width: int) -> np.ndarray:
+        """The first ``width`` bytes of each term as big-endian 64-bit words, zeros behind its end."""
+        padded = np.concatenate([self.low, np.zeros(8, np.uint8)])
+        view = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(padded) - 7,), (1,))
+        out = np.empty((len(self.start), -(-width // 8)), np.uint64)
+        for k in range(out.shape[1]):
+            left = np.clip(np.minimum(self.size, width) - 8 * k, 0, 8)
+            out[:, k] = view[np.minimum(self.start + 8 * k, len(view) - 1)].byteswap() & FIRST[left]
+        return out
 
+    def texts(self) -> pa.Array:
+        """What is left of each document: its terms, a line end after each."""
+        size = self.size + 1
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - self.start, size)
+        data = np.append(self.low, np.uint8(0))[at]
+        data[ends - 1] = 10
+        offsets = np.append(0, ends)[np.searchsorted(self.doc, np.arange(len(self.at)))].astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(self.at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
 
-def terms_left(batches):
-    for b in slices(batches):
-        for lang, source, terms, counts in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "terms", "counts"))):
-            yield lang, source, dict(zip(terms.split(b"\n"), np.frombuffer(counts, np.int64).tolist()))
 
+def numbered(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows' first places, and the number of each row's kind."""
+    _, first, kind = np.unique(words[:, 0], return_index=True, return_inverse=True)
+    for k in range(1, words.shape[1]):
+        values, more = np.unique(words[:, k], return_inverse=True)
+        _, first, kind = np.unique(kind * len(values) + more, return_index=True, return_inverse=True)
+    return first, kind
 
-class Survivors:
-    """Which terms go on below a prefix that enough documents hold; answers are kept, up to a bound."""
 
-    def __init__(self, bits: Bits | None, width: int):
-        self.bits, self.width, self.seen, self.seeds = bits, width, {}, {}
+def bytes_of(words: np.ndarray) -> pa.Array:
+    """Big-endian words as bytes, without zeros."""
+    flat = np.ascontiguousarray(words.byteswap()).view(np.uint8)
+    offsets = np.append(0, np.cumsum((flat > 0).sum(axis=1))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(flat[flat > 0])])
+
+
+def portions(batches):
+    """Rows in pieces of about ``PORTION`` bytes of text, or of one longer text."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            done = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, done + PORTION, side="right")))
+            yield b.slice(at, end - at)
+            at = end
 
-    def of(self, lang: str, terms: dict[bytes, int]) -> dict[bytes, int]:
-        import xxhash
-        width = self.width
-        if self.bits is None:
-            return terms
-        if lang not in self.seeds:
-            self.seeds[lang] = (xxhash.xxh64_intdigest(lang.encode(), SEED), {})
-        seed, seen = self.seeds[lang]
-        if len(seen) > HELD:
-            seen.clear()
-        out = {}
-        for t, n in terms.items():
-            if len(t) > width:
-                p = t[:width]
-                if (ok := seen.get(p)) is None:
-                    ok = seen[p] = self.bits.has(xxhash.xxh64_intdigest(p, seed))
-                if ok:
-                    out[t] = n
-        return out
 
+class Names:
+    """Numbers of languages and of groups (lang, source)."""
 
-def count_task(read, shared, before: int, width: int):
-    """Documents and occurrences of what ends within ``width`` bytes, by source, and documents of the
-    prefixes of what goes on. One document counts once for a prefix."""
+    def __init__(self):
+        self.langs, self.groups, self.lang_of, self.seeds = {}, {}, [], []
+
+    def of(self, b: pa.RecordBatch) -> np.ndarray:
+        import xxhash
+        for lang, source in dict.fromkeys(zip(b.column("lang").to_pylist(), b.column("source").to_pylist())):
+            if lang not in self.langs:
+                self.langs[lang] = len(self.langs)
+                self.seeds.append(xxhash.xxh64_intdigest(lang.encode(), SEED))
+            if (lang, source) not in self.groups:
+                self.groups[lang, source] = len(self.groups)
+                self.lang_of.append(self.langs[lang])
+        return np.array([self.groups[g] for g in zip(b.column("lang").to_pylist(), b.column("source").to_pylist())], np.int64)
+
+    def hashes(self, lang: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return mixed(np.column_stack([np.array(self.seeds, np.uint64)[lang], words]))
+
+
+def going_on(terms: Terms, lang: np.ndarray, names: Names, bits: Bits | None, width: int) -> None:
+    """Only terms that go on below a prefix of ``width`` bytes that enough documents hold stay."""
+    if bits is not None:
+        terms.take(terms.size > width)
+        terms.take(bits.have(names.hashes(lang[terms.doc], terms.words(width))))
+
+
+def counted(terms: Terms, group: np.ndarray, words: np.ndarray, some: np.ndarray) -> tuple:
+    """Words, group, documents and occurrences of some terms; one document counts once for a term."""
+    doc, words = terms.doc[some], words[some]
+    first, kind = numbered(words) if len(words) else (np.zeros(0, np.int64),) * 2
+    per_doc, n = np.unique(kind * len(group) + doc, return_counts=True)
+    most = int(group.max()) + 1
+    key, at = np.unique(per_doc // len(group) * most + group[per_doc % len(group)], return_inverse=True)
+    return words[first][key // most], key % most, np.bincount(at, minlength=len(key)), np.bincount(at, n, len(key)).astype(np.int64)
+
+
+def count_task(shared, before: int, width: int):
+    """Documents and occurrences of what ends within ``width`` bytes, by group, and documents of the
+    prefixes of what goes on."""
     def run(batches):
+        bits, names, held = Bits(*shared.value) if shared else None, Names(), []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by(["g", "prefix", "whole", "h"]).aggregate([("docs", "sum"), ("n", "sum")]).rename_columns(["g", "prefix", "whole", "h", "docs", "n"])
+
         def rows():
-            keys, values = list(held), np.array(list(held.values()), np.int64).reshape(-1, 2)
-            cols = list(zip(*keys))
-            yield from slices([pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()), pa.array([s is not None for s in cols[1]]),
-                 pa.array(values[:, 0]), pa.array(values[:, 1])], names=["lang", "source", "prefix", "whole", "docs", "n"])], 1 << 14)
-
-        held: dict[tuple, list[int]] = {}
-        survive = Survivors(Bits(*shared.value) if shared else None, before)
-        for lang, source, terms in read(batches):
-            prefixes = set()
-            for t, n in survive.of(lang, terms).items():
-                if len(t) > width:
-                    prefixes.add(t[:width])
-                elif (h := held.get(k := (lang, source, t))) is None:
-                    held[k] = [1, n]
-                else:
-                    h[0] += 1
-                    h[1] += n
-            for p in prefixes:
-                if (h := held.get(k := (lang, None, p))) is None:
-                    held[k] = [1, 0]
-                else:
-                    h[0] += 1
-            if len(held) > HELD:
-                yield from rows()
-                held = {}
+            langs, groups = pa.array(list(names.langs), pa.string()), list(names.groups)
+            for b in slices(summed().combine_chunks().to_batches(), 1 << 15):
+                g, ends = b.column("g").to_numpy(), b.column("whole").to_numpy(zero_copy_only=False)
+                lang = np.where(ends, np.array(names.lang_of)[np.where(ends, g, 0)], g)
+                source = pa.array([s for _, s in groups], pa.string()).take(pa.array(g, mask=~ends))
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), source, *b.columns[1:]], names=["lang", "source", "prefix", "whole", "h", "docs", "n"])
+
+        for b in portions(batches):
+            group = names.of(b)
+            lang = np.array(names.lang_of)[group]
+            terms = Terms(b.column("text"))
+            going_on(terms, lang, names, bits, before)
+            words = terms.words(width)
+            for ends, by in ((True, group), (False, lang)):
+                w, g, docs, n = counted(terms, by, words, (terms.size <= width) == ends)
+                h = np.zeros(len(w), np.int64) if ends else names.hashes(g, w).view(np.int64)
+                held.append(pa.table({"g": g, "prefix": bytes_of(w), "whole": np.full(len(w), ends), "h": h, "docs": docs, "n": n if ends else n * 0}))
+            if sum(map(len, held)) > HELD:
+                held = [summed()]
+                if len(held[0]) > HELD // 2:
+                    yield from rows()
+                    held = []
         if held:
             yield from rows()
     return run
 
 
-def left_task(read, shared, width: int):
-    """Each document's terms that go on below surviving prefixes of ``width`` bytes."""
+def left_task(shared, width: int):
+    """Each document's terms that go on below surviving prefixes of ``width`` bytes, as its text."""
     def run(batches):
-        survive = Survivors(Bits(*shared.value), width)
-        out = []
-
-        def rows():
-            cols = list(zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
-                                              names=["lang", "source", "terms", "counts"])
-        for lang, source, terms in read(batches):
-            if left := survive.of(lang, terms):
-                out.append((lang, source, b"\n".join(left), np.array(list(left.values()), np.int64).tobytes()))
-            if len(out) == 256:
-                yield rows()
-                out.clear()
-        if out:
-            yield rows()
+        bits, names = Bits(*shared.value), Names()
+        for b in portions(batches):
+            terms = Terms(b.column("text"))
+            group = names.of(b)
+            going_on(terms, np.array(names.lang_of)[group], names, bits, width)
+            out = pa.RecordBatch.from_arrays([b.column("lang"), b.column("source"), terms.texts()], names=["lang", "source", "text"])
+            yield out.filter(pa.array(np.diff(np.searchsorted(terms.doc, np.arange(b.num_rows + 1))) > 0))
     return run
 
 
@@ -136,23 +201,23 @@ def kept_terms(docs: DataFrame, least: int = 3, width: int = 4, most_bits: int =
     """
     spark = docs.sparkSession
     rows = docs.select(whole("lang"), whole("source"), whole("text").cast("binary").alias("text"))
-    read, shared, before, kept, left = terms_of_texts, None, 0, None, []
+    shared, before, kept, left = None, 0, None, []
     while True:
-        counted = cut(rows.mapInArrow(count_task(read, shared, before, width), COUNTED)
-                      .groupBy("lang", "source", "prefix", "whole").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
-        enough = cut(counted.groupBy("lang", "prefix", "whole").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least))
+        counts = cut(rows.mapInArrow(count_task(shared, before, width), COUNTED)
+                     .groupBy("lang", "source", "prefix", "whole", "h").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
+        enough = cut(counts.groupBy("lang", "prefix", "whole", "h").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least))
         done = cuts()[-2:]
-        ends = counted.filter("whole").join(enough.filter("whole").select("lang", "prefix"), ["lang", "prefix"], "left_semi")
+        ends = counts.filter("whole").join(enough.filter("whole").select("lang", "prefix"), ["lang", "prefix"], "left_semi")
         ends = cut(ends.select("lang", "source", F.col("prefix").cast("string").alias("term"), "n"))
         kept = ends if kept is None else kept.unionByName(ends)
-        on = enough.filter("NOT whole").select("lang", "prefix")
+        on = enough.filter("NOT whole").select("h")
         more = on.count()
         if more:
-            bits = bits_of(on, F.xxhash64("lang", "prefix"), more, most_bits)
+            bits = bits_of(on, F.col("h"), more, most_bits)
             shared = spark.sparkContext.broadcast((bits.words, bits.size))
             if before:  # beyond the second level only what is left is read again
-                rows, read, done = cut(rows.mapInArrow(left_task(read, shared, width), LEFT)), terms_left, done + left
-                left = cuts()[-1:]
+                rows = cut(rows.mapInArrow(left_task(shared, width), "lang string, source string, text binary"))
+                done, left = done + left, cuts()[-1:]
         else:
             done += left
         drop_cuts(spark, done)
