@@ -7,10 +7,13 @@ of the set is always found. Beyond ``most`` bits the array stays as large and le
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
+KEY_BITS = 40
+PACKED = "block int, gaps binary, counts binary"
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -48,3 +51,36 @@ def bits_of(keys: DataFrame, h: Column, rows: int, most: int = 28) -> Bits:
     out = np.zeros(1 << size - 6, np.int64)
     out[grouped.column("w").to_numpy()] = grouped.column("bits").to_numpy()
     return Bits(out.view(np.uint64), size)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """32-bit integers, all first bytes first, which packs well where they are small."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.uint64)
+
+
+def packed(keys: np.ndarray, counts: np.ndarray, blocks: int):
+    """Rows of ``PACKED`` for sorted distinct keys of ``KEY_BITS`` bits: a block is their first ``blocks``
+    bits, 8 or more, and holds the gaps between them and their counts."""
+    of, first = np.unique(keys >> np.uint64(KEY_BITS - blocks), return_index=True)
+    low = keys & np.uint64((1 << KEY_BITS - blocks) - 1)
+    ends = [*first[1:].tolist(), len(keys)]
+    gaps = [planes(np.diff(low[i:j], prepend=np.uint64(0))) for i, j in zip(first, ends)]
+    for i in range(0, len(of), 1 << 12):
+        j = min(i + (1 << 12), len(of))
+        yield pa.RecordBatch.from_arrays([pa.array(of[i:j].astype(np.int32)), pa.array(gaps[i:j], pa.binary()), pa.array([planes(counts[x:y]) for x, y in zip(first[i:j], ends[i:j])], pa.binary())],
+                                         names=["block", "gaps", "counts"])
+
+
+def sum_block(least: int, blocks: int):
+    """``h``: keys of a block of ``PACKED`` rows with counts of ``least`` or more in all, as the first bits of 64."""
+    def run(rows: pa.Table) -> pa.Table:
+        low = np.concatenate([np.cumsum(from_planes(x), dtype=np.uint64) for x in rows.column("gaps").to_pylist()])
+        n = np.concatenate([from_planes(x) for x in rows.column("counts").to_pylist()])
+        u, at = np.unique(low, return_inverse=True)
+        u = u[np.bincount(at, n, len(u)) >= least] | np.uint64(rows.column("block")[0].as_py() << KEY_BITS - blocks)
+        return pa.table({"h": pa.array((u << np.uint64(64 - KEY_BITS)).view(np.int64))})
+    return run

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadrift.llm.bits import SEED, Bits, bits_of, mixed
+from cadrift.llm.bits import KEY_BITS, PACKED, SEED, Bits, bits_of, mixed, packed, sum_block
 from cadrift.llm.common import slices
 from cadrift.session import cut
 
@@ -29,7 +29,6 @@ SHARD = "lang string, n long, words binary, counts binary, ahead binary, back bi
 SMALL_GROUPS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 2,
                 "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 2}
 
-HASH_BITS = np.uint64((1 << 64) - (1 << 24))
 HELD = 1 << 20
 
 
@@ -178,9 +177,9 @@ def word_task():
     return run
 
 
-def hash_task(shared, length: int):
-    """Hashes of the phrases of one length, with counts, sorted. Few bits and a sorted order make
-    the rows short on their way; phrases that fall together are told apart by the last pass."""
+def hash_task(shared, length: int, blocks: int):
+    """40-bit hashes of the phrases of one length, with counts, packed by their first ``blocks`` bits
+    as gaps between sorted ones. Phrases that fall together are told apart by the last pass."""
     def run(batches):
         frequent = [Bits(*x) for x in shared.value]
         keys, counts = [], []
@@ -192,16 +191,15 @@ def hash_task(shared, length: int):
         for lang, index in shards_of(batches):
             for ids, size, h in phrases(index, lang, frequent, length):
                 pass
-            keys.append(mixed(h[ids]) & HASH_BITS)
+            keys.append(mixed(h[ids]) >> np.uint64(64 - KEY_BITS))
             counts.append(size)
             if sum(map(len, keys)) > HELD:
                 keys, counts = map(list, zip(summed()))
                 if len(keys[0]) > HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], names=["h", "n"])
+                    yield from packed(keys[0], counts[0], blocks)
                     keys, counts = [], []
-        if keys:
-            u, n = summed()
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["h", "n"])
+        if keys and sum(map(len, keys)):
+            yield from packed(*summed(), blocks)
     return run
 
 
@@ -234,9 +232,11 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, least: int = 10, shard_wo
     frequent = [bits_of(words, F.xxhash64("lang", "phrase"), words.count(), most_bits)]
     index = shards.select("lang", "words", "counts", "ahead", "back")
     shared = lambda: spark.sparkContext.broadcast([(b.words, b.size) for b in frequent])
+    total = shards.agg(F.sum("n")).first()[0] or 0
+    blocks = min(24, max(8, (total >> 20).bit_length()))  # about a million occurrences a block at most
     for length in range(2, max_words + 1):
-        hashed = index.mapInArrow(hash_task(shared(), length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        hashed = cut(hashed.filter(F.col("n") >= least).select("h"))
+        keys = index.mapInArrow(hash_task(shared(), length, blocks), PACKED)
+        hashed = cut(keys.groupBy("block").applyInArrow(sum_block(least, blocks), "h long"))
         frequent = [*frequent, bits_of(hashed, F.col("h"), hashed.count(), most_bits)]
     counted = (index.mapInArrow(phrase_task(shared(), max_words), "lang string, words int, phrase binary, n long")
                .groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
