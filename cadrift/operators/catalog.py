@@ -213,7 +213,7 @@ def coverage_report(df: DataFrame, by: str = "product") -> DataFrame:
             "_k", F.col("_n") - F.floor(F.col("_n") / 2))
         mid = scale.kth_largest(df.filter(F.col(c).isNotNull()), [by], c, sizes).select(
             by, F.col("_kth").alias(f"{c}_median"))
-        base = base.join(mid, by, "left")
+        base = scale.meet(base, mid, [by], "left")
     return base
 
 

@@ -44,9 +44,10 @@ def scores_below(background: DataFrame, points: DataFrame, keys: Sequence[str],
     """For each point: background rows strictly below it, equal to it, and in total, per key.
 
     Points and background are counted together per distinct value and totalled in one
-    ordered pass, so the theta join never happens.
+    ordered pass, so the theta join never happens. Points are written first: a mean that is
+    computed again can differ in its last bit and would not meet itself.
     """
-    keys = list(keys)
+    keys, points = list(keys), cut(points)
     bg = background.select(*keys, F.col(score).cast("double").alias("_v"), F.lit(1).alias("_bg"))
     pt = points.select(*keys, F.col(at).cast("double").alias("_v"), F.lit(0).alias("_bg"))
     counts = bg.unionByName(pt).groupBy(*keys, "_v").agg(F.sum("_bg").alias("_c"))
@@ -65,7 +66,7 @@ def detection_table(injected: DataFrame, calibration: DataFrame, background: Dat
     ``calibration``: method, center, spread (median and robust sigma of the search, or mean
     and std of quiet frames). ``background`` (method, score) adds the rank of the mean score.
     """
-    j = injected.join(calibration, "method")
+    j = scale.meet(injected, calibration, ["method"])
     c, s = F.col("center"), F.col("spread")
     t = j.groupBy("method", "snr", "center", "spread").agg(
         F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"),
@@ -101,7 +102,7 @@ def per_group_detection(injected: DataFrame, probe: DataFrame) -> DataFrame:
         "method", (F.col("median") + 3 * F.col("mad_sigma")).alias("pooled_thresh3"))
     spread = own.groupBy("method").agg(F.min("t3").alias("thresh3_min"), F.max("t3").alias("thresh3_max"))
     mid = scale.exact_quantiles(own, ["method"], "t3", {"thresh3_median": 0.5})
-    j = injected.join(own, ["method", "cadence_idx"]).join(pool, "method")
+    j = scale.meet(scale.meet(injected, own, ["method", "cadence_idx"]), pool, ["method"])
 
     def share(t):
         return F.avg((F.col("score") > F.col(t)).cast("int")) * 100
@@ -110,7 +111,7 @@ def per_group_detection(injected: DataFrame, probe: DataFrame) -> DataFrame:
         share("t5").alias("det_5s_cad"), F.count("*").alias("n_injections"),
         F.countDistinct("cadence_idx").alias("n_cadences"), F.max("pooled_thresh3").alias("pooled_thresh3"))
     eta = stats.eta_squared(injected, ["method", "snr"], "cadence_idx", "score").select("method", "snr", "eta2")
-    return d.join(eta, ["method", "snr"]).join(spread, "method").join(mid, "method")
+    return scale.meet(scale.meet(scale.meet(d, eta, ["method", "snr"]), spread, ["method"]), mid, ["method"])
 
 
 def variance_verdict(detection: DataFrame, high_snr: float = 30.0) -> DataFrame:
@@ -173,7 +174,7 @@ def stage_flags(trials: DataFrame, thr: DataFrame) -> DataFrame:
     trials: cadence_idx, score, n_on_hits_full, in_short_list; thr: cadence_idx, thresh_3,
     far_thresh, loose_thresh, off_ceiling.
     """
-    j = trials.join(thr, "cadence_idx").withColumn("min_thresh", F.least("far_thresh", "off_ceiling"))
+    j = scale.meet(trials, thr, ["cadence_idx"]).withColumn("min_thresh", F.least("far_thresh", "off_ceiling"))
     s = F.col("score")
     return j.select(
         *trials.columns, (s > F.col("thresh_3")).alias("s0_sigma3"), (s > F.col("far_thresh")).alias("s1_far1pct"),
@@ -407,4 +408,4 @@ def one_class_report(calibration: DataFrame, injected: DataFrame, rfi: DataFrame
     both = calibration.select("method", "score", F.lit(0).alias("c")).unionByName(
         rfi.select("method", "score", F.lit(1).alias("c")))
     d = stats.cohens_d(both, ["method"], "c", "score").withColumnRenamed("cohens_d", "rfi_d")
-    return t.join(d, "method").join(detection_floor(t), "method")
+    return scale.meet(scale.meet(t, d, ["method"]), detection_floor(t), ["method"])

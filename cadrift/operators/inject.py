@@ -40,7 +40,7 @@ def quiet_sites(scores: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` seeded windows per cadence among those at or below the cadence's median score."""
     from cadrift.operators.pools import sample_per_group
     med = scale.exact_quantiles(scores, ["cadence_idx"], "score", {"_m": 0.5})
-    quiet = scores.join(med, "cadence_idx").filter(F.col("score") <= F.col("_m")).drop("_m")
+    quiet = scale.meet(scores, med, ["cadence_idx"]).filter(F.col("score") <= F.col("_m")).drop("_m")
     return sample_per_group(quiet, ["cadence_idx"], WIN, n, seed)
 
 
@@ -197,9 +197,9 @@ def locate_footprint(px: DataFrame, ph: int, pw: int, nw: int, ratio: float = 3.
     key = [frame, "row"]
     best = cells.groupBy(*key).agg(F.min(F.struct((-F.col("v")).alias("m"), "col")).alias("b")).select(
         *key, F.col("b.col").alias("peak_col"), (-F.col("b.m")).alias("peak"))
-    rest = cells.join(best, key).filter(F.col("col") != F.col("peak_col"))
+    rest = scale.meet(cells, best, key).filter(F.col("col") != F.col("peak_col"))
     bg = scale.exact_quantiles(rest, key, "v", {"bg": 0.5})
-    j = best.join(bg, key, "left").withColumn("bg", F.coalesce("bg", F.lit(0.0)))
+    j = scale.meet(best, bg, key, "left").withColumn("bg", F.coalesce("bg", F.lit(0.0)))
     return j.filter((F.col("bg") <= 0) | (F.col("peak") >= ratio * F.col("bg")))
 
 

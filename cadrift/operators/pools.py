@@ -68,7 +68,7 @@ def _repair_pass(df: DataFrame, required: str, target: str, id_col: str, seed: i
         F.min(F.when(F.col("pool") != required, order)).alias("_d")).filter("_have = 0")
     moves = missing.select(target, F.col("_d.id").alias("_id"), F.col("_d.from").alias("from_pool"),
                            F.lit(required).alias("to_pool"), F.col("_d").isNull().alias("failed"))
-    hit = df.join(moves.select(target, "_id"), target, "left")
+    hit = scale.meet(df, moves.select(target, "_id"), [target], "left")
     fixed = hit.withColumn("pool", F.when(F.col(id_col) == F.col("_id"), required).otherwise(F.col("pool"))).drop("_id")
     return fixed.select(*df.columns), moves
 

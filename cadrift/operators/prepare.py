@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +48,8 @@ def channel_medians(px: DataFrame, frame: str = "frame") -> DataFrame:
 def divide_by_baseline(px: DataFrame, base: DataFrame, frame: str = "frame") -> DataFrame:
     """x over its channel's baseline ``b``, floored at a small share of the frame's peak."""
     floor = base.groupBy(frame).agg((F.max("b") * 1e-4 + 1e-10).alias("_floor"))
-    b = base.join(floor, frame).select(frame, "ch", F.greatest("b", "_floor").alias("_b"))
-    return px.join(b, [frame, "ch"]).withColumn("x", F.col("x") / F.col("_b")).drop("_b")
+    b = scale.meet(base, floor, [frame]).select(frame, "ch", F.greatest("b", "_floor").alias("_b"))
+    return scale.meet(px, b, [frame, "ch"]).withColumn("x", F.col("x") / F.col("_b")).drop("_b")
 
 
 def bandpass_median(px: DataFrame, frame: str = "frame") -> DataFrame:
@@ -99,14 +101,58 @@ def block_pool(px: DataFrame, ph: int, pw: int, nw: int, how: str = "mean", valu
     return patch_index(px, ph, pw, nw).groupBy(frame, "patch").agg(fn(value).alias("v"))
 
 
+def shared_sums(x: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """Sums over channels of ``x`` (channels, bins), rolled back by ``shifts`` (trials, channels).
+
+    Halves of the band are summed first, again and again. Trials whose delays inside a band differ
+    only by a constant share its sum, and narrow bands have few such patterns, so most additions
+    are done once for many trials. Delays are the given integers at every level.
+    """
+    bins = np.arange(x.shape[1])
+
+    def band(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        if b - a == 1:
+            return x[a:b], np.zeros(len(shifts), np.int64)
+        m = (a + b) // 2
+        (left, of_left), (right, of_right) = band(a, m), band(m, b)
+        apart = (shifts[:, m] - shifts[:, a]) % x.shape[1]
+        both, kind = np.unique(np.column_stack([of_left, of_right, apart]), axis=0, return_inverse=True)
+        return left[both[:, 0]] + right[both[:, 1][:, None], (bins + both[:, 2][:, None]) % x.shape[1]], kind.ravel()
+
+    series, kind = band(0, len(x))
+    return series[kind[:, None], (bins + shifts[:, :1]) % x.shape[1]]
+
+
 def dedisperse(px: DataFrame, dms: Sequence[float], nu_mhz: Column, nu_ref: float, dt: float,
                frame: str = "frame") -> DataFrame:
     """Channel mean per time bin after undoing the dispersion delay, for every DM.
 
-    Bins roll around the frame's length, as many channels as arrive in a bin are averaged.
+    Bins roll around the frame's length, as many channels as arrive in a bin are averaged. A
+    frame is a fixed grid and one task's group: pixels move once, whatever the number of DMs.
+    ``nu_mhz`` depends on the channel alone. A NULL pixel is not averaged, a bin that no pixel
+    reaches has no row.
     """
-    nt = px.groupBy(frame).agg((F.max("t") + 1).alias("_nt"))
-    delay = DISPERSION * F.col("dm") * (F.pow(nu_mhz, F.lit(-2)) - nu_ref ** -2)
-    shifted = F.pmod(F.col("t") - F.rint(delay / dt).cast("long"), F.col("_nt"))
-    d = px.join(nt, frame).withColumn("dm", F.explode(F.array(*[F.lit(float(x)) for x in dms])))
-    return d.groupBy(frame, "dm", shifted.alias("t")).agg(F.avg("x").alias("y"))
+    trials = np.array([float(d) for d in dms])
+
+    def run(group: pa.Table) -> pa.Table:
+        t, ch = (group.column(c).to_numpy().astype(np.int64) for c in ("_t", "_c"))
+        nu, x = group.column("_nu").to_numpy(), group.column("_x")
+        known = x.is_valid().to_numpy()
+        value = np.where(known, pc.fill_null(x, 0.0).to_numpy(), 0.0)
+        channels, first, at = np.unique(ch, return_index=True, return_inverse=True)
+        nt = int(t.max()) + 1
+        shifts = np.rint(DISPERSION * trials[:, None] * (np.power(nu[first], -2.0) - nu_ref ** -2) / dt).astype(np.int64)
+        grids = np.zeros((3, len(channels), nt))
+        for grid, v in zip(grids, (value, known, np.ones(len(t)))):
+            np.add.at(grid, (at, t), v)
+        total, n, rows = (shared_sums(g, shifts) for g in grids)
+        dm, b = np.nonzero(rows > 0)
+        n = n[dm, b]
+        y = pa.array(total[dm, b] / np.maximum(n, 1), mask=n == 0)
+        key = group.column("_f").combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(b), np.int64)))
+        return pa.table({frame: key, "dm": trials[dm], "t": b, "y": y})
+
+    kind = px.schema[frame].dataType.simpleString()
+    pixels = px.select(F.col(frame).alias("_f"), F.col("t").cast("long").alias("_t"), F.col("ch").cast("long").alias("_c"),
+                       F.col("x").cast("double").alias("_x"), nu_mhz.cast("double").alias("_nu"))
+    return pixels.groupBy("_f").applyInArrow(run, f"`{frame}` {kind}, dm double, t long, y double")

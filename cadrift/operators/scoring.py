@@ -34,10 +34,10 @@ def frame_stats(px: DataFrame, frame: str = "frame") -> DataFrame:
     """
     mu = px.groupBy(frame).agg(F.avg("x").alias("_mu"), F.stddev_pop("x").alias("_sd"))
     m4 = F.avg(F.pow(F.col("x") - F.col("_mu"), F.lit(4)))
-    base = px.join(mu, frame).groupBy(frame).agg(
+    base = scale.meet(px, mu, [frame]).groupBy(frame).agg(
         (F.max("x") / (F.max("_sd") + 1e-9)).alias("peakiness"),
         (m4 / F.pow(F.max("_sd") + 1e-9, F.lit(4)) - 3.0).alias("kurtosis"))
-    return base.join(top_energy(px, 0.001, frame).select(frame, "top_share"), frame)
+    return scale.meet(base, top_energy(px, 0.001, frame).select(frame, "top_share"), [frame])
 
 
 def top_k_mean(cells: Column, frac: float) -> Column:
@@ -163,7 +163,7 @@ def transient_snr(px: DataFrame, dms: Sequence[float], nu_mhz: Column, nu_ref: f
     flat = px.groupBy(frame, "t").agg(F.avg("x").alias("y")).groupBy(frame).agg(
         F.stddev_pop("y").alias("_sd"))
     series = dedisperse(px, dms, nu_mhz, nu_ref, dt, frame)
-    return series.groupBy(frame, "dm").agg(F.max("y").alias("peak")).join(flat, frame).select(
+    return scale.meet(series.groupBy(frame, "dm").agg(F.max("y").alias("peak")), flat, [frame]).select(
         frame, "dm", F.try_divide("peak", "_sd").alias("snr"))
 
 

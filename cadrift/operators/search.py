@@ -90,7 +90,7 @@ def background_probe(windows: DataFrame, maps: DataFrame, n: int, seed: int = 0)
     """OFF-row cells of ``n`` seeded random windows per cadence, one row per cell."""
     win = ["cadence_idx", "f_start"]
     picked = scale.seeded_sample(windows.select(*win), ["cadence_idx"], win, n, seed)
-    return off_cells(maps.join(picked, win, "left_semi"))
+    return off_cells(scale.meet(maps, picked, win, "left_semi"))
 
 
 def off_cells(maps: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def off_ceiling(pool: DataFrame, thr: DataFrame, min_pool: int = MIN_OFF_POOL) -
     raw = stats.off_noise_ceiling(pool, ["cadence_idx"], "v").withColumnRenamed(
         "ceiling", "raw_ceiling")
     enough = F.coalesce(F.col("n_pool"), F.lit(0)) >= min_pool
-    return thr.join(raw, "cadence_idx", "left").select(
+    return scale.meet(thr, raw, ["cadence_idx"], "left").select(
         "cadence_idx", F.coalesce("n_pool", F.lit(0)).alias("n_pool"),
         F.when(enough, F.col("raw_ceiling")).alias("raw_ceiling"), "thresh_5",
         F.when(enough, F.greatest("raw_ceiling", "thresh_5"))
@@ -238,7 +238,7 @@ def fp_breakdown(scores: DataFrame) -> DataFrame:
         F.col("thresh_5").alias("l5"))
     pooled = threshold_values(scores, []).select(
         F.col("thresh_3").alias("g3"), F.col("thresh_5").alias("g5"))
-    rows = scale.attach(scores.select("cadence_idx", "score").join(local, "cadence_idx"), pooled, [])
+    rows = scale.attach(scale.meet(scores.select("cadence_idx", "score"), local, ["cadence_idx"]), pooled, [])
     return rows.groupBy("cadence_idx", "median", "mad_sigma").agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col("score") > F.col(t)).alias(name) for t, name in (
@@ -313,8 +313,8 @@ def threshold_regime(t: DataFrame) -> DataFrame:
 
 def ceiling_with_fallback(thr: DataFrame, measured: DataFrame) -> DataFrame:
     """Measured ceiling where there is one, else the 5 sigma cut; the source is kept."""
-    return thr.join(measured.select("cadence_idx", F.col("off_ceiling").alias("_m")),
-                    "cadence_idx", "left").select(
+    own = measured.select("cadence_idx", F.col("off_ceiling").alias("_m"))
+    return scale.meet(thr, own, ["cadence_idx"], "left").select(
         *thr.columns, F.coalesce("_m", "thresh_5").alias("off_ceiling"),
         F.when(F.col("_m").isNotNull(), "measured").otherwise("thresh_5 (assumed)")
         .alias("ceiling_source"))
@@ -322,8 +322,7 @@ def ceiling_with_fallback(thr: DataFrame, measured: DataFrame) -> DataFrame:
 
 def _above_new(scores: DataFrame, t: DataFrame) -> DataFrame:
     """Windows above min(far, ceiling), written once: both cuts chain within these few."""
-    s = scores.select("cadence_idx", "f_start", "score").join(
-        t.select("cadence_idx", "far_thresh", "new_thresh"), "cadence_idx")
+    s = scale.meet(scores.select("cadence_idx", "f_start", "score"), t.select("cadence_idx", "far_thresh", "new_thresh"), ["cadence_idx"])
     return cut(s.filter(F.col("score") > F.col("new_thresh")))
 
 
@@ -334,7 +333,8 @@ def candidate_volume(scores: DataFrame, ceilings: DataFrame, stride: int,
     s = _above_new(scores, t)
     now = n_clusters(s, ["cadence_idx"], F.col("score") > F.col("far_thresh"), stride, "n_clusters_now", largest)
     new = n_clusters(s, ["cadence_idx"], F.col("score") > F.col("new_thresh"), stride, "n_clusters_new", largest)
-    out = t.join(now, "cadence_idx", "left").join(new, "cadence_idx", "left").fillna(
+    key = ["cadence_idx"]
+    out = scale.meet(scale.meet(t, now, key, "left"), new, key, "left").fillna(
         0, ["n_clusters_now", "n_clusters_new"])
     return out.select(
         "cadence_idx", "ceiling_source", "far_thresh", "off_ceiling",
@@ -347,7 +347,7 @@ def map_coverage(candidates: DataFrame, saved: DataFrame, by: Sequence[str]) ->
     """Candidates whose peak window has a saved map, and those that have none."""
     have = saved.select(*by, F.col("f_start").alias("f_start_peak")).distinct().withColumn(
         "_has", F.lit(True))
-    return candidates.join(have, [*by, "f_start_peak"], "left").groupBy(*by).agg(
+    return scale.meet(candidates, have, [*by, "f_start_peak"], "left").groupBy(*by).agg(
         F.count("*").alias("n"), F.count("_has").alias("n_covered"),
         F.count_if(F.col("_has").isNull()).alias("n_uncovered"))
 
@@ -365,13 +365,14 @@ def review_load(scores: DataFrame, ceilings: DataFrame, saved: DataFrame, stride
     new = cluster_candidates(s, key, F.col("score") > F.col("new_thresh"), stride, fchans,
                              largest=largest)
     peaks = row_peaks(saved, ["cadence_idx", "f_start"]).withColumnRenamed("f_start", "f_start_peak")
-    judged = full_row_hits(peaks.join(t.select("cadence_idx", "off_ceiling"), "cadence_idx"),
+    judged = full_row_hits(scale.meet(peaks, t.select("cadence_idx", "off_ceiling"), key),
                            F.col("off_ceiling")).select("cadence_idx", "f_start_peak", "in_short_list")
-    load = new.join(judged, ["cadence_idx", "f_start_peak"], "left").groupBy("cadence_idx").agg(
+    load = scale.meet(new, judged, ["cadence_idx", "f_start_peak"], "left").groupBy("cadence_idx").agg(
         F.count("*").alias("n_new"), F.count("in_short_list").alias("n_covered"),
         F.count_if(F.col("in_short_list").isNull()).alias("n_uncovered"),
         F.count_if("in_short_list").alias("n_short_list_covered"))
-    out = t.join(old, key, "left").join(load, key, "left").fillna(0)
+    counts = ["n_old", "n_new", "n_covered", "n_uncovered", "n_short_list_covered"]
+    out = scale.meet(scale.meet(t, old, key, "left"), load, key, "left").fillna(0, counts)
     return out.select(
         "cadence_idx", "n_old", "n_new", "n_covered", "n_uncovered",
         F.when(F.col("n_new") > 0, F.col("n_covered") / F.col("n_new")).alias("coverage_frac"),
@@ -402,19 +403,18 @@ def run_search(scores: DataFrame, maps: DataFrame, *, stride: int, fchans: int,
     largest = scale.largest_group(scores, key)
     thr = cut(threshold_values(scores, key, far, largest))
     cand = cut(cluster_candidates(
-        scores.join(thr.select("cadence_idx", "far_thresh"), key), key,
+        scale.meet(scores, thr.select("cadence_idx", "far_thresh"), key), key,
         F.col("score") > F.col("far_thresh"), stride, fchans, df_hz, largest))
     peaks_at = cand.select("cadence_idx", F.col("f_start_peak").alias("f_start"))
-    peak_maps = maps.join(peaks_at, win, "left_semi")
+    peak_maps = scale.meet(maps, peaks_at, win, "left_semi")
     pool = off_cells(peak_maps).unionByName(background_probe(scores, maps, probe, seed))
     ceil = off_ceiling(pool, thr, min_pool).select("cadence_idx", "off_ceiling")
-    judged_maps = peak_maps.join(ceil, "cadence_idx")
+    judged_maps = scale.meet(peak_maps, ceil, key)
     contrast = on_off_contrast(judged_maps, win, thr="off_ceiling")
     full = full_row_hits(row_peaks(judged_maps, win, ["off_ceiling"]), F.col("off_ceiling")).drop(
         *[f"r{i}" for i in range(6)])
-    out = cut(cand.withColumn("f_start", F.col("f_start_peak"))
-              .join(thr.select("cadence_idx", "thresh_3", "thresh_5"), key)
-              .join(contrast, win, "left").join(full, win, "left").drop("f_start"))
+    out = scale.meet(cand.withColumn("f_start", F.col("f_start_peak")), thr.select("cadence_idx", "thresh_3", "thresh_5"), key)
+    out = cut(scale.meet(scale.meet(out, contrast, win, "left"), full, win, "left").drop("f_start"))
     order = F.struct((-F.col("on_off_contrast")).alias("c"), F.col("f_start_peak").alias("f"))
     short = (out.filter("in_short_list").select("cadence_idx", order.alias("_o")))
     if largest > scale.HOT_GROUP_ROWS:
@@ -422,5 +422,5 @@ def run_search(scores: DataFrame, maps: DataFrame, *, stride: int, fchans: int,
     else:
         short = short.withColumn("_rb", F.lit(0))
     ranked = scale.ordered_rank(short, key, ["_o"], F.col("_rb"), "short_rank", largest)
-    return out.join(ranked.select("cadence_idx", F.col("_o.f").alias("f_start_peak"), "short_rank"),
-                    ["cadence_idx", "f_start_peak"], "left")
+    return scale.meet(out, ranked.select("cadence_idx", F.col("_o.f").alias("f_start_peak"), "short_rank"),
+                      ["cadence_idx", "f_start_peak"], "left")

@@ -100,7 +100,7 @@ def rfi_metrics(px: DataFrame, lo: float = 5.0, hi: float = 10.0, frame: str = "
     p99 = scale.exact_quantiles(px, [frame], "x", {"p99": 0.99})
     col = _long_moments(px, "ch", frame, "x").withColumnRenamed("sd", "col_mean_std")
     row = _long_moments(px, "t", frame, "x").withColumnRenamed("sd", "row_mean_std")
-    return base.join(p99, frame).join(col, frame).join(row, frame)
+    return scale.meet(scale.meet(scale.meet(base, p99, [frame]), col, [frame]), row, [frame])
 
 
 def rfi_class(metrics: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def channel_rfi_flags(px: DataFrame, k: float = 5.0, frame: str = "frame") -> Da
     ch = scale.exact_quantiles(px, [frame, "ch"], "x", {"_cm": 0.5})
     st = scale.robust_stats(ch, [frame], "_cm", scale=1.0, names=("base", "_mad"))
     bad = F.abs(F.col("_cm") - F.col("base")) > k * 1.4826 * (F.col("_mad") + 1e-10)
-    return ch.join(st, frame).groupBy(frame, "base").agg(
+    return scale.meet(ch, st, [frame]).groupBy(frame, "base").agg(
         F.avg(bad.cast("int")).alias("rfi_frac"), F.avg(F.when(bad, F.col("_cm"))).alias("_hot")
     ).select(frame, "rfi_frac", F.try_divide("_hot", "base").alias("rfi_intensity_ratio"))
 
@@ -185,7 +185,7 @@ def level_steps(px: DataFrame, frame: str = "frame", obs: str = "obs_idx") -> Da
     """Spread of per-observation medians over their mean MAD, and std of block means."""
     st = scale.robust_stats(px, [frame, obs], "x", scale=1.0, names=("m", "mad"))
     means = px.groupBy(frame, obs).agg(F.avg("x").alias("mean"))
-    return st.join(means, [frame, obs]).groupBy(frame).agg(
+    return scale.meet(st, means, [frame, obs]).groupBy(frame).agg(
         (F.max("m") - F.min("m")).alias("level_spread"), F.avg("mad").alias("mean_mad"),
         ((F.max("m") - F.min("m")) / F.greatest(F.avg("mad"), F.lit(1e-9))).alias("spread_ratio"),
         F.stddev_pop("mean").alias("block_mean_std"))

@@ -231,3 +231,31 @@ def test_drift_direction(spark):
     s = _site(spark, "linear").withColumn("drift_hz_s", F.lit(0.2)).withColumn("start_ch", F.lit(20))
     c = s.select(inject.track_channel("linear", F.lit(0.0), SMALL).alias("a"), inject.track_channel("linear", F.lit(500.0), SMALL).alias("b")).first()
     assert c["b"] > c["a"]
+
+
+def test_shared_sums_are_those_of_every_trial_alone():
+    r = np.random.default_rng(9)
+    for channels, bins in ((1, 5), (2, 7), (13, 32), (64, 50)):
+        x = r.normal(size=(channels, bins))
+        shifts = np.rint(np.outer(np.linspace(0, 40, 31), np.linspace(1, 0, channels) ** 2)).astype(int)
+        want = np.array([sum(np.roll(x[c], -s[c]) for c in range(channels)) for s in shifts])
+        assert np.allclose(prepare.shared_sums(x, shifts), want)
+
+
+def test_dedispersion_of_frames_with_holes(spark):
+    r = np.random.default_rng(11)
+    dms = [0.0, 3.0, 10.0, 10.5, 40.0]
+    rows = [(f, t, c, None if r.random() < 0.1 else float(r.normal())) for f in (1, None) for t in range(12) for c in range(9) if r.random() < 0.8]
+    px = spark.createDataFrame(rows, "frame long, t long, ch long, x double").repartition(3)
+    got = {(x.frame, x.dm, x.t): x.y for x in prepare.dedisperse(px, dms, 1200.0 + 20 * F.col("ch"), 1400.0, 1e-2).collect()}
+    want = {}
+    for f in (1, None):
+        nt = 1 + max(t for g, t, _, _ in rows if g == f)
+        for d in dms:
+            for g, t, c, x in rows:
+                if g == f:
+                    shift = int(np.rint(prepare.DISPERSION * d * ((1200.0 + 20 * c) ** -2.0 - 1400.0 ** -2) / 1e-2))
+                    want.setdefault((f, d, (t - shift) % nt), []).append(x)
+    mean = lambda v: float(np.mean(v)) if v else None
+    want = {k: mean([x for x in v if x is not None]) for k, v in want.items()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) if want[k] is not None else got[k] is None for k in want)
