@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,32 +197,98 @@ def caliper_match(a: DataFrame, b: DataFrame, caliper: float) -> DataFrame:
     return caliper_pairs(a, b, [caliper]).drop("caliper")
 
 
-def caliper_pairs(a: DataFrame, b: DataFrame, calipers: Sequence[float]) -> DataFrame:
+# Rows of a chain that one task may match.
+CHAIN_ROWS = 1 << 20
+
+
+def caliper_pairs(a: DataFrame, b: DataFrame, calipers: Sequence[float], chain_rows: int | None = None) -> DataFrame:
     """For every caliper, 1:1 pairs of near-equal values; no unmatched pair that close remains.
 
     Pairs the i-th a with the i-th b in cells of a fine grid first, then of ever coarser ones
     up to the caliper, which approximates nearest-first matching. What is left in a coarsest
     cell is of one side, so two more passes match neighbouring cells across their edges,
     nearest to the edge first, and stop where the distance exceeds the caliper: after that
-    nothing within the caliper is left. Order differs from a sequential greedy match. Each
-    pass ranks and meets on (caliper, cell, rank), a key that is never hot; all calipers go
-    through the same six passes.
+    nothing within the caliper is left. Order differs from a sequential greedy match.
+
+    Only neighbouring cells meet, so a chain of occupied cells is matched by itself: both sides are
+    cut where a cell is empty, and every chain of up to ``chain_rows`` rows goes through all passes
+    in one Arrow call. Rows of longer chains go through the same passes as joins on (caliper,
+    cell, rank), a key that is never hot. NULL and NaN match nothing.
 
     a, b: (id, v). Returns caliper, a_id, a_v, b_id, b_v.
     """
+    chain_rows = CHAIN_ROWS if chain_rows is None else chain_rows
     sides = [d.select("id", F.col("v").cast("double").alias("v"), F.lit(n).alias("side")) for d, n in ((a, "a"), (b, "b"))]
-    left = cut(sides[0].unionByName(sides[1]).withColumn("caliper", F.explode(F.array(*[F.lit(float(c)) for c in calipers]))))
+    both = sides[0].unionByName(sides[1]).filter("v IS NOT NULL AND NOT isnan(v)")
+    cell = F.floor(F.col("v") / F.col("caliper"))
+    left = cut(both.withColumn("caliper", F.explode(F.array(*[F.lit(float(c)) for c in calipers]))).withColumn("_k", cell))
+    cells = cut(left.groupBy("caliper", "_k").agg(F.count("*").alias("_n"), F.count_if(F.col("side") == "a").alias("_a")))
+    chained = scale.gap_chains(cells, ["caliper"], "_k", 1, 1 << 16, "_chain", scale.largest_group(cells, ["caliper"]))
+    sizes = chained.groupBy("caliper", "_chain").agg(F.sum("_n").alias("_rows"), F.sum("_a").alias("_of_a"))
+    sizes = sizes.filter((F.col("_of_a") > 0) & (F.col("_of_a") < F.col("_rows")))  # a chain of one side has no pairs
+    chained = cut(chained.select("caliper", "_k", "_chain").join(sizes.select("caliper", "_chain", "_rows"), ["caliper", "_chain"]))
+    placed = left.join(chained, ["caliper", "_k"])
+    kind = left.schema["id"].dataType.simpleString()
+    found = (placed.filter(F.col("_rows") <= chain_rows).select("caliper", "_chain", "id", "v", "side").groupBy("caliper", "_chain")
+             .applyInArrow(_match_chain, f"caliper double, a_id {kind}, a_v double, b_id {kind}, b_v double"))
+    long = chained.filter(F.col("_rows") > chain_rows)
+    if long.isEmpty():
+        return found
+    return found.unionByName(_pairs_by_passes(left.join(long.select("caliper", "_k"), ["caliper", "_k"], "left_semi").drop("_k")))
+
+
+def _levels(v, caliper, floor, step: int):
+    """Cell of a pass inside cells; in passes over edges the lower and upper cell share the lower one's number."""
+    if step < LEVELS:
+        return floor(v / (caliper / 4 ** (LEVELS - 1 - step)))
+    return floor(v / caliper)
+
+
+def _match_chain(rows: pa.Table) -> pa.Table:
+    """All passes over the rows of one chain."""
+    caliper = rows.column("caliper")[0].as_py()
+    ids, v = rows.column("id").combine_chunks(), rows.column("v").to_numpy()
+    of_a = pc.equal(rows.column("side"), "a").to_numpy()
+    order_id = pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy().astype(np.int64)
+    open_, pairs = np.arange(len(v)), []
+    for step in range(LEVELS + 2):
+        x, side = v[open_], of_a[open_]
+        cell = _levels(x, caliper, np.floor, step).astype(np.int64)
+        slot, along = side, x
+        if step >= LEVELS:
+            low = (cell - (step - LEVELS)) % 2 == 0
+            cell, slot, along = np.where(low, cell, cell - 1), low, np.where(low, -x, x)
+        order = np.lexsort((order_id[open_], along, slot, side, cell))
+        key = np.column_stack([cell, side, slot])[order]
+        first = np.append(True, (key[1:] != key[:-1]).any(axis=1))
+        rank = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        numbers = np.unique(cell[order], return_inverse=True)[1] * (len(order) + 1) + rank
+        up = slot[order]
+        _, i, j = np.intersect1d(numbers[up], numbers[~up], return_indices=True)
+        i, j = open_[order[up][i]], open_[order[~up][j]]
+        ok = of_a[i] != of_a[j]
+        if step >= LEVELS:
+            ok &= np.abs(v[i] - v[j]) <= caliper
+        i, j = i[ok], j[ok]
+        pairs.append(np.column_stack([np.where(of_a[i], i, j), np.where(of_a[i], j, i)]))
+        open_ = np.setdiff1d(open_, pairs[-1].ravel())
+    one, two = np.concatenate(pairs).T
+    return pa.table({"caliper": np.full(len(one), caliper), "a_id": ids.take(pa.array(one)), "a_v": v[one], "b_id": ids.take(pa.array(two)), "b_v": v[two]})
+
+
+def _pairs_by_passes(left: DataFrame) -> DataFrame:
+    """The same passes as ranked joins, each written before the next."""
     cell = F.floor(F.col("v") / F.col("caliper"))
     # cells only get finer and rows only leave, so this bounds every pass
     largest = 2 * scale.largest_group(left.select("caliper", "side", cell.alias("c")), ["caliper", "side", "c"])
     found = None
     for step in range(LEVELS + 2):
+        d = left.withColumn("_k", _levels(F.col("v"), F.col("caliper"), F.floor, step))
         if step < LEVELS:
-            d = left.select("*", F.floor(F.col("v") / (F.col("caliper") / 4 ** (LEVELS - 1 - step))).alias("_c"),
-                            (F.col("side") == "a").alias("_slot"), F.col("v").alias("_d"))
+            d = d.select("caliper", "id", "v", "side", F.col("_k").alias("_c"), (F.col("side") == "a").alias("_slot"), F.col("v").alias("_d"))
         else:
             low = F.pmod(F.col("_k") - (step - LEVELS), F.lit(2)) == 0
-            d = left.withColumn("_k", cell).select(
+            d = d.select(
                 "caliper", "id", "v", "side", F.when(low, F.col("_k")).otherwise(F.col("_k") - 1).alias("_c"),
                 low.alias("_slot"), F.when(low, -F.col("v")).otherwise(F.col("v")).alias("_d"))
         met = cut(_meet(d, largest, edges=step >= LEVELS))

@@ -159,24 +159,25 @@ def _(spark, d):
 
 # ------------------------------------------------------------------ matched pairs
 
-def match_sql(caliper):
-    ab = "SELECT id, v FROM {s}{n} WHERE id NOT IN (SELECT {s}_id FROM p{n})"
-    rank = "SELECT id, v, floor(v / {w}::DOUBLE) AS c, row_number() OVER (PARTITION BY floor(v / {w}::DOUBLE) ORDER BY v, id) AS i FROM {s}{n}"
+def match_sql(caliper, tag=""):
+    """The passes of one caliper; ``tag`` tells several calipers' tables apart."""
+    ab = "SELECT id, v FROM {s}{n} WHERE id NOT IN (SELECT {s}_id FROM p{n})".replace("{n}", tag + "{n}")
+    rank = "SELECT id, v, floor(v / {w}::DOUBLE) AS c, row_number() OVER (PARTITION BY floor(v / {w}::DOUBLE) ORDER BY v, id) AS i FROM {s}" + tag + "{n}"
     out = []
     for n, level in enumerate(range(evaluate.LEVELS - 1, -1, -1)):
         w = repr(caliper / 4 ** level)
-        out.append(f"""p{n} AS (SELECT a.id AS a_id, a.v AS a_v, b.id AS b_id, b.v AS b_v FROM ({rank.format(w=w, s="a", n=n)}) a JOIN ({rank.format(w=w, s="b", n=n)}) b USING (c, i)),
-  a{n + 1} AS ({ab.format(s="a", n=n)}), b{n + 1} AS ({ab.format(s="b", n=n)})""")
+        out.append(f"""p{tag}{n} AS (SELECT a.id AS a_id, a.v AS a_v, b.id AS b_id, b.v AS b_v FROM ({rank.format(w=w, s="a", n=n)}) a JOIN ({rank.format(w=w, s="b", n=n)}) b USING (c, i)),
+  a{tag}{n + 1} AS ({ab.format(s="a", n=n)}), b{tag}{n + 1} AS ({ab.format(s="b", n=n)})""")
     n = evaluate.LEVELS
     for parity in (0, 1):
         k = f"floor(v / {caliper!r}::DOUBLE)::BIGINT"
         low = f"((({k} - {parity}) % 2) + 2) % 2 = 0"
         r = f"""SELECT *, row_number() OVER (PARTITION BY e, low ORDER BY CASE WHEN low THEN -v ELSE v END, id) AS i FROM (
-    SELECT id, v, {low} AS low, CASE WHEN {low} THEN {k} ELSE {k} - 1 END AS e FROM {{s}}{n})"""
-        out.append(f"""p{n} AS (SELECT a.id AS a_id, a.v AS a_v, b.id AS b_id, b.v AS b_v FROM ({r.format(s="a")}) a JOIN ({r.format(s="b")}) b USING (e, i)
-    WHERE a.low <> b.low AND abs(a.v - b.v) <= {caliper!r}::DOUBLE), a{n + 1} AS ({ab.format(s="a", n=n)}), b{n + 1} AS ({ab.format(s="b", n=n)})""")
+    SELECT id, v, {low} AS low, CASE WHEN {low} THEN {k} ELSE {k} - 1 END AS e FROM {{s}}{tag}{n})"""
+        out.append(f"""p{tag}{n} AS (SELECT a.id AS a_id, a.v AS a_v, b.id AS b_id, b.v AS b_v FROM ({r.format(s="a")}) a JOIN ({r.format(s="b")}) b USING (e, i)
+    WHERE a.low <> b.low AND abs(a.v - b.v) <= {caliper!r}::DOUBLE), a{tag}{n + 1} AS ({ab.format(s="a", n=n)}), b{tag}{n + 1} AS ({ab.format(s="b", n=n)})""")
         n += 1
-    out.append("pairs AS (" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(n)) + ")")
+    out.append(f"pairs{tag} AS (" + " UNION ALL ".join(f"SELECT * FROM p{tag}{i}" for i in range(n)) + ")")
     return ",\n".join(out)
 
 
@@ -184,6 +185,19 @@ _AB = """a0 AS (SELECT doc_id AS id, ln(n_chars) AS v FROM documents JOIN labels
   b0 AS (SELECT doc_id AS id, ln(n_chars) AS v FROM documents JOIN labels USING (doc_id) WHERE toxic = 0)"""
 
 
+def _adaptive_sql():
+    """Pairs of every caliper, their energy AUC, and the caliper chosen."""
+    out = []
+    for k, c in enumerate(evaluate.CALIPERS):
+        t = "xyzuvw"[k]
+        out.append(f"a{t}0 AS (SELECT * FROM a0), b{t}0 AS (SELECT * FROM b0), {match_sql(c, t)}")
+    every = " UNION ALL ".join(f"SELECT {k} AS nth, {c!r}::DOUBLE AS caliper, * FROM pairs{'xyzuvw'[k]}" for k, c in enumerate(evaluate.CALIPERS))
+    return f"""{_AB}, {", ".join(out)}, every AS ({every}),
+  sides AS (SELECT nth, 0 AS label, a_v AS v FROM every UNION ALL SELECT nth, 1, b_v FROM every), {auc_sql("sides", "nth", score="v")},
+  best AS (SELECT nth, greatest(auc, 1 - auc) AS energy_auc FROM au WHERE n_pos >= 20
+           ORDER BY greatest(auc, 1 - auc) <= 0.58 DESC, CASE WHEN greatest(auc, 1 - auc) <= 0.58 THEN nth END, greatest(auc, 1 - auc), nth LIMIT 1)"""
+
+
 def _energy_rows(spark, d):
     return V.labelled(spark, d).select(F.col("doc_id").alias("id"), "label", F.log("score").alias("energy"),
                                        F.pmod("doc_id", F.lit(97)).cast("double").alias("noise"), F.col("quality").cast("double").alias("quality"))
@@ -197,7 +211,7 @@ def _(spark, d):
     return p.select("a_id", "b_id", F.round(F.abs(F.col("a_v") - F.col("b_v")), 6).alias("gap"))
 
 
-@query("join7_adaptive_caliper")
+@query("join7_adaptive_caliper", f"WITH {_adaptive_sql()} SELECT caliper, energy_auc, count(*) AS n_pairs FROM every JOIN best USING (nth) GROUP BY 1, 2")
 def _(spark, d):
     r = _energy_rows(spark, d)
     a, b = (r.filter(F.col("label") == c).select("id", F.col("energy").alias("v")) for c in (1, 0))
@@ -207,7 +221,12 @@ def _(spark, d):
     return pairs.agg(F.count("*").alias("n_pairs")).select(F.lit(caliper).alias("caliper"), F.lit(auc).alias("energy_auc"), "n_pairs")
 
 
-@query("eval11_matched_energy_auc")
+@query("eval11_matched_energy_auc", f"""WITH {_adaptive_sql()},
+  keep AS (SELECT caliper, 0 AS label, a_id AS doc_id FROM every JOIN best USING (nth) UNION ALL SELECT caliper, 1, b_id FROM every JOIN best USING (nth)),
+  feat AS (SELECT caliper, label, ln(n_chars) AS energy, (doc_id % 97)::DOUBLE AS noise, quality::DOUBLE AS quality FROM keep JOIN documents USING (doc_id) JOIN labels USING (doc_id)),
+  named AS (SELECT 'energy' AS name, label, energy AS s FROM feat UNION ALL SELECT 'noise', label, noise FROM feat UNION ALL SELECT 'quality', label, quality FROM feat),
+  {auc_sql("named", "name", score="s", name="m")}
+  SELECT name AS score, round(auc, 6) AS auc, n_pos AS n_per_class, (SELECT min(caliper) FROM keep) AS caliper FROM m""")
 def _(spark, d):
     r = _energy_rows(spark, d).withColumn("label", 1 - F.col("label"))
     return rnd(evaluate.matched_auc(r, ["noise", "quality"]), "auc")

@@ -25,6 +25,7 @@ def same(monkeypatch, make):
         return sorted((tuple(norm(v) for v in r) for r in df.collect()), key=str)
     few = take(make())
     monkeypatch.setattr(scale, "HOT_GROUP_ROWS", 1)
+    monkeypatch.setattr(scale, "CELL", 1)
     assert take(make()) == few
     return few
 

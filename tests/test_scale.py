@@ -17,6 +17,8 @@ HOT = ["cnd1_thresholds", "cnd2_cluster_candidates", "cat1_gap_sessions", "cat6_
 @pytest.mark.parametrize("name", HOT)
 def test_hot_paths_match_oracle(spark, duck, sf_dir, name, monkeypatch):
     monkeypatch.setattr(scale, "HOT_GROUP_ROWS", 150)
+    monkeypatch.setattr(scale, "CELL", 150)
+    monkeypatch.setattr(evaluate, "CHAIN_ROWS", 20)
     problem, _, _ = compare(entry.queries()[name](spark, sf_dir), duck, entry.oracle_sql()[name])
     assert problem is None
 
@@ -146,3 +148,30 @@ def test_few_jobs_before_a_query_runs(spark, sf_dir, name, most):
         assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= most
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("spread", [0.02, 3.0])
+def test_chains_match_as_the_passes_do(spark, spread):
+    r = np.random.default_rng(5)
+    side = lambda n: [(f"k{r.integers(10**6)}-{i}", None if i % 40 == 3 else float("nan") if i % 40 == 5 else float(np.round(r.normal() * spread, 3))) for i in range(n)]
+    a, b = (spark.createDataFrame(side(n), "id string, v double") for n in (150, 230))
+    found = [sorted(map(tuple, evaluate.caliper_pairs(a, b, [0.05, 0.01], chain_rows=n).collect())) for n in (1 << 20, 40, 0)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 20
+    for c in (0.05, 0.01):
+        pairs = [p for p in found[0] if p[0] == c]
+        assert all(abs(p[2] - p[4]) <= c for p in pairs)
+        assert len({p[1] for p in pairs}) == len({p[3] for p in pairs}) == len(pairs)
+
+
+@pytest.mark.parametrize("cell", [1, 7, 1 << 16])
+def test_radix_selection_of_all_kinds_of_doubles(spark, cell):
+    r = np.random.default_rng(8)
+    v = [0.0, -0.0, 1.0, np.inf, -np.inf, np.nan, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, np.nextafter(2, 0), np.nextafter(8, 9)]
+    v += list(np.ldexp(r.normal(size=300), r.integers(-1070, 1000, 300))) + [3.5] * 50
+    df = spark.createDataFrame([(k, float(x)) for k in ("a", None) for x in v] + [("a", None)], "k string, x double")
+    rows = scale.ordered_bits(df.select(scale.group_key(["k"]).alias("_k"), "x"), "x", "_o").select("_k", "_o").filter("_o IS NOT NULL")
+    ranks = rows.select("_k").distinct().withColumn("_n", F.lit(len(v)).cast("long")).withColumn("_r", F.explode(F.array(*[F.lit(i).cast("long") for i in range(0, len(v), 7)])))
+    got = {(x._k.k, x._r): x._v for x in scale.values_at_ranks(rows, ranks, cell).collect()}
+    want = np.sort(np.array(v))
+    assert len(got) == 2 * len(range(0, len(v), 7))
+    assert all(g == want[i] or (np.isnan(g) and np.isnan(want[i])) for (_, i), g in got.items())
