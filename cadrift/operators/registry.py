@@ -15,10 +15,9 @@ def _max(x: Column) -> Column:
 
 
 def _peak(x: Column) -> Column:
-    n = F.size(x)
-    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    square = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
-    var = F.greatest(square / n - (total / n) * (total / n), F.lit(0.0))
+    """Peak over the population std, whose squares are taken about the mean."""
+    mean = scoring.array_mean(x)
+    var = scoring.array_mean(F.transform(x, lambda v: (v - mean) * (v - mean)))
     return F.array_max(x) / (F.sqrt(var) + 1e-9)
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,14 +185,6 @@ def softmax_recall(pairs: DataFrame, key: str, slots: int, lam: float | None = N
     return shrunk.withColumn("weight", F.col("_s") / (F.sum("_s").over(w) + eps)).drop("_e", "_w", "_s")
 
 
-def dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-
-def norm(a) -> Column:
-    return F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), F.lit(0.0), lambda s, v: s + v))
-
-
 def slot_usage(weights: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """How often each slot wins a query (ties to the lower slot), per ``by``."""
     win = weights.groupBy(key, *by).agg(
@@ -203,18 +198,29 @@ def self_match_score(patches: DataFrame, snippet: str, n_groups: int, tau: float
 
     ``patches``: snippet, patch, pred, target. Group g keeps patches with
     patch % n_groups = g visible; the others are matched among themselves. The patches of a
-    snippet (a fixed grid) travel together, so matching is local to one row per snippet.
+    snippet (a fixed grid) travel together, and batches of snippets go through matrix products.
+    Sums of exponentials are taken about the largest, so no similarity overflows.
     """
-    sized = (patches.withColumn("_np", F.greatest(norm(F.col(temperature_pred)), F.lit(1e-12)))
-             .withColumn("_nq", F.greatest(norm(F.col(target)), F.lit(1e-12))))
-    packed = (sized.select(snippet, "patch",
-                           F.transform(temperature_pred, lambda x: x / F.col("_np")).alias("p"),
-                           F.transform(target, lambda x: x / F.col("_nq")).alias("q"))
-              .groupBy(snippet).agg(F.collect_list(F.struct("patch", "p", "q")).alias("rows")))
-    g = packed.select(snippet, "rows", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("g"))
-    masked = g.select(snippet, "g", F.filter("rows", lambda r: r["patch"] % n_groups != F.col("g")).alias("rows"))
-    nll = F.transform("rows", lambda a: F.log(F.aggregate(
-        F.col("rows"), F.lit(0.0), lambda s, b: s + F.exp(dot(a["p"], b["q"]) / tau)))
-        - dot(a["p"], a["q"]) / tau)
-    per = masked.filter(F.size("rows") > 0).select(snippet, array_mean(nll).alias("m"))
-    return per.groupBy(snippet).agg(F.avg("m").alias("score"))
+    def run(batches):
+        for b in batches:
+            rows = b.column("rows")
+            flat, ends = rows.flatten(), np.append(0, np.cumsum(pc.list_value_length(rows).to_numpy()))
+            patch = flat.field("patch").to_numpy()
+            p, q = (flat.field(c).flatten().to_numpy().astype(np.float64).reshape(len(patch), -1) for c in ("p", "q"))
+            p, q = (x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-12)[:, None] for x in (p, q))
+            scores = []
+            for i, j in zip(ends[:-1], ends[1:]):
+                sims, means = p[i:j] @ q[i:j].T / tau, []
+                for g in range(n_groups):
+                    m = patch[i:j] % n_groups != g
+                    if m.any():
+                        z = sims[np.ix_(m, m)]
+                        top = z.max(axis=1)
+                        means.append((np.log(np.exp(z - top[:, None]).sum(axis=1)) + top - np.diag(z)).mean())
+                scores.append(float(np.mean(means)) if means else None)
+            yield pa.RecordBatch.from_arrays([b.column("_s"), pa.array(scores, pa.float64())], names=[snippet, "score"])
+
+    packed = patches.groupBy(F.col(snippet).alias("_s")).agg(F.collect_list(F.struct(
+        F.col("patch").cast("long").alias("patch"), F.col(temperature_pred).alias("p"), F.col(target).alias("q"))).alias("rows"))
+    kind = patches.schema[snippet].dataType.simpleString()
+    return packed.mapInArrow(run, f"`{snippet}` {kind}, score double").filter("score IS NOT NULL")

@@ -259,3 +259,37 @@ def test_dedispersion_of_frames_with_holes(spark):
     mean = lambda v: float(np.mean(v)) if v else None
     want = {k: mean([x for x in v if x is not None]) for k, v in want.items()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) if want[k] is not None else got[k] is None for k in want)
+
+
+def test_frame_scorer_of_a_large_mean(spark):
+    from cadrift.operators import registry
+    x = np.random.default_rng(1).normal(size=500) + 1e6
+    got = registry.apply_scorers(spark.createDataFrame([(x.tolist(),)], "x array<double>"), "x", ["peak_snr"]).first().peak_snr
+    assert got == pytest.approx(x.max() / (x.std() + 1e-9), rel=1e-9)
+
+
+def test_fold_models_are_those_of_each_training_set(spark):
+    from cadrift.operators import evaluate
+    r = np.random.default_rng(6)
+    x = r.normal(size=(400, 3)) * [1, 50, 0.01] + [0, 1000, 5]
+    y = (r.random(400) < 1 / (1 + np.exp(-(x[:, 0] + (x[:, 1] - 1000) / 50)))).astype(int)
+    rows = [(i, int(y[i]), *map(float, x[i])) for i in range(400)] + [(1000, None, 0.0, 0.0, 0.0), (1001, 1, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, label int, a double, b double, c double").repartition(3)
+    written, models = evaluate.fold_models(df, ["a", "b", "c"], "label", ["id"], 4)
+    t = written.toPandas()
+    assert len(t) == 400 and sorted(models) == [0, 1, 2, 3]
+    aucs = []
+    for f in range(4):
+        tr, te = t[t.fold != f], t[t.fold == f]
+        mu, sd = tr[["x0", "x1", "x2"]].mean().to_numpy(), tr[["x0", "x1", "x2"]].std().to_numpy()
+        z = np.column_stack([np.ones(len(tr)), (tr[["x0", "x1", "x2"]].to_numpy() - mu) / sd])
+        w = np.zeros(4)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-z @ w))
+            w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z, z.T @ (tr.label.to_numpy() - p))
+        assert np.allclose(models[f]["w"], w[1:], atol=1e-6) and np.allclose(models[f]["mean"], mu) and np.allclose(models[f]["sd"], sd)
+        s = ((te[["x0", "x1", "x2"]].to_numpy() - mu) / sd) @ w[1:]
+        pos, neg = s[te.label == 1], s[te.label == 0]
+        aucs.append(((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2))
+    got = evaluate.cv_logistic_auc(df, ["a", "b", "c"], k=4).first()
+    assert got.auc == pytest.approx(np.mean(aucs), abs=1e-9) and got.n_folds == 4
