@@ -1,10 +1,11 @@
 """Longest-processing-time scheduling of groups of equal texts onto shards.
 
-Sizes are summed per group before anything moves. Groups over a small share of a shard are
-scheduled one by one; there cannot be more of them than ``shards * fine``. The rest are dealt by
-hash into ``shards * fine`` bundles, which are scheduled like groups. So the heap holds a number
-of items that does not depend on the data, and shards differ by one item at most where no single
-group is larger than a shard's share.
+Sizes are summed per group before anything moves. Groups of one size are exchangeable, so what is
+scheduled are classes of a size and a count, the largest size first: each next group of a class goes
+to the least loaded shard. Loads within one size of each other take turns in a fixed order, so a
+class of any count is a few runs of such turns. A group finds its shard by its rank in its class.
+The result is that of scheduling all groups one by one. Sizes that differ add up to no more than
+all bytes, so ``n`` bytes have at most ``sqrt(2 n)`` of them, and only these reach the driver.
 """
 
 from __future__ import annotations
@@ -34,6 +35,54 @@ def lpt(items: list[tuple[int, object]], shards: int) -> dict[object, int]:
     return out
 
 
+def turns(loads: list[int], size: int, count: int) -> list[tuple[int, int, list[int]]]:
+    """Runs (first rank, end, shards in turn) of ``count`` groups of one size; ``loads`` are brought up to date."""
+    if count <= 64:
+        heap = [(n, s) for s, n in enumerate(loads)]
+        heapq.heapify(heap)
+        order = []
+        for _ in range(count):
+            n, s = heap[0]
+            order.append(s)
+            heapq.heapreplace(heap, (n + size, s))
+        for n, s in heap:
+            loads[s] = n
+        return [(0, count, order)]
+    waiting = sorted((n, s) for s, n in enumerate(loads))
+    active, out, done = [waiting.pop(0)], [], 0
+    while done < count:
+        if waiting:  # turns until the next shard is the least loaded
+            n, s = waiting[0]
+            each = [max(0, -(-(n - m) // size)) + (n >= m and (n - m) % size == 0 and k < s) for m, k in active]
+            step = min(sum(each), count - done)
+        else:
+            step = count - done
+        if step:
+            cycle = [k for _, k in active]
+            out.append((done, done + step, cycle))
+            full, rest = divmod(step, len(cycle))
+            active = sorted((m + size * (full + (i < rest)), k) for i, (m, k) in enumerate(active))
+            done += step
+        if waiting and done < count:
+            active = sorted([*active, waiting.pop(0)])
+    for n, s in [*active, *waiting]:
+        loads[s] = n
+    return out
+
+
+def number_runs(batches):
+    """Running number of the rows of each class in a sorted partition."""
+    part, last, seen = TaskContext.get().partitionId(), None, 0
+    for b in slices(batches, 1 << 16):
+        size = b.column("bytes").to_numpy()
+        first = np.append(True, size[1:] != size[:-1])
+        start = np.flatnonzero(first)[np.cumsum(first) - 1]
+        local = np.arange(len(size)) - start
+        local[start == 0] += seen if size[0] == last else 0
+        last, seen = size[-1], local[-1] + 1
+        yield pa.RecordBatch.from_arrays([b.column("bytes"), b.column("key"), pa.array(np.full(len(size), part, np.int32)), pa.array(local)], names=["bytes", "key", "part", "local"])
+
+
 def number(batches):
     """Running number of each shard's rows in a sorted partition."""
     part, seen = TaskContext.get().partitionId(), {}
@@ -49,32 +98,41 @@ def number(batches):
             names=["doc_id", "size", "text_crc32", "shard", "part", "local"])
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, fine: int = 256) -> DataFrame:
+def ranked_in_class(groups: DataFrame) -> DataFrame:
+    """``bytes, key, rank``: place of each group among those of its size, by key; no task sorts a whole class."""
+    order = ["bytes", "key"]
+    numbered = cut(groups.select(*order).repartitionByRange(shuffle_parts(groups.sparkSession), *order).sortWithinPartitions(*order)
+                   .mapInArrow(number_runs, "bytes long, key binary, part int, local long"))
+    before = Window.partitionBy("bytes").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (numbered.groupBy("bytes", "part").agg(F.count("*").alias("n"))
+               .select("bytes", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    return numbered.join(offsets, ["bytes", "part"]).select("bytes", "key", (F.col("before") + F.col("local")).alias("rank"))
+
+
+def assign_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` of every row of ``docs(doc_id, text)``.
 
-    Size is the text's bytes plus one; a null text is empty. Equal texts share a shard. Slots
-    number a shard's rows from 0 in ascending doc_id order, null ids first; repeated rows get a
-    slot each. An empty table gives no rows; other columns are ignored.
+    Size is the text's bytes plus one; a null text is empty. Equal texts share a shard; groups of one
+    size are scheduled in the order of their text's hash. Slots number a shard's rows from 0 in
+    ascending doc_id order, null ids first; repeated rows get a slot each. A very long text is a
+    group as any other. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
                            F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"),
                            F.monotonically_increasing_id().alias("row")))
-    bundles = shards * fine
-    groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-                 .withColumn("bundle", F.pmod(F.xxhash64("key"), F.lit(bundles)).cast("int")))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    heavy = F.col("bytes") * bundles > total  # fewer than `bundles` groups can be
-    single = [(r.bytes, bytes(r.key)) for r in groups.filter(heavy).select("bytes", "key").collect()]
-    dealt = [(r.bytes, r.bundle) for r in groups.filter(~heavy).groupBy("bundle").agg(F.sum("bytes").alias("bytes")).collect()]
-    at = lpt([(n, (0, k)) for n, k in single] + [(n, (1, k)) for n, k in dealt], shards)
-    of_key = spark.createDataFrame([(bytearray(k), s) for (kind, k), s in at.items() if kind == 0], "key binary, by_key int")
-    of_bundle = spark.createDataFrame([(k, s) for (kind, k), s in at.items() if kind == 1], "bundle int, by_bundle int")
-
-    placed = (rows.withColumn("bundle", F.pmod(F.xxhash64("key"), F.lit(bundles)).cast("int"))
-              .join(F.broadcast(of_key), "key", "left").join(F.broadcast(of_bundle), "bundle", "left")  # `bundles` rows at most each
-              .withColumn("shard", F.coalesce("by_key", "by_bundle")))
+    groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
+    classes = groups.groupBy("bytes").agg(F.count("*").alias("n")).toArrow()  # one row a size
+    loads, dealt = [0] * shards, []
+    for size, n in sorted(zip(classes.column("bytes").to_pylist(), classes.column("n").to_pylist()), reverse=True):
+        dealt += [(size, *run) for run in turns(loads, size, n)]
+    runs = spark.createDataFrame(pa.table(dict(zip(("bytes", "first", "end", "cycle"), map(list, zip(*dealt)))))) if dealt else spark.createDataFrame(
+        [], "bytes long, first long, end long, cycle array<long>")
+    at = F.get("cycle", F.pmod(F.col("rank") - F.col("first"), F.size("cycle")).cast("int")).cast("int")
+    of_key = (ranked_in_class(groups).join(runs, "bytes").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+              .select("key", at.alias("shard")))
+    placed = rows.join(of_key, "key")
     order = ["shard", "doc_id", "row"]
     numbered = cut(placed.select("doc_id", "size", "text_crc32", "shard", "row").repartitionByRange(shuffle_parts(spark), *order)
                    .sortWithinPartitions(*order).select("doc_id", "size", "text_crc32", "shard").mapInArrow(number, PLACED))

@@ -69,6 +69,26 @@ def test_token_files_prune_by_id(spark, documents, tmp_path):
     assert "In(doc_id" in some._jdf.queryExecution().toString()
 
 
+def test_token_files_hold_stripes_row_groups_and_blooms(spark, tmp_path):
+    """Several stripes a file, each with its row groups, and far fewer rows read for one id than are there."""
+    from pyarrow import orc
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    path = str(tmp_path / "t")
+    token_files.write_token_files(docs, path, files=2, stripe_bytes=1 << 20)
+    files = sorted((tmp_path / "t").glob("*.orc"))
+    footers = [orc.ORCFile(str(f)) for f in files]
+    assert len(files) == 2 and all(f.nstripes > 2 for f in footers)
+    assert sum(f.nrows for f in footers) == docs.count()
+    ranges = [(f.read(columns=["doc_id"]).column(0)[0].as_py(), f.read(columns=["doc_id"]).column(0)[-1].as_py()) for f in footers]
+    assert ranges[0][1] < ranges[1][0] or ranges[1][1] < ranges[0][0]
+    some = token_files.read_token_files(spark, path, [7])
+    assert some.count() == 1
+    scan = some._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
+    read = scan.apply("numOutputRows").value()
+    some.collect()
+    assert read < docs.count() / 2
+
+
 @pytest.mark.parametrize("which", ["edge", "documents", "nothing"])
 def test_bpe(request, which):
     docs = request.getfixturevalue(which)
@@ -144,6 +164,26 @@ def similar(groups=12, copies=9, common=0):
     return rows + [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, "a b c"), (len(rows) + 3, "A  b c"), (len(rows) + 4, "a b c d")]
 
 
+@pytest.mark.parametrize("which", ["edge", "documents", "nothing"])
+def test_near_copies_of_whole_tables(request, which):
+    docs = request.getfixturevalue(which)
+    rows = pairs(docs)
+    out = pairs(near_copies.one_of_each(docs))
+    roots = brute.near_copies(rows)
+    assert len(out) == len({r for r in roots if r is not None}) + (None in roots)
+    assert {i for i, _ in out if i is not None} == {r for r in roots if r is not None}
+
+
+def test_near_copies_of_a_bucket_of_sets_that_are_none(spark):
+    """All texts share a passage; none is near another."""
+    r = random.Random(12)
+    passage = " ".join(f"p{k}" for k in range(9))
+    rows = [(i, passage + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(20))) for i in range(2000)]
+    rows += [(3000 + k, rows[k][1]) for k in range(5)]
+    out = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bucket=64)
+    assert sorted(i for i, _ in pairs(out)) == list(range(2000))
+
+
 @pytest.mark.parametrize("common", [0, 30])
 def test_pipeline_drops_near_copies(spark, sf_dir, common):
     rows = similar(common=common)
@@ -192,6 +232,38 @@ def test_sharding(request, which):
         assert len(sizes) == 16 and max(sizes) - min(sizes) <= 0.02 * max(sizes)
 
 
+@pytest.mark.parametrize("which", ["edge", "documents"])
+def test_sharding_is_that_of_all_groups_one_by_one(request, which):
+    docs = request.getfixturevalue(which)
+    sizes = {}
+    for _, t in pairs(docs):
+        t = (t or "").encode()
+        sizes[t] = sizes.get(t, 0) + len(t) + 1
+    want = sharding.lpt([(n, hashlib.sha256(t).digest()) for t, n in sizes.items()], 16)
+    got = sharding.assign_shards(docs, 16).join(docs.select("doc_id", "text"), "doc_id").select("text", "text_crc32", "shard").distinct().collect()
+    assert got
+    for r in got:
+        t = (r.text or "").encode()
+        if zlib.crc32(t) == r.text_crc32:
+            assert want[hashlib.sha256(t).digest()] == r.shard
+
+
+def test_turns_are_those_of_a_heap():
+    r = random.Random(4)
+    for _ in range(300):
+        shards = r.randint(1, 6)
+        loads = [r.choice([0, r.randint(0, 400), r.randint(0, 4000)]) for _ in range(shards)]
+        size, count = r.randint(1, 90), r.choice([1, 7, 64, 65, 200])
+        plain, want = list(loads), []
+        for _ in range(count):
+            s = plain.index(min(plain))
+            want.append(s)
+            plain[s] += size
+        runs = sharding.turns(loads, size, count)
+        assert [c[k % len(c)] for a, b, c in runs for k in range(b - a)] == want and loads == plain
+        assert [a for a, _, _ in runs] == [0] + [b for _, b, _ in runs][:-1] and runs[-1][1] == count
+
+
 def test_lpt():
     r = random.Random(2)
     items = [(r.randint(1, 100), k) for k in range(200)]
@@ -226,6 +298,53 @@ def test_quality_on_held_out_rows(spark):
     assert (rows.predicted[rows.quality == 1] == 1).mean() > 0.99
 
 
+def test_quality_against_plain_updates(spark, edge):
+    """Weights and scores against the published updates, written out with dictionaries."""
+    import math
+    import re
+    import struct
+    import xxhash
+    labels = [(i, i % 3 == 0) for i in (*range(13), 15, 19, 31)]
+    dims, epochs = 1 << 12, 3
+
+    def plain_features(text):
+        words = re.findall(r"[^\W_]+|(?:[^\w\s]|_)+", (text or "").lower())
+        h = [zlib.crc32(w.encode()) for w in words]
+        found = [x % dims for x in h] + [((a * 0x9E3779B1 + b * 0x85EBCA77) % 2**64 >> 13) % dims for a, b in zip(h, h[1:])]
+        found += [d for d in (1, 2) for a, b in zip(h, h[d:]) if a == b]
+        n = {i: found.count(i) for i in sorted(set(found))}
+        return {i: math.sqrt(c) / math.sqrt(max(sum(n.values()), 1)) for i, c in n.items()}
+    alpha = beta = 1.0
+    l1 = l2 = 0.005
+    z, n = {}, {}
+
+    def weight(i):
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+    first = {}
+    for i, t in sorted(pairs(edge), key=lambda r: (str(r[0]), r[1] or "")):
+        first.setdefault(i, t or "")
+    train = [(i, int(y)) for i, y in labels if i in first and zlib.crc32(str(i).encode()) % 5]
+    train.sort(key=lambda r: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", r[0]), 42)))[0])
+    rows = [({**plain_features(first[i]), dims: 1.0}, y) for i, y in train]
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            x, y = rows[k]
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    table = spark.createDataFrame([(i, int(y)) for i, y in labels], "doc_id long, quality int")
+    got = quality.train(edge, table, epochs=epochs, dims=dims)
+    assert np.allclose(got, [weight(i) for i in range(dims + 1)], atol=1e-5) and np.count_nonzero(got) > 100
+    for r in quality.score(edge.select("doc_id", "text"), got).collect():
+        x = {**plain_features(r.text), dims: 1.0}
+        assert r.score == pytest.approx(1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items()))), abs=1e-5)
+
+
 def test_quality_edge(spark, edge, nothing):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (5, 1), (5, 0), (7, 9), (14, 0), (15, 1)], "doc_id long, quality int")
     weights = quality.train(edge, labels, dims=1 << 10)
@@ -240,9 +359,11 @@ def test_quality_edge(spark, edge, nothing):
 
 # ------------------------------------------------------------------ 7: PPM
 
-@pytest.mark.parametrize("which,how", [("edge", {}), ("edge", {"block_bytes": 3000}), ("nothing", {})])
+@pytest.mark.parametrize("which,how", [("edge", {}), ("edge", {"block_bytes": 3000}), ("documents", {}), ("nothing", {})])
 def test_ppm(request, which, how):
-    docs = request.getfixturevalue(which).filter("doc_id IS NULL OR doc_id NOT IN (17, 18)") if which == "edge" else request.getfixturevalue(which)
+    docs = request.getfixturevalue(which)
+    if which == "documents":  # two in a hundred of the given table, the longest among them
+        docs = docs.filter("doc_id % 50 = 0 OR length(text) > 12000")
     got = sorted(map(tuple, ppm.score_texts(docs, **how).collect()), key=lambda r: str(r[:5]))
     want = sorted(brute.ppm(pairs(docs)), key=lambda r: str(r[:5]))
     assert [r[:5] for r in got] == [r[:5] for r in want]
