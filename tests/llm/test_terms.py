@@ -134,7 +134,7 @@ def test_intervals_of_both_transforms_hold_the_same_phrase():
     kinds = 5
     counts = np.bincount(s, minlength=kinds).astype(np.int32)
     index = collocations.Index(b"\n".join(b"w%d" % k for k in range(1, kinds)), counts.tobytes(),
-                               collocations.transform(s, kinds, 3).tobytes(), collocations.transform(s[::-1], kinds, 3).tobytes())
+                               *(bits.planes(collocations.transform(x, kinds, 3)) for x in (s, s[::-1])))
     every = [bits.Bits(np.full(16, -1, np.int64).view(np.uint64), 10)] * 3
     text = s.tolist()
     for length, (ids, size, _) in enumerate(collocations.phrases(index, "en", every, 4), 2):
