@@ -38,10 +38,10 @@ def parse_rawspec_name(df: DataFrame, name: str = "name") -> DataFrame:
     size = F.size("_f")
     d = d.withColumn("_day", F.get("_f", F.lit(2)).try_cast("long")).withColumn(
         "_sec", F.get("_f", F.lit(3)).try_cast("long"))
-    error = (F.when(F.col("_core").isNull(), F.concat(F.lit("unrecognised filename: "), n))
-             .when(size < 6, F.concat(F.lit("too few fields ("), size.cast("string"), F.lit("): "), "_core"))
+    error = (F.when(F.col("_core").isNull(), F.concat(F.lit("no product in the name: "), n))
+             .when(size < 6, F.concat(F.lit("fewer than six parts: "), "_core"))
              .when(F.col("_day").isNull() | F.col("_sec").isNull(), F.concat(
-                 F.lit("non-numeric MJD: ['"), F.get("_f", F.lit(2)), F.lit("', '"), F.get("_f", F.lit(3)), F.lit("']"))))
+                 F.lit("day or second is no number: "), F.get("_f", F.lit(2)), F.lit(", "), F.get("_f", F.lit(3)))))
     d = d.withColumn("parse_error", error)
 
     def good(c):

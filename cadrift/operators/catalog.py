@@ -58,12 +58,10 @@ def infer_on_off(df: DataFrame, keys: Sequence[str], target: str = "target", ts:
     g = g.select(*keys, on.alias("on_target"), off.alias("off_targets"), n_on.alias("n_on"),
                  (F.col("_all") - n_on).alias("n_off"))
     k = F.size("off_targets")
-    kind = F.when(k == 1, "fixed OFF source").otherwise(F.concat(k.cast("string"), F.lit(" different OFF sources")))
-    return g.withColumn("pattern", F.when(F.col("on_target").isNull(), "ambiguous (all targets appear once)")
-                        .when(k == 0, F.concat(F.lit("ON-only ("), F.col("n_on").cast("string"),
-                                               F.lit(" obs, no OFF visible)")))
-                        .otherwise(F.concat(F.lit("ON×"), F.col("n_on").cast("string"), F.lit(" / OFF×"),
-                                            F.col("n_off").cast("string"), F.lit(" ("), kind, F.lit(")"))))
+    text = F.concat(F.col("n_on").cast("string"), F.lit(" ON, "), F.col("n_off").cast("string"), F.lit(" OFF of "), k.cast("string"),
+                    F.when(k == 1, " target").otherwise(" targets"))
+    return g.withColumn("pattern", F.when(F.col("on_target").isNull(), "no target repeats")
+                        .when(k == 0, F.concat(F.col("n_on").cast("string"), F.lit(" ON, no OFF"))).otherwise(text))
 
 
 _CAD = ["target", "mjd", "product"]

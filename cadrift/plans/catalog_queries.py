@@ -16,10 +16,10 @@ PARSED = r"""pr AS (SELECT *, contains(name, '.rawspec.') AND ends_with(name, '.
   pc AS (SELECT *, CASE WHEN raw THEN split_part(name, '.rawspec.', 1) ELSE regexp_extract(name, '^(.*)\.([0-9]+)\.h5$', 1) END AS core,
    CASE WHEN raw THEN regexp_extract(name, '^.*?\.rawspec\.(.*)\.h5$', 1) ELSE regexp_extract(name, '^(.*)\.([0-9]+)\.h5$', 2) END AS prod FROM pr),
   pf AS (SELECT *, string_split(core, '_') AS f FROM pc),
-  pe AS (SELECT *, CASE WHEN NOT (raw OR old) THEN 'unrecognised filename: ' || name
-    WHEN len(f) < 6 THEN 'too few fields (' || len(f) || '): ' || core
+  pe AS (SELECT *, CASE WHEN NOT (raw OR old) THEN 'no product in the name: ' || name
+    WHEN len(f) < 6 THEN 'fewer than six parts: ' || core
     WHEN TRY_CAST(f[3] AS BIGINT) IS NULL OR TRY_CAST(f[4] AS BIGINT) IS NULL
-     THEN 'non-numeric MJD: [''' || f[3] || ''', ''' || f[4] || ''']' END AS parse_error FROM pf),
+     THEN 'day or second is no number: ' || f[3] || ', ' || f[4] END AS parse_error FROM pf),
   parsed AS (SELECT event_id, name, CASE WHEN parse_error IS NULL THEN f[1] END AS node,
    CASE WHEN parse_error IS NULL THEN f[2] END AS backend,
    CASE WHEN parse_error IS NULL THEN TRY_CAST(f[3] AS BIGINT) END AS mjd_day,
@@ -176,10 +176,9 @@ def onoff_sql(keys, src, name="oo"):
    CASE WHEN mx > 1 THEN list_filter(seen, lambda t: t <> on0) ELSE seen END AS off_targets,
    CASE WHEN mx > 1 THEN mx ELSE 0 END AS n_on FROM {name}_o),
   {name} AS (SELECT {keys}, on_target, off_targets, n_on, al - n_on AS n_off,
-   CASE WHEN on_target IS NULL THEN 'ambiguous (all targets appear once)'
-    WHEN len(off_targets) = 0 THEN 'ON-only (' || n_on || ' obs, no OFF visible)'
-    ELSE 'ON×' || n_on || ' / OFF×' || (al - n_on) || ' (' || CASE WHEN len(off_targets) = 1 THEN 'fixed OFF source'
-     ELSE len(off_targets) || ' different OFF sources' END || ')' END AS pattern FROM {name}_q)"""
+   CASE WHEN on_target IS NULL THEN 'no target repeats'
+    WHEN len(off_targets) = 0 THEN n_on || ' ON, no OFF'
+    ELSE n_on || ' ON, ' || (al - n_on) || ' OFF of ' || len(off_targets) || CASE WHEN len(off_targets) = 1 THEN ' target' ELSE ' targets' END END AS pattern FROM {name}_q)"""
 
 
 def _sessions(spark, d, by=("product",), gap=700):

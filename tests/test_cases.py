@@ -16,10 +16,10 @@ def test_rawspec_names(spark):
     assert (r[0]["node"], r[0]["mjd_day"], r[0]["abs_time_s"], r[0]["target"], r[0]["scan_num"], r[0]["product"]) == (
         "blc00", 60055, 5188755921, "MESSIER67", "0055", "0000")
     assert r[1]["target"] == "A_B"
-    assert r[2]["parse_error"] == "too few fields (3): a_b_c" and r[2]["node"] is None
-    assert r[3]["parse_error"] == "unrecognised filename: notes.txt"
+    assert r[2]["parse_error"] == "fewer than six parts: a_b_c" and r[2]["node"] is None
+    assert r[3]["parse_error"] == "no product in the name: notes.txt"
     assert r[4]["product"] == "0002" and r[4]["parse_error"] is None
-    assert r[5]["parse_error"] == "non-numeric MJD: ['6x', '1']"
+    assert r[5]["parse_error"] == "day or second is no number: 6x, 1"
 
 
 def test_labelled_names(spark):
@@ -53,11 +53,11 @@ def test_gap_sessions(spark):
 
 
 @pytest.mark.parametrize("seq,on,off,n_on,n_off,pattern", [
-    ("MAMBMC", "M", ["A", "B", "C"], 3, 3, "ON×3 / OFF×3 (3 different OFF sources)"),
-    ("ABAB", "A", ["B"], 2, 2, "ON×2 / OFF×2 (fixed OFF source)"),
-    ("ABC", None, ["A", "B", "C"], 0, 3, "ambiguous (all targets appear once)"),
-    ("AA", "A", [], 2, 0, "ON-only (2 obs, no OFF visible)"),
-    ("BAAB", "B", ["A"], 2, 2, "ON×2 / OFF×2 (fixed OFF source)"),
+    ("MAMBMC", "M", ["A", "B", "C"], 3, 3, "3 ON, 3 OFF of 3 targets"),
+    ("ABAB", "A", ["B"], 2, 2, "2 ON, 2 OFF of 1 target"),
+    ("ABC", None, ["A", "B", "C"], 0, 3, "no target repeats"),
+    ("AA", "A", [], 2, 0, "2 ON, no OFF"),
+    ("BAAB", "B", ["A"], 2, 2, "2 ON, 2 OFF of 1 target"),
 ])
 def test_infer_on_off(spark, seq, on, off, n_on, n_off, pattern):
     df = spark.createDataFrame([(1, c, i, f"f{i}") for i, c in enumerate(seq)], "g int, target string, abs_time_s long, file string")
