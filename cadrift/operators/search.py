@@ -33,7 +33,7 @@ def threshold_values(scores: DataFrame, by: Sequence[str], far: float = FAR_QUAN
                      largest: int | None = None) -> DataFrame:
     by = list(by)
     largest = scale.largest_group(scores, by) if largest is None else largest
-    if largest <= scale.HOT_GROUP_ROWS:
+    if largest <= scale.CELL:
         v = F.col("_s")
         g = scale.sorted_values(scores, by, "score").withColumn("median", scale.quantile_of(v, 0.5))
         both = g.select(*by, "median", (scale.mad_of(v, F.col("median")) * 1.4826).alias("mad_sigma"),
