@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadrift.llm.bits import KEY_BITS, PACKED, SEED, Bits, bits_of, mixed, packed, sum_block
+from cadrift.llm.bits import KEY_BITS, PACKED, SEED, Bits, bits_of, from_planes, mixed, packed, planes, sum_block
 from cadrift.llm.common import slices
 from cadrift.session import cut
 
@@ -26,7 +26,7 @@ PIECE = re.compile(rb"[^.,;:!?\x0A-\x0D]+")
 WORD = re.compile(rb"[^\x20\x09]+")
 SHARD = "lang string, n long, words binary, counts binary, ahead binary, back binary"
 #: A row of the index holds megabytes, so row groups close after a few of them.
-SMALL_GROUPS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 2,
+SMALL_GROUPS = {"compression": "zstd", "parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 2,
                 "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 2}
 
 HELD = 1 << 20
@@ -65,9 +65,14 @@ class Building:
                 self.n += len(words)
 
     def row(self, lang: str, depth: int) -> tuple:
+        """Words are numbered anew, the most frequent first, so that most numbers fit few bytes."""
         s, kinds = np.array(self.seq, np.int32), len(self.ids) + 1
         counts = np.bincount(s, minlength=kinds).astype(np.int32)
-        return (lang, self.n, b"\n".join(self.ids), counts.tobytes(), transform(s, kinds, depth).tobytes(), transform(s[::-1], kinds, depth).tobytes())
+        order = np.append(0, 1 + np.argsort(-counts[1:], kind="stable"))
+        number = np.empty(kinds, np.int32)
+        number[order] = np.arange(kinds)
+        words, s = list(self.ids), number[s]
+        return (lang, self.n, b"\n".join([words[k - 1] for k in order[1:]]), counts[order].tobytes(), planes(transform(s, kinds, depth)), planes(transform(s[::-1], kinds, depth)))
 
 
 def build_task(shard_words: int, depth: int):
@@ -98,7 +103,7 @@ class Index:
         self.words = np.array([b"", *words.split(b"\n")], object)
         self.counts = np.frombuffer(counts, np.int32).astype(np.int64)
         self.start = np.cumsum(self.counts) - self.counts
-        self.ahead, self.back = (np.frombuffer(x, np.int32).astype(np.int64) for x in (ahead, back))
+        self.ahead, self.back = (from_planes(x).astype(np.int64) for x in (ahead, back))
         self.kinds, self.n = len(self.counts), len(self.ahead)
 
     def places(self, seen: np.ndarray) -> np.ndarray:
