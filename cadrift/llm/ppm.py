@@ -90,7 +90,7 @@ class Gathered:
             for w in words:
                 self.words[w] += 0
             self.words[END] += 0
-        if self.size > 1 << 20:
+        if self.size > 1 << 19:
             self.fold()
 
     def fold(self) -> None:
@@ -122,7 +122,7 @@ def gather(batches):
     for b in slices(batches):
         for block, train, text in zip(*(b.column(c).to_pylist() for c in ("block", "train", "text"))):
             held.setdefault(block, Gathered()).add(words_of(text), train)
-        if sum(map(len, held.values())) > 4_000_000:
+        if sum(map(len, held.values())) > 1_500_000:
             for block, h in held.items():
                 yield from h.rows(block)
             held = {}
@@ -190,7 +190,7 @@ def score_block(total: int, kinds: int):
             g = grams(words)
             waiting.append(g << TEXT_BITS | len(waiting))
             size += len(g)
-            if size > 1 << 20 or len(waiting) == 1 << TEXT_BITS:
+            if size > 1 << 19 or len(waiting) == 1 << TEXT_BITS:
                 add_up()
                 size = 0
             out.append((doc_id, held_out, len(c), int((c > 0).sum()), total, base))
@@ -204,7 +204,7 @@ def score_block(total: int, kinds: int):
     return run
 
 
-def score_texts(docs: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, block_bytes: int = 12 << 20) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of
     ``docs(doc_id, text)``.
 
