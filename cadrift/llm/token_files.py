@@ -52,13 +52,13 @@ def library_encoder(path: str) -> PieceCache:
         out.update(zip(rest, (array("i", e.ids).tobytes() for e in tok.encode_batch_fast(rest, add_special_tokens=False))))
         return [out[p] for p in new]
 
-    return PieceCache(make, 600_000)
+    return PieceCache(make, 300_000)
 
 
 def encode_partition(path: str, end_id: int):
     def run(batches):
         shard, at, cache, end = TaskContext.get().partitionId(), 0, library_encoder(path), array("i", [end_id]).tobytes()
-        for b in slices(batches, 1024):
+        for b in slices(batches, 256):
             out = []
             for parts in cache.of([t or "" for t in b.column("text").to_pylist()]):
                 out.append(np.frombuffer(b"".join(parts) + end, np.int32))
@@ -73,7 +73,7 @@ def encode_partition(path: str, end_id: int):
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID,
-                      files: int | None = None, file_bytes: int = 48 << 20, stripe_bytes: int = 64 << 20, fpp: float = 0.01) -> None:
+                      files: int | None = None, file_bytes: int = 48 << 20, stripe_bytes: int = 8 << 20, fpp: float = 0.01) -> None:
     """Encode ``docs(doc_id, text)`` and write them to ``path`` in ascending doc_id order.
 
     A null or empty text is the end id alone. Null ids come first; rows with one id follow each
@@ -86,9 +86,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
               .withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
               .repartitionByRange(files, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row"))
     (placed.select("doc_id", "text").mapInArrow(encode_partition(tokenizer or tokenizer_path(), end_id), FILE_SCHEMA)
-     .write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id")
+     .write.option("compression", "snappy").option("orc.bloom.filter.columns", "doc_id")
      .option("orc.bloom.filter.fpp", str(fpp)).option("orc.stripe.size", str(stripe_bytes))
-     .option("orc.create.index", "true").orc(path))
+     .option("orc.create.index", "true").option("orc.rows.between.memory.checks", "256").orc(path))  # a stripe ends at its size
 
 
 def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -98,7 +98,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
 
 
 def checksum(batches):
-    for b in slices(batches, 2048):
+    for b in slices(batches, 512):
         ids = b.column("ids")
         flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
         crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(ends[:-1], ends[1:])]
@@ -119,5 +119,5 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
              .select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
     return (rows.select("doc_id", "shard", "at", "ids")
             .mapInArrow(checksum, "doc_id long, shard int, at long, n_tokens long, ids_crc32 long")
-            .join(F.broadcast(bases), "shard")  # one row per file
+            .join(bases, "shard")
             .select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard"))
