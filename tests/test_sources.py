@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cadrift import schemas
 from cadrift.sources import io
 
 
@@ -67,3 +68,18 @@ def test_quarantine_by_error_and_missing_column(spark):
     df = spark.createDataFrame([(None, 1), ("bad", 2), (None, None)], "parse_error string, nchans int")
     good, bad = io.quarantine(df, required=["nchans"])
     assert good.count() == 1 and sorted(r["parse_error"] for r in bad.collect()) == ["bad", "missing nchans"]
+
+
+def test_files_do_not_grow_with_cadences(spark, tmp_path):
+    rows = spark.range(3000).select((F.col("id") % 300).cast("int").alias("cadence_idx"), F.col("id").alias("f_start"), F.col("id").alias("f_start_peak"),
+                                    F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("method"), F.lit(0.5).alias("score"),
+                                    *[F.lit(1.0).alias(c) for c in ("off_ceiling", "thresh_3", "thresh_5")])
+    blocks = spark.range(3000).select((F.col("id") % 300).alias("cadence_idx"), F.lit(0).cast("long").alias("obs_idx"), F.lit(0).cast("long").alias("time_bin"),
+                                      F.col("id").alias("block"), F.array(F.lit(1.0).cast("float")).alias("power"))
+    io.write_scores(rows.select("cadence_idx", "f_start", "score"), str(tmp_path / "s"))
+    io.write_candidates(rows.drop("f_start", "score"), str(tmp_path / "c"))
+    io.write_spectra(blocks, str(tmp_path / "b"))
+    for name, schema in (("s", schemas.SCORES), ("c", schemas.CANDIDATES), ("b", schemas.SPECTRA)):
+        back = spark.read.schema(schema).parquet(str(tmp_path / name))
+        assert sorted(r[0] for r in back.select("cadence_idx").collect()) == sorted(i % 300 for i in range(3000))
+        assert len(list((tmp_path / name).rglob("*.parquet"))) <= 50
