@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,45 +72,43 @@ def standardise(x: np.ndarray, eps: float) -> np.ndarray:
     return y.reshape(x.shape)
 
 
-def _in_steps(series: pd.Series, shape, fn) -> pd.Series:
-    out = []
-    for i in range(0, len(series), FRAMES_PER_STEP):
-        x = np.stack(series.iloc[i:i + FRAMES_PER_STEP].to_numpy()).astype(np.float64)
-        y = fn(x.reshape(-1, *shape)).astype(np.float32)
-        out.extend(y.reshape(len(y), -1))
-    return pd.Series(out)
+def steps(shape: Sequence[int], fn: Callable[[np.ndarray], np.ndarray]):
+    """``fn`` on frames of one shape, a few at a time; results leave the task as they are made."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for i in range(0, len(batch), FRAMES_PER_STEP):
+                part = batch.slice(i, FRAMES_PER_STEP)
+                if part.null_count or (part.value_lengths().to_numpy() != np.prod(shape)).any():
+                    raise ValueError(f"frames must be of shape {tuple(shape)}")
+                x = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                y = fn(x.reshape(-1, *shape)).astype(np.float32).reshape(-1)
+                at = np.arange(len(part) + 1, dtype=np.int32) * (len(y) // len(part))
+                yield pa.ListArray.from_arrays(pa.array(at), pa.array(y, from_pandas=True))
+    return run
+
+
+def _in_steps(frame: str, shape, fn) -> Column:
+    return F.arrow_udf(steps(shape, fn), "array<float>")(frame)
 
 
 def preprocess(frame: str, ntime: int, nchans: int, method: str = "polynomial", degree: int = 3,
                eps: float = 1e-6) -> Column:
     """Baseline removal and standardisation of a row-major frame column."""
-    @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        return _in_steps(s, (ntime, nchans), lambda x: standardise(
-            divide_baseline(x, method, degree).astype(np.float32).astype(np.float64), eps))
-    return run(frame)
+    return _in_steps(frame, (ntime, nchans), lambda x: standardise(
+        divide_baseline(x, method, degree).astype(np.float32).astype(np.float64), eps))
 
 
 def bandpass(frame: str, ntime: int, nchans: int, method: str = "polynomial", degree: int = 3) -> Column:
-    @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        return _in_steps(s, (ntime, nchans), lambda x: divide_baseline(x, method, degree))
-    return run(frame)
+    return _in_steps(frame, (ntime, nchans), lambda x: divide_baseline(x, method, degree))
 
 
 def patchify(frame: str, ntime: int, nchans: int, ph: int, pw: int) -> Column:
     """Frame -> concatenated patches, patch k = i * (nchans / pw) + j, each ph x pw row-major."""
-    @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        return _in_steps(s, (ntime // ph, ph, nchans // pw, pw), lambda x: x.transpose(0, 1, 3, 2, 4))
-    return run(frame)
+    return _in_steps(frame, (ntime // ph, ph, nchans // pw, pw), lambda x: x.transpose(0, 1, 3, 2, 4))
 
 
 def unpatchify(patches: str, ntime: int, nchans: int, ph: int, pw: int) -> Column:
-    @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        return _in_steps(s, (ntime // ph, nchans // pw, ph, pw), lambda x: x.transpose(0, 1, 3, 2, 4))
-    return run(patches)
+    return _in_steps(patches, (ntime // ph, nchans // pw, ph, pw), lambda x: x.transpose(0, 1, 3, 2, 4))
 
 
 BLOCK_BUCKET = 64

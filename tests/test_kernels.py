@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from numpy.polynomial import Polynomial
 from pyspark.sql import functions as F
@@ -293,3 +294,14 @@ def test_fold_models_are_those_of_each_training_set(spark):
         aucs.append(((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2))
     got = evaluate.cv_logistic_auc(df, ["a", "b", "c"], k=4).first()
     assert got.auc == pytest.approx(np.mean(aucs), abs=1e-9) and got.n_folds == 4
+
+
+def test_frames_leave_in_small_batches():
+    """A large batch is neither converted nor answered whole."""
+    frames = pa.array([[float(k), 1.0, 2.0, 3.0] for k in range(1000)], pa.list_(pa.float32()))
+    out = list(kernels.steps((2, 2), lambda x: x + 1)(iter([frames.slice(0, 0), frames.slice(3)])))
+    assert max(map(len, out)) <= kernels.FRAMES_PER_STEP
+    assert sum((b.to_pylist() for b in out), []) == [[k + 1.0, 2.0, 3.0, 4.0] for k in range(3, 1000)]
+    for odd in ([[1.0, 2.0], [1.0] * 6], [None, [1.0] * 4]):
+        with pytest.raises(ValueError, match="shape"):
+            list(kernels.steps((2, 2), lambda x: x)(iter([pa.array(odd, pa.list_(pa.float32()))])))
