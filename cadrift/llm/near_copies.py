@@ -1,4 +1,7 @@
-"""Near copies by the Jaccard similarity of their word shingles, by prefix filtering.
+"""Near copies by the Jaccard similarity of their word shingles: SimHash, then prefix filtering.
+
+Texts whose SimHash fingerprints are near are verified on the whole sets first, and linked. What
+these links leave unconnected is searched by prefix filtering, which misses no pair.
 
 Two sets of a similarity of 0.8 or more lack at most a fifth of each other. With the elements of
 all sets in one order, the first that both hold is then among the first ``n // 5 + 1`` of each, so
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from cadrift.llm.bits import KEY_BITS, PACKED, Bits, bits_of, packed, sum_block
 from cadrift.llm.common import free_name, rekeyed, row_key, slices
 from cadrift.llm.components import components
-from cadrift.llm.simhash import shingles
+from cadrift.llm.simhash import likely_links, set_fingerprint, shingles
 from cadrift.llm.substrings import found
 from cadrift.session import cut, cuts, drop_cuts
 
@@ -49,8 +52,8 @@ def long_array(x) -> pa.Array:
 def name_task(width: int):
     def run(batches):
         for b in slices(batches):
-            u = [name_of(shingle_set(t, width)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), long_array(u)], names=["uid", "doc_id", "u"])
+            u, f = zip(*((name_of(s), set_fingerprint(s)) for s in (shingle_set(t, width) for t in b.column("text").to_pylist())))
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), long_array(u), long_array(f)], names=["uid", "doc_id", "u", "f"])
     return run
 
 
@@ -180,6 +183,22 @@ def lists(*columns: str) -> list[F.Column]:
     return [F.collect_list(c).alias(f"{c}s") for c in columns]
 
 
+def fingerprint_candidates(marked: DataFrame) -> DataFrame:
+    """``a, b``: pairs of sets with equal or near fingerprints, of ``marked(u, f, ...)``; a fingerprint's smallest set stands for it."""
+    first = cut(marked.groupBy("f").agg(F.min("u").alias("u")))
+    same = marked.join(first.select("f", F.col("u").alias("a")), "f").filter("a <> u").select("a", F.col("u").alias("b"))
+    near = (likely_links(first).join(first.select(F.col("f").alias("a"), F.col("u").alias("ua")), "a")
+            .join(first.select(F.col("f").alias("b"), F.col("u").alias("ub")), "b"))
+    return same.unionByName(near.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"))).distinct()
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` that ``roots(u, root)`` does not connect."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("u").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    return pairs.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+
+
 def first_candidates(shared: DataFrame, bucket: int) -> DataFrame:
     """``a, b``: a few pairs a set that are likely near copies: neighbours in buckets of up to ``bucket``
     sets, and all pairs of the eights into which larger ones are dealt, twice."""
@@ -246,17 +265,21 @@ def met_twice(named: DataFrame, common: np.ndarray, width: int):
 def roots_of(named: DataFrame, marked: DataFrame, width: int, bucket: int) -> DataFrame:
     """``u, root``: the group of each set that is not the smallest of its group.
 
-    Likely pairs are verified first; what they connect needs no other pair. Then come all pairs that
-    are left, of smaller buckets and of larger ones. Tables go when they are read.
+    Pairs of near fingerprints are verified first, then likely ones by prefix; what these connect
+    needs no other pair. Then come all pairs that are left, of smaller buckets and of larger ones.
+    Tables go when they are read.
     """
-    spark = named.sparkSession
+    spark, before = named.sparkSession, cuts()
+    named_roots = lambda links: cut(components(links).select(F.col("a").alias("u"), F.col("b").alias("root")))
+    links = verified(fingerprint_candidates(marked), named, marked, width)
+    drop_cuts(spark, [p for p in cuts()[:-1] if p not in before])
+    known = named_roots(links)
     common = common_shingles(named, marked.count(), width)
     keyed = cut(named.select("text").mapInArrow(prefix_task(width, common, met_twice(named, common, width)), "key long, u long, n int, p int").distinct())
     own = cuts()[-1:]
     shared = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key"))
     drop_cuts(spark, own)
-    named_roots = lambda links: cut(components(links).select(F.col("a").alias("u"), F.col("b").alias("root")))
-    links = verified(first_candidates(shared, bucket), named, marked, width)
+    links = links.unionByName(verified(apart(first_candidates(shared, bucket), known), named, marked, width))
     links = links.unionByName(verified(light_candidates(shared, named_roots(links), bucket), named, marked, width))
     roots = named_roots(links)
     dense = shared.filter(F.col("size") > bucket)
@@ -279,7 +302,7 @@ def one_of_each(docs: DataFrame, width: int = 5, bucket: int = 256) -> DataFrame
     """
     spark = docs.sparkSession
     named = rekeyed(docs)
-    marked = cut(named.mapInArrow(name_task(width), "uid binary, doc_id long, u long"))
+    marked = cut(named.mapInArrow(name_task(width), "uid binary, doc_id long, u long, f long"))
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")
     roots = roots_of(named, marked, width, bucket)
     rooted = marked.join(roots, "u", "left").select("uid", "doc_id", F.coalesce("root", "u").alias("root"))

@@ -10,6 +10,8 @@ an exact segment and a codeword index for each of these, and linked fingerprints
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,13 +40,22 @@ def fingerprint(text: str | None, width: int = 3, chunk: int = 1 << 15) -> int:
     """Bit i is set if it is in over half of the shingles' XXH64, repeats included."""
     import xxhash
     runs = shingles(text or "", width)
-    if not runs:
-        return EMPTY
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(runs), chunk):
-        h = np.frombuffer(b"".join([xxhash.xxh64_digest(r, 42) for r in runs[k:k + chunk]]), np.uint8)
-        counts += np.unpackbits(h.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(runs)).tobytes(), "big")
+    parts = (runs[k:k + chunk] for k in range(0, len(runs), chunk))
+    return majority(np.frombuffer(b"".join([xxhash.xxh64_digest(r, 42) for r in part]), np.uint8).reshape(-1, 8) for part in parts)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Bits set in over half of the 8-byte rows (most significant byte first) of all ``parts``."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        counts += np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big") if n else EMPTY
+
+
+def set_fingerprint(hashes: np.ndarray, chunk: int = 1 << 15) -> int:
+    """The same of 64-bit hashes that are made already."""
+    return majority(hashes[k:k + chunk].astype(">u8").view(np.uint8).reshape(-1, 8) for k in range(0, len(hashes), chunk))
 
 
 def fingerprints(width: int):
@@ -93,12 +104,29 @@ def golay_keys(f: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def emit_keys(batches):
-    table = golay_table()
-    for b in batches:
-        f = b.column("f").to_numpy()
-        rows, keys = golay_keys(f.view(np.uint64), table)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(f[rows])], names=["key", "f"])
+def wide_keys(f: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and key of every fingerprint: 2 bits of family and the codewords of two segments.
+    Fingerprints that differ in two bits at most in each of two segments share a key."""
+    rows, keys, words, fresh = [], [], [], []
+    for at, width in SEGMENTS:
+        seg = (f >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64)
+        words.append((seg[:, None] ^ table[syndromes(seg)]) >> 11)
+        fresh.append(np.concatenate([np.ones((len(f), 1), bool), words[-1][:, 1:] != words[-1][:, :1]], axis=1))
+    for family, (i, j) in enumerate(((0, 1), (1, 2), (2, 0))):
+        key = np.int64(family) << 24 | words[i][:, :, None] << 12 | words[j][:, None, :]
+        new = fresh[i][:, :, None] & fresh[j][:, None, :]
+        rows.append(np.nonzero(new)[0]), keys.append(key[new])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def emit_keys(make=golay_keys):
+    def run(batches):
+        table = golay_table()
+        for b in slices(batches, 4096):
+            f = b.column("f").to_numpy()
+            rows, keys = make(f.view(np.uint64), table)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(f[rows])], names=["key", "f"])
+    return run
 
 
 def bucket_links(most: int):
@@ -133,7 +161,7 @@ def fingerprint_links(distinct: DataFrame, bucket: int = 64) -> DataFrame:
     within one bit of both, and no word is that near to more than 65. Each is linked to the least
     at the midpoint, so a dense group costs 65 rows a fingerprint and never its square.
     """
-    keyed = cut(distinct.select("f").mapInArrow(emit_keys, "key long, f long"))
+    keyed = cut(distinct.select("f").mapInArrow(emit_keys(), "key long, f long"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut(keyed.join(sizes, "key"))
     near = (shared.filter(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("f").alias("fs"))
@@ -144,6 +172,34 @@ def fingerprint_links(distinct: DataFrame, bucket: int = 64) -> DataFrame:
     return near.unionByName(dense)
 
 
+def next_links(most: int, ahead: int):
+    """Of rows in order of key and fingerprint, each with the first of the next ``ahead`` of its key that differs in ``most`` bits at most."""
+    def run(batches):
+        key = f = np.zeros(0, np.int64)
+        for b in batches:
+            key, f = np.concatenate([key[-ahead:], b.column("key").to_numpy()]), np.concatenate([f[-ahead:], b.column("f").to_numpy()])
+            pairs, open_ = [np.zeros((0, 2), np.int64)], np.arange(len(f))
+            for step in range(1, ahead + 1):
+                i = open_[open_ < len(f) - step]
+                near = (key[i] == key[i + step]) & (np.bitwise_count((f[i] ^ f[i + step]).view(np.uint64)) <= most)
+                pairs.append(np.stack([f[i[near]], f[i[near] + step]], axis=1))
+                open_ = i[~near]
+            one = np.unique(np.concatenate(pairs), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(one[:, 0]), pa.array(one[:, 1])], names=["a", "b"])
+    return run
+
+
+def likely_links(distinct: DataFrame, most: int = 12, ahead: int = 8) -> DataFrame:
+    """``a, b``: fingerprints ``f`` that differ in ``most`` bits at most, some for each that has such.
+
+    Neighbours among those that share a key, in order: linear, whatever many share a key, and the
+    many keys of one group give the same few pairs. Not all pairs: a caller needs a way for the rest.
+    """
+    keyed = distinct.select("f").mapInArrow(emit_keys(wide_keys), "key long, f long")
+    ordered = keyed.repartitionByRange("key", "f").sortWithinPartitions("key", "f")
+    return ordered.mapInArrow(next_links(most, ahead), "a long, b long").distinct()
+
+
 def rooted(marked: DataFrame) -> DataFrame:
     """``f, root``: the component of each distinct fingerprint of ``marked(f, ...)``."""
     nodes = cut(marked.select("f").distinct())

@@ -38,8 +38,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies: 0.8 of their runs of five words are shared.
 
-    Found by prefix filtering, which misses none, instead of fingerprints. Null, empty and blank texts
-    are one group; rows repeated in id and text are one document, of equal ids one row stays.
+    Linked by SimHash fingerprints that are near, verified on the whole texts; prefix filtering then
+    finds the links that fingerprints miss. Null, empty and blank texts are one group; rows repeated
+    in id and text are one document, of equal ids one row stays.
     """
     return near_copies.one_of_each(docs)
 

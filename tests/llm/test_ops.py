@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -193,6 +194,51 @@ def test_pipeline_drops_near_copies(spark, sf_dir, common):
     assert sorted(i for i, _ in pairs(out)) == sorted(set(want))
 
 
+def test_wide_keys_meet():
+    """Two bits differ at most in each of two segments, and any in the third."""
+    table, rng = simhash.golay_table(), np.random.default_rng(3)
+    f = rng.integers(0, 2**64, 600, dtype=np.uint64)
+    g = f.copy()
+    for k, s in enumerate(rng.integers(0, 3, len(f)).tolist()):
+        for family, (at, width) in enumerate(simhash.SEGMENTS):
+            for bit in rng.integers(0, width, 2 if family != s else 9).tolist():
+                g[k] ^= np.uint64(1 << (at + bit))
+    keys = [[set() for _ in f], [set() for _ in f]]
+    for side, x in zip(keys, (f, g)):
+        for r, k in zip(*simhash.wide_keys(x, table)):
+            side[r].add(int(k))
+    assert all(a & b for a, b in zip(*keys))
+
+
+def test_fingerprints_of_sets_are_those_of_texts():
+    for text in ("", "a b", " ".join(f"w{k % 700}" for k in range(900))):
+        h = [xxhash.xxh64_intdigest(r, 42) for r in simhash.shingles(text, 3)]
+        assert simhash.set_fingerprint(np.array(h, np.uint64), 64) == simhash.fingerprint(text)
+
+
+def test_pipeline_links_near_copies_by_fingerprints(spark, sf_dir, monkeypatch):
+    """SimHash finds most links by itself, none below 0.8, and prefix filtering gets what it leaves."""
+    rows = similar()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    links, whole = [], near_copies.verified
+
+    def verified(found, *rest):
+        out = whole(found, *rest)
+        links.append([tuple(r) for r in out.collect()])
+        return out
+
+    def joined(x):
+        at = {u: k for k, u in enumerate({u for p in x for u in p})}
+        near = {}
+        for a, b in x:
+            near.setdefault(at[a], []).append(at[b])
+        return len(at) - len(set(brute.roots(len(at), lambda i: near.get(i, []))))
+    monkeypatch.setattr(near_copies, "verified", verified)
+    out = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    assert sorted(i for i, _ in pairs(out)) == sorted(set(brute.near_copies(rows)))
+    assert joined(links[0]) >= 0.8 * joined(sum(links, []))
+
+
 def test_near_copies_of_a_dense_group(spark):
     rows = similar(groups=1, copies=6) + [(100 + i, t) for i, t in similar(groups=1, copies=4)]
     base = rows[0][1].split()
