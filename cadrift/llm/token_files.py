@@ -13,58 +13,139 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadrift.llm.common import PieceCache, slices, text_bytes, tokenizer_path
+from cadrift.llm.common import ODD_SPACE, slices, text_bytes, tokenizer_path
 
 END_ID = 2
 SPACE = chr(0x120)  # stands for a space in byte-level vocabularies
 FILE_SCHEMA = "doc_id long, shard int, at long, n_tokens long, ids array<int>"
 
 
-def library_encoder(path: str) -> PieceCache:
-    """Ids of pieces as 32-bit integers in bytes: the tokenizers library, asked once for each piece
-    that a task meets again and again.
+#: Kinds of bytes: other, white space, letter or digit. Of two bytes that follow each other, white
+#: space starts a piece after anything else, and other bytes after a letter or digit.
+OTHER, BLANK, ALNUM = 0, 1, 2
+KIND = np.array([BLANK if chr(c) in " \n\t\r" else ALNUM if c < 128 and chr(c).isalnum() else OTHER for c in range(256)], np.uint8)
+STARTS = np.array([now == BLANK and before != BLANK or now == OTHER and before == ALNUM for before in range(3) for now in range(3)])
+LATIN = 0xC3  # first byte of À to ÿ, all letters but two
+NO_LETTER = tuple(c.encode()[1] for c in "×÷")
 
-    New words that are letters after a space are encoded as one text. Its pre-tokens are these
-    words, and the ids of each begin where a token begins with the space.
+
+def piece_starts(data: np.ndarray) -> np.ndarray:
+    """Flags of the bytes of UTF-8 texts that start a piece by the byte before them; see ``common.pieces``.
+
+    Of letters that are not ASCII only those of Latin-1 are known; others make pieces longer.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    vocab = tok.get_vocab()
-    leads = np.zeros(max(vocab.values()) + 1, bool)
-    leads[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
-
-    def make(new: list[str]) -> list[bytes]:
+    kind = KIND[data]
+    second = np.flatnonzero(data[:-1] == LATIN) + 1
+    second = second[(data[second] != NO_LETTER[0]) & (data[second] != NO_LETTER[1])]
+    kind[second], kind[second - 1] = ALNUM, ALNUM
+    out = np.ones(len(data), bool)
+    np.take(STARTS, kind[:-1] * np.uint8(3) + kind[1:], out=out[1:])
+    return out
+
+
+class Encoder:
+    """Ids of texts as 32-bit integers: the tokenizers library, asked once for each piece that a task
+    meets again and again.
+
+    Texts are cut and their pieces numbered in Arrow arrays, a batch at once, so Python handles each
+    piece once a batch. New words that are letters after a space are encoded as one text. Its
+    pre-tokens are these words, and the ids of each begin where a token begins with the space.
+    """
+
+    def __init__(self, path: str, end_id: int, most: int = 300_000, most_bytes: int = 32 << 20):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        vocab = self.tok.get_vocab()
+        self.leads = np.zeros(max(vocab.values()) + 1, bool)
+        self.leads[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.end, self.most, self.most_bytes = array("i", [end_id]).tobytes(), most, most_bytes
+        self.seen, self.size, self.missed = {}, 0, 0
+
+    def make(self, new: list[str]) -> list[bytes]:
         words = [p for p in new if p[:1] == " " and p[1:].isalpha()]
-        ids = np.array(tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.int32)
-        starts = np.flatnonzero(leads[ids]) if len(ids) else ids
+        ids = np.array(self.tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        starts = np.flatnonzero(self.leads[ids]) if len(ids) else ids
         if len(starts) != len(words):  # not a tokenizer of that kind
             words = starts = []
         raw, cuts = ids.tobytes(), [*(4 * np.array(starts, np.int64)).tolist(), 4 * len(ids)]
         out = dict(zip(words, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:]))))
         rest = [p for p in new if p not in out]
-        out.update(zip(rest, (array("i", e.ids).tobytes() for e in tok.encode_batch_fast(rest, add_special_tokens=False))))
+        out.update(zip(rest, (array("i", e.ids).tobytes() for e in self.tok.encode_batch_fast(rest, add_special_tokens=False))))
         return [out[p] for p in new]
 
-    return PieceCache(make, 300_000)
+    def look_up(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces. What came first stays, as frequent pieces do; once as many others were
+        missed as are kept, the texts have changed and all goes."""
+        if self.missed > self.most or self.size > self.most_bytes:
+            self.seen, self.size, self.missed = {}, 0, 0
+        parts = list(map(self.seen.get, pieces))
+        at = [i for i, p in enumerate(parts) if p is None]
+        for k in range(0, len(at), 8192):
+            new = [pieces[i] for i in at[k:k + 8192]]
+            made = self.make([p.decode() for p in new])
+            for i, ids in zip(at[k:k + 8192], made):
+                parts[i] = ids
+            if len(self.seen) < self.most:
+                self.seen.update(zip(new, made))
+                self.size += sum(map(len, new))
+            else:
+                self.missed += len(new)
+        return parts
+
+    def whole(self, texts: pa.Array) -> np.ndarray:
+        """Flags of texts with rarer kinds of white space or with special strings; these are one piece."""
+        out = pc.match_substring_regex(texts, ODD_SPACE.pattern)
+        for t in self.added:
+            out = pc.or_(out, pc.match_substring(texts, t))
+        return out.to_numpy(zero_copy_only=False)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of the texts and all their ids, the end id after each text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        _, places, data = texts.buffers()
+        places = np.frombuffer(places, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(data or b"", np.uint8)[places[0]:places[-1]]
+        places = places - places[0]
+        at, bounds, pieces = np.zeros(0, np.int64), np.zeros(len(places), np.int64), pa.array([], pa.large_binary())
+        if len(data):
+            starts = piece_starts(data)
+            for i in np.flatnonzero(self.whole(texts)):
+                starts[places[i]:places[i + 1]] = False
+            starts[places[:-1][np.diff(places) > 0]] = True
+            at = np.flatnonzero(starts)
+            bounds = np.searchsorted(at, places)
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)])
+        pieces = pieces.dictionary_encode()
+        parts = [*self.look_up(pieces.dictionary.to_pylist()), self.end]
+        sizes = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+        which = np.insert(pieces.indices.to_numpy(), bounds[1:], len(parts) - 1)
+        n = np.add.reduceat(sizes[which].astype(np.int64), bounds[:-1] + np.arange(len(texts)))
+        return n, lists.take(pa.array(which)).flatten().to_numpy()
+
+
+def even_slices(batches, rows: int = 1024, size: int = 4 << 20):
+    """Slices of so many rows, fewer of a batch with long texts."""
+    for b in batches:
+        yield from slices([b], max(1, min(rows, b.num_rows * size // max(1, b.column("text").nbytes))))
 
 
 def encode_partition(path: str, end_id: int):
     def run(batches):
-        shard, at, cache, end = TaskContext.get().partitionId(), 0, library_encoder(path), array("i", [end_id]).tobytes()
-        for b in slices(batches, 256):
-            out = []
-            for parts in cache.of([t or "" for t in b.column("text").to_pylist()]):
-                out.append(np.frombuffer(b"".join(parts) + end, np.int32))
-            n = np.fromiter(map(len, out), np.int64, len(out))
+        shard, at, encoder = TaskContext.get().partitionId(), 0, Encoder(path, end_id)
+        for b in even_slices(batches):
+            n, flat = encoder.encode(b.column("text"))
             ends = np.cumsum(n)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.concatenate(out)))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(at + ends - n), pa.array(n), ids],
                 names=["doc_id", "shard", "at", "n_tokens", "ids"])

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -62,6 +63,27 @@ def test_token_files(spark, request, tmp_path, which):
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
 
 
+def test_encoder_cuts_texts_as_the_library_does():
+    """Letters, digits, odd white space and special strings in any order; sliced and empty arrays."""
+    r = random.Random(5)
+    signs = [" ", "  ", "\n", "\t", "a", "Z", "9", "½", "é", "×", "÷", "ß", "Ã", "—", "_", "'", "'s", "'ll", "!", "日", "🎉", "\u0301", "\x00", " the",
+             "endoftext", "<|", "|>", "<|endoftext|>", "\x0b", "\xa0", "\x1c"]
+    texts = [None, "", "x" * 9000] + ["".join(r.choices(signs[:len(signs) - 4 * (i % 4 > 0)], k=r.randint(0, 14))) for i in range(4000)]
+    ids = [x + [2] for x in library(texts)[1]]
+    encoder = token_files.Encoder(common.tokenizer_path(), 2, most=500)
+    for a, b in ((0, 2), (2, 900), (900, len(texts))):
+        n, flat = encoder.encode(pa.array(texts, pa.string()).slice(a, b - a))
+        assert n.tolist() == [len(x) for x in ids[a:b]] and flat.tolist() == sum(ids[a:b], [])
+
+
+def test_encoder_handles_a_piece_once_a_batch(monkeypatch):
+    """Python looks up distinct pieces, not every occurrence."""
+    asked, whole = [], token_files.Encoder.look_up
+    monkeypatch.setattr(token_files.Encoder, "look_up", lambda self, pieces: asked.append(len(pieces)) or whole(self, pieces))
+    n, _ = token_files.Encoder(common.tokenizer_path(), 2).encode(pa.array(["the cat, the hat\n" * 500] * 8))
+    assert asked == [7] and len(n) == 8  # of 20,000
+
+
 def test_token_files_prune_by_id(spark, documents, tmp_path):
     path = str(tmp_path / "t")
     token_files.write_token_files(documents, path, files=4)
