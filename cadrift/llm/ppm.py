@@ -98,16 +98,22 @@ class Gathered:
             both = np.sort(np.concatenate(self.raw))
             self.folded.append(summed(both >> 1, both & 1))
             self.raw, self.size = [], 0
+            if sum(len(k) for k, _ in self.folded[1:]) > 1 << 20:
+                self.merge()
+
+    def merge(self) -> None:
+        """Sorted runs become one, so a string is kept once however often the block holds it."""
+        keys, counts = (np.concatenate(c) for c in zip(*self.folded)) if self.folded else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(keys, kind="stable")
+        self.folded = [summed(keys[order], counts[order])]
 
     def __len__(self) -> int:
         return sum(len(k) for k, _ in self.folded) + len(self.words)
 
     def rows(self, block: int):
         self.fold()
-        keys, counts = (np.concatenate(c) for c in zip(*self.folded)) if self.folded else (np.zeros(0, np.int64),) * 2
-        order = np.argsort(keys, kind="stable")  # sorted runs are merged
-        keys, counts = summed(keys[order], counts[order])
-        words = list(self.words)
+        self.merge()
+        (keys, counts), words = self.folded[0], list(self.words)
         n = len(keys) + len(words)
         gram = pa.concat_arrays([pa.array(keys), pa.nulls(len(words), pa.int64())])
         word = pa.concat_arrays([pa.nulls(len(keys), pa.binary()), pa.array(words, pa.binary())])
@@ -116,18 +122,19 @@ class Gathered:
         return slices([out], 1 << 16)
 
 
-def gather(batches):
-    """Each block's strings and words; a block that a partition meets again is sent again."""
-    held: dict[int, Gathered] = {}
+def gather(batches, most: int = 5_000_000):
+    """Each block's strings and words, of rows in order of blocks; what a task keeps is of one block. A
+    block that holds more than ``most`` or comes again is sent again."""
+    held, now = Gathered(), None
     for b in slices(batches):
         for block, train, text in zip(*(b.column(c).to_pylist() for c in ("block", "train", "text"))):
-            held.setdefault(block, Gathered()).add(words_of(text), train)
-        if sum(map(len, held.values())) > 1_500_000:
-            for block, h in held.items():
-                yield from h.rows(block)
-            held = {}
-    for block, h in held.items():
-        yield from h.rows(block)
+            if now is not None and (block != now or len(held) > most):
+                yield from held.rows(now)
+                held = Gathered()
+            now = block
+            held.add(words_of(text), train)
+    if now is not None:
+        yield from held.rows(now)
 
 
 def unseen_task(low: dict[int, dict[int, dict]]):
@@ -216,9 +223,9 @@ def score_texts(docs: DataFrame, block_bytes: int = 12 << 20) -> DataFrame:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == HELD_OUT
     named, blocks = blocks_of(docs, block_bytes)
     dealt = named.select("block", "doc_id", held.alias("held_out"), (~held).alias("train"), "text")
-    asked = (dealt.repartition(blocks, "block").select("block", "train", "text")
+    asked = (dealt.select("block", "train", "text").repartition(blocks, "block").sortWithinPartitions("block")
              .mapInArrow(gather, "gram long, word binary, n long, block int"))
-    asked = asked.repartition(shuffle_parts(docs.sparkSession), "gram", "word")  # a block sends a key once: nothing to combine before
+    asked = asked.repartition(shuffle_parts(docs.sparkSession), "gram", "word")  # a block sends a key once, unless it is too large: nothing to combine before
     counted = cut(asked.groupBy("gram", "word").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")))
     of_words = counted.filter("word IS NOT NULL")
     sums = of_words.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first()

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -439,6 +440,24 @@ def test_ppm(request, which, how):
         assert g == pytest.approx(w, rel=1e-9)
 
 
+def test_ppm_sends_a_string_once_a_block():
+    """Also of a block whose sorted runs hold far more strings than there are distinct ones."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choices("abcdefgh", k=r.randint(3, 8))) for _ in range(40000)]
+    texts = [" ".join(r.choices(vocabulary, k=15000)) for _ in range(110)]
+    blocks = [k // 105 for k in range(110)]
+    batch = pa.table({"block": pa.array(blocks, pa.int32()), "train": [k % 2 == 0 for k in range(110)], "text": texts}).to_batches(max_chunksize=8)
+    sent = pa.Table.from_batches(ppm.gather(iter(batch)))
+    for block in (0, 1):
+        mine = [t for t, k in zip(texts, blocks) if k == block]
+        grams = np.unique(np.concatenate([ppm.grams(ppm.words_of(t)) for t in mine]))
+        rows = sent.filter(pc.equal(sent["block"], block))
+        assert sorted(rows["gram"].drop_null().to_pylist()) == grams.tolist()
+        assert sorted(rows["word"].drop_null().to_pylist()) == sorted({w.encode() for t in mine for w in t.split()} | {ppm.END})
+    train = [t for k, t in enumerate(texts) if k % 2 == 0]
+    assert sum(sent.filter(sent["gram"].is_valid())["n"].to_pylist()) == sum(len(ppm.grams(ppm.words_of(t))) for t in train)
+
+
 # ------------------------------------------------------------------ 8: lines
 
 @pytest.mark.parametrize("which,how", [("edge", {}), ("edge", {"shard_keys": 1, "lane_rows": 2}), ("nothing", {})])
