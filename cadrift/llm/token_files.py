@@ -48,6 +48,14 @@ def piece_starts(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def values(a: pa.LargeBinaryArray) -> list[bytes]:
+    """Those of an array without nulls; ``to_pylist`` makes an object more of each."""
+    _, places, data = a.buffers()
+    at = np.frombuffer(places, np.int64)[a.offset:a.offset + len(a) + 1].tolist() if len(a) else []
+    raw = bytes(data or b"")
+    return [raw[i:j] for i, j in zip(at, at[1:])]
+
+
 class Encoder:
     """Ids of texts as 32-bit integers: the tokenizers library, asked once for each piece that a task
     meets again and again.
@@ -125,7 +133,7 @@ class Encoder:
             bounds = np.searchsorted(at, places)
             pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)])
         pieces = pieces.dictionary_encode()
-        parts = [*self.look_up(pieces.dictionary.to_pylist()), self.end]
+        parts = [*self.look_up(values(pieces.dictionary)), self.end]
         sizes = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
         which = np.insert(pieces.indices.to_numpy(), bounds[1:], len(parts) - 1)
